@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import katz
+
+    return katz.fit_and_score(_table(spark, sf_dir, "documents"), ~katz.held_out())[0]
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -24,6 +30,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_katz": op2_katz,
     "op9_simhash": op9_simhash,
     "op10_winnow": op10_winnow,
 }

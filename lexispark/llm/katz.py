@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textkernel as tk
+from .exchange import decode, decode_floats, encode, encode_floats, key_cuts, pack
 
 _U = np.uint64
 CUTOFF = 5
@@ -47,34 +48,6 @@ _OUT = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("level", pa.int
 _OUT_DDL = f"kind string, chunk long, level int, bucket int, payload binary, hid long, total long, low double, {', '.join(f'n{r} long' for r in range(1, CUTOFF + 2))}"
 
 
-def encode(a: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes of the least width, compressed."""
-    a = np.asarray(a)
-    most = int(a.max()) if len(a) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    raw = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(raw).to_bytes(5, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def decode(b: bytes) -> np.ndarray:
-    width, size = b[0], int.from_bytes(b[1:6], "little")
-    if not size:
-        return np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer(pa.decompress(b[6:], size, codec="zstd"), dtype=np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(raw.T).view(f"<u{width}")[:, 0].astype(np.int64)
-
-
-def encode_floats(a: np.ndarray) -> bytes:
-    """Doubles as their distinct values and numbers into them."""
-    values, at = np.unique(a, return_inverse=True)
-    return pickle.dumps((values.tobytes(), encode(at)), protocol=5)
-
-
-def decode_floats(b: bytes) -> np.ndarray:
-    values, at = pickle.loads(b)
-    return np.frombuffer(values, dtype=np.float64)[decode(at)]
-
-
 @dataclass
 class Level:
     """What all blocks need to know of a level: counts of counts, tokens, and the sums of salted histories."""
@@ -123,10 +96,6 @@ def unigram(count: np.ndarray, level: Level) -> np.ndarray:
     return np.where(count > 0, discounted(count, d), mass) / total
 
 
-def _pack(**arrays) -> bytes:
-    return pickle.dumps(arrays, protocol=5)
-
-
 def _blocks(block_bytes: int):
     """Packs (doc_id, text, train) rows into blocks; see ``_Block``."""
 
@@ -145,8 +114,8 @@ def _blocks(block_bytes: int):
             of_rank[rank] = np.arange(len(rank))
             count = np.bincount(at[np.repeat(train, lengths)], minlength=len(words))
             known = ids != None  # noqa: E711
-            payload = _pack(tokens=encode(of_rank[at]), order=encode(rank), lengths=encode(lengths), known=encode(known), ids=np.where(known, ids, 0).astype(np.int64).tobytes(), train=encode(train))
-            first = _pack(words=words.tobytes(), counts=encode(count))
+            payload = pack(tokens=encode(of_rank[at]), order=encode(rank), lengths=encode(lengths), known=encode(known), ids=np.where(known, ids, 0).astype(np.int64).tobytes(), train=encode(train))
+            first = pack(words=words.tobytes(), counts=encode(count))
             chunk = part << 32 | seq
             held, size, seq = [], 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([payload], pa.binary()), pa.array([first], pa.binary()), pa.array([len(h)]), pa.array([int(count.sum())])], names=["chunk", "payload", "first", "tokens", "trained"])
@@ -257,9 +226,8 @@ def _ask_words(buckets: int):
             for chunk, first in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = pickle.loads(first.as_py())
                 words, counts = np.frombuffer(x["words"], dtype=np.uint64), decode(x["counts"])
-                edges = [min((b << 64) // buckets + (b > 0), (1 << 64) - 1) for b in range(buckets)]
-                cuts = [*np.searchsorted(words, np.array(edges, dtype=np.uint64)), len(words)]
-                cells = [(b, _pack(words=words[lo:hi].tobytes(), counts=encode(counts[lo:hi]))) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                cuts = key_cuts(words, buckets)
+                cells = [(b, pack(words=words[lo:hi].tobytes(), counts=encode(counts[lo:hi]))) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 for lo in range(0, len(cells), 64):
                     some = cells[lo : lo + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some)), pa.array([1] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], schema=_ROWS)
@@ -293,11 +261,11 @@ def _add_words(buckets: int):
         ids[count == 0] = UNKNOWN
         out, lo = [_stat(bucket, count, 1)], 0
         seen = count > 0
-        out.append(("model", -1, 1, bucket, _pack(words=all_words[seen].tobytes(), ids=encode(ids[seen]), counts=encode(count[seen])), *_NONE))
+        out.append(("model", -1, 1, bucket, pack(words=all_words[seen].tobytes(), ids=encode(ids[seen]), counts=encode(count[seen])), *_NONE))
         for (chunk, _, _), w in zip(asked, words):
             i = at[lo : lo + len(w)]
             lo += len(w)
-            out.append(("answer", chunk, 1, bucket, _pack(ids=encode(ids[i]), counts=encode(count[i])), *_NONE))
+            out.append(("answer", chunk, 1, bucket, pack(ids=encode(ids[i]), counts=encode(count[i])), *_NONE))
         return _rows(out)
 
     return run
@@ -330,7 +298,7 @@ def _ask(levels: list[Level], buckets: int):
             lo, hi = block.cuts[b], block.cuts[b + 1]
             if hi > lo:
                 hid = block.hid[lo:hi]
-                payload = _pack(hid=encode(np.diff(hid, prepend=0)), wid=encode(block.wid[lo:hi]), count=encode(block.trained[lo:hi]), low=encode_floats(block.low[lo:hi]), salts=encode(block.salts[lo:hi]))
+                payload = pack(hid=encode(np.diff(hid, prepend=0)), wid=encode(block.wid[lo:hi]), count=encode(block.trained[lo:hi]), low=encode_floats(block.low[lo:hi]), salts=encode(block.salts[lo:hi]))
                 rows.append((chunk, level, b, payload))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROWS)], schema=_ROWS)
 
@@ -366,7 +334,7 @@ def _add(buckets: int, last: bool):
         out = [_stat(bucket, count, level)]
         seen = count > 0
         model = dict(hid=encode(np.diff(hs[of[seen]], prepend=0)), wid=encode((key & ((1 << 40) - 1))[seen]), count=encode(count[seen]))
-        out.append(("model", -1, level, bucket, _pack(**model), *_NONE))
+        out.append(("model", -1, level, bucket, pack(**model), *_NONE))
         for i in np.flatnonzero(salted):
             out.append(("hot", 0, level, bucket, None, int(hs[i]), int(sums[i, 0]), float(lows[i]), *map(int, sums[i, 1:]), 0))
         lo = 0
@@ -377,7 +345,7 @@ def _add(buckets: int, last: bool):
             payload = dict(count=encode(count[i]), sums=[encode(sums[j, k]) for k in range(CUTOFF + 1)], low=lows[j].tobytes())
             if not last:
                 payload["gram"] = encode(gram[i])
-            out.append(("answer", chunk, level, bucket, _pack(**payload), *_NONE))
+            out.append(("answer", chunk, level, bucket, pack(**payload), *_NONE))
         return _rows(out)
 
     return run

@@ -17,6 +17,12 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(_table(spark, sf_dir, "documents"), ~katz.held_out())[0]
 
 
+def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cdc
+
+    return cdc.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -31,6 +37,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_katz": op2_katz,
+    "op5_cdc": op5_cdc,
     "op9_simhash": op9_simhash,
     "op10_winnow": op10_winnow,
 }

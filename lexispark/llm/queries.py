@@ -17,6 +17,14 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.fit_and_score(_table(spark, sf_dir, "documents"), ~katz.held_out())[0]
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), quality.held_out())
+    return quality.annotate(docs, model).withColumn("held_out", quality.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cdc
 
@@ -37,6 +45,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_katz": op2_katz,
+    "op3_quality": op3_quality,
     "op5_cdc": op5_cdc,
     "op9_simhash": op9_simhash,
     "op10_winnow": op10_winnow,

@@ -11,6 +11,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import mih
+
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), mih.sign_code("embedding", 64).alias("code"))
+    return mih.top_k(codes, codes.filter("id % 100 = 0")).withColumnRenamed("id", "vec_id")
+
+
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import katz
 
@@ -31,6 +40,14 @@ def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.held_out())
+    return toxicity.annotate(docs, model).withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -44,9 +61,11 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mih": op1_mih,
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
     "op5_cdc": op5_cdc,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_winnow": op10_winnow,
 }
@@ -54,6 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_mih": """
+WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (q.embedding[i] > 0) <> (v.embedding[i] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM ranked WHERE rank <= 10""",
     "op10_winnow": rf"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -34,6 +34,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(docs, model).withColumn("held_out", quality.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cdc
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mih": op1_mih,
     "op2_katz": op2_katz,
     "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
     "op5_cdc": op5_cdc,
     "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,

@@ -54,6 +54,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.annotate(docs, model).withColumn("held_out", toxicity.held_out("doc_id")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_template
+
+    return html_template.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_cdc": op5_cdc,
     "op7_toxicity": op7_toxicity,
+    "op8_template": op8_template,
     "op9_simhash": op9_simhash,
     "op10_winnow": op10_winnow,
 }

@@ -46,6 +46,12 @@ def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.dedup_substrings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op5_cdc": op5_cdc,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_template": op8_template,
     "op9_simhash": op9_simhash,

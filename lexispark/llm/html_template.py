@@ -32,7 +32,7 @@ from . import common
 
 #: A token on this share of a host's pages can be template; text only with so many pages, and on most of them.
 PATH_SHARE, TEXT_SHARE, TEXT_PAGES = 0.2, 0.6, 20
-MOST_ENTRIES, SALTS, BROADCAST_HOSTS = 200_000, 16, 50_000
+MOST_ENTRIES, SALTS, BROADCAST_HOSTS = 100_000, 16, 50_000
 
 #: Element names by how they lay out or end (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -166,6 +166,13 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short slices of the batches, so that few pages are Python strings at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 _STATS = "host string, path string, block long, pages long, times long, vector long, chars long, linked long"
 _STATS_SCHEMA = pa.schema([("host", pa.string()), ("path", pa.string()), ("block", pa.int64()), ("pages", pa.int64()), ("times", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
 
@@ -185,7 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_STATS_SCHEMA)], schema=_STATS_SCHEMA)
 
-    for batch in batches:
+    for batch in _runs(batches):
         for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
             host = _host(url)
             seen: dict[tuple, list[int]] = {("", 0): [1, 0, 0]}
@@ -290,7 +297,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[str, frozenset] = {}
-        for batch in batches:
+        for batch in _runs(batches):
             out = []
             for own, page, main, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "main", "fixed"))):
                 if fixed and own not in sets:

@@ -1,27 +1,57 @@
-"""The corpus pipeline: STAGES applied in order, each stage's documents the next one's input."""
+"""The corpus pipeline: STAGES applied in order to ``documents``, each stage's result the next one's input.
+
+All but the last stage return the columns of ``documents``; the last gives, per document left, how many words the mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispark.llm import simhash
+from lexispark.llm import cdc, mixing, quality, simhash, winnow
 from lexispark.llm.common import stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the positive-unlabelled classifier rejects."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.held_out())
+    return quality.annotate(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each SimHash near-duplicate group, the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of all but the first document that has them; every row stays."""
+    return cdc.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which a benchmark window occurs."""
+    return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.mix(docs)
+
+
 STAGES = [
-    ("simhash_near_dedup", near_duplicates),
+    ("quality_filter", quality_filter),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
 ]
 
-#: The stages' models and pseudorandom draws are not expressible in SQL; tests hold them against brute force.
+#: The stages' models, hashes and pseudorandom draws have no counterpart in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over the directory's documents; each stage's result is written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name=name)

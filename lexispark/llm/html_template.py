@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -257,12 +257,21 @@ def _deduce(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([rows[0]["host"]]), pa.array([main]), pa.array([fixed], pa.list_(pa.string()))], schema=_TEMPLATE_SCHEMA)
 
 
+def _join_hosts(rows: DataFrame, hosts: DataFrame, spread: Column, how: str) -> DataFrame:
+    """Joins a row for each host to ``rows``: broadcast up to a checked number of hosts, else with each host salted."""
+    if hosts.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(hosts), "host", how)
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed) from rows (page_id, url, html)."""
     stats = pages.mapInArrow(_count, _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked")], F.bit_xor("vector").alias("vector"))
     stats = common.stored(stats, name="page-tokens")
     hosts = stats.filter("path = '' and block = 0").select("host", F.col("pages").alias("of"))
-    frequent = stats.join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(2), F.col("of") * F.when(F.col("block") == 0, PATH_SHARE).otherwise(TEXT_SHARE)))
+    # filtered where they are: only the few frequent tokens of a host go to one task
+    frequent = _join_hosts(stats, hosts, F.xxhash64("path", "block"), "inner").filter(F.col("pages") >= F.greatest(F.lit(2), F.col("of") * F.when(F.col("block") == 0, PATH_SHARE).otherwise(TEXT_SHARE)))
     return frequent.groupBy("host").applyInArrow(_deduce, _TEMPLATE)
 
 
@@ -288,11 +297,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     found = common.stored(templates(rows), name="templates")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)), F.lit(""))
     keyed = rows.withColumn("host", host)
-    if found.count() <= BROADCAST_HOSTS:
-        joined = keyed.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = _join_hosts(keyed, found, F.xxhash64("page_id"), "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

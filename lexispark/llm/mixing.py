@@ -72,16 +72,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 PRIMES = (1_000_003, 999_983, 1_299_709)
 
 
-def permuted(n: Column, size: Column, source: Column, turn: Column, seed: int, rounds: int = 4) -> Column:
-    """Place of index n < size under the permutation of this source and pass: rounds of an affine map modulo size, whose factor
-    is a prime that does not divide size, and of turning a pseudorandom prefix round; both are bijections."""
-    factor = F.when(size % PRIMES[0] != 0, PRIMES[0]).when(size % PRIMES[1] != 0, PRIMES[1]).otherwise(PRIMES[2])
-    x = n
+def permuted(df: DataFrame, n: str, size: str, source: str, turn: str, out: str, seed: int, rounds: int = 4) -> DataFrame:
+    """``df`` with ``out``, the place of index n < size under the permutation of this source and pass.
+
+    Rounds of an affine map modulo size, whose factor is a prime that does not divide size, and of turning a pseudorandom
+    prefix round; both are bijections of the indices. Each step is a column of its own, so that the expressions stay small.
+    """
+    factor = F.when(F.col(size) % PRIMES[0] != 0, PRIMES[0]).when(F.col(size) % PRIMES[1] != 0, PRIMES[1]).otherwise(PRIMES[2])
+    df = df.withColumn("_factor", factor).withColumn(out, F.col(n))
     for r in range(rounds):
-        x = F.pmod(x * factor + F.pmod(F.xxhash64(source, turn, F.lit(seed + r)), size), size)
-        cut = F.pmod(F.xxhash64(source, turn, F.lit(seed + 100 + r)), size) + 1
-        x = F.when(x < cut, cut - 1 - x).otherwise(x)
-    return x
+        df = df.withColumn(out, F.pmod(F.col(out) * F.col("_factor") + F.pmod(F.xxhash64(source, turn, F.lit(seed + r)), F.col(size)), F.col(size)))
+        df = df.withColumn("_cut", F.pmod(F.xxhash64(source, turn, F.lit(seed + 100 + r)), F.col(size)) + 1)
+        df = df.withColumn(out, F.when(F.col(out) < F.col("_cut"), F.col("_cut") - 1 - F.col(out)).otherwise(F.col(out)))
+    return df.drop("_factor", "_cut")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -136,8 +139,8 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
     counts = every.join(_draws(spark, plan, seed), ["s", "shard"], "left").withColumn("number", F.col("whole") + F.coalesce("extra", F.lit(0))).filter("number > 0")
     numbered = common.running_total(counts, ["s"], "group", ["shard"], "number", "first")
     out = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("number") - 1)).alias("n")).filter(F.col("n") < F.col("blocks") * most)
-    turn = F.floor(F.col("n") / F.col("blocks")).cast("long")
-    return out.select("shard", "s", "n", permuted(F.col("n") - turn * F.col("blocks"), F.col("blocks"), F.col("s"), turn, seed).alias("block"))
+    out = out.withColumn("turn", F.floor(F.col("n") / F.col("blocks")).cast("long")).withColumn("i", F.col("n") - F.col("turn") * F.col("blocks"))
+    return permuted(out, "i", "blocks", "s", "turn", "block", seed).select("shard", "s", "n", "block")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:

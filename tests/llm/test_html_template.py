@@ -84,3 +84,8 @@ def test_edges(spark):
     rows = [(1, None, None), (None, "http://x/", "<p>a</p>"), (2, "bad url", "<p>b"), (2, "bad url", "<p>b"), (3, "http://x/", "<article>" + "<p>word " * 20_000)]
     got = sorted(((r.page_id, r.url, r.text[:1], r.n_chars) for r in ht.extract(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, None, "", 0), (None, "http://x/", "a", 1), (2, "bad url", "b", 1), (2, "bad url", "b", 1), (3, "http://x/", "w", 4 * 20_000 + 2 * 19_999)], key=str)
+
+
+def test_many_hosts_are_joined_salted(spark, monkeypatch):
+    monkeypatch.setattr(ht, "BROADCAST_HOSTS", 0)
+    test_hosts_without_article_elements(spark)

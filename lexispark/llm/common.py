@@ -50,7 +50,8 @@ def running_total(df: DataFrame, keys: list[str], group: str, order: list[str],
     outer = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     base = df.groupBy(*keys, group).agg(F.sum(value).alias("_sum")).select(*keys, group, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_base"))
     within = df.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return within.join(base, [*keys, group]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within")
+    # merge: the optimiser takes exploded rows for few, and would broadcast
+    return within.join(base.hint("merge"), [*keys, group]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

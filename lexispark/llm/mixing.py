@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, SHARD, MOST_PASSES = 128, 256, 3
+BLOCK, SHARD, MOST_PASSES = 64, 512, 3
 WEIGHTS = (1, 2, 3)
 #: Documents in one group of a running total on average, shards in one group, bins of the unit interval.
-GROUP_ROWS, GROUP_SHARDS, BINS = 50_000, 4096, 4096
+GROUP_ROWS, GROUP_SHARDS, BINS = 1000, 1024, 4096
 SEED = 20_240_601
 
 
@@ -136,7 +136,7 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
     spark = plan.sparkSession
     every = plan.filter("blocks > 0").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / GROUP_SHARDS)))).repartition(common.tasks(spark), "s", "group")
     every = every.select("s", "group", "whole", "blocks", F.explode(F.sequence(F.col("group") * GROUP_SHARDS, F.least((F.col("group") + 1) * GROUP_SHARDS, F.col("shards")) - 1)).alias("shard"))
-    counts = every.join(_draws(spark, plan, seed), ["s", "shard"], "left").withColumn("number", F.col("whole") + F.coalesce("extra", F.lit(0))).filter("number > 0")
+    counts = every.join(_draws(spark, plan, seed).hint("merge"), ["s", "shard"], "left").withColumn("number", F.col("whole") + F.coalesce("extra", F.lit(0))).filter("number > 0")
     numbered = common.running_total(counts, ["s"], "group", ["shard"], "number", "first")
     out = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("number") - 1)).alias("n")).filter(F.col("n") < F.col("blocks") * most)
     out = out.withColumn("turn", F.floor(F.col("n") / F.col("blocks")).cast("long")).withColumn("i", F.col("n") - F.col("turn") * F.col("blocks"))
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
     parts = placed.filter("size > 0").select("s", "at", "size", cut.alias("block"))
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = parts.select("s", "at", "block", words.alias("words")).join(blocks, ["s", "block"]).groupBy("s", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = parts.select("s", "at", "block", words.alias("words")).join(blocks.hint("merge"), ["s", "block"]).groupBy("s", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # words are numbered within a source, so (s, at) names a document with words
-    out = placed.filter("size > 0").join(taken, ["s", "at"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    out = placed.filter("size > 0").join(taken.hint("merge"), ["s", "at"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", F.when(F.col("known"), F.col("src")).alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -28,7 +28,7 @@ from . import textkernel as tk
 _U = np.uint64
 SAMPLE, THRESHOLD = 8000, 0.3
 
-_KIND = np.zeros(256, dtype=np.int64)  # 0 white space, 1 lower or non-ASCII, 2 upper, 3 digit, 4 sentence marks, 5 other
+_KIND = np.zeros(256, dtype=np.int8)  # 0 white space, 1 lower or non-ASCII, 2 upper, 3 digit, 4 sentence marks, 5 other
 _KIND[:] = 1
 _KIND[:128] = 5
 _KIND[tk.SPACE] = 0

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: ASCII white space as the contracts give it: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, dtype=bool)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .scores import top_k
 
 #: Query vectors in one broadcast block.
@@ -26,7 +27,7 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """L2-normalised; the zero vector stays zero."""
-    return F.transform(v, lambda x: F.when(norm(v) > 0, x.cast("double") / norm(v)).otherwise(F.lit(0.0)))
+    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0))))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, doc_id: str = "vec_id", vector: str = "embedding", qid: str = "qid", query_vector: str = "embedding") -> DataFrame:

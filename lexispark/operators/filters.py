@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GatePolicy
+from ..functions.text import let
 
 
 def contains_any(c: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t))
+    return let(c, lambda x: F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(x, t)))
 
 
 def first_term(c: Column, terms: list[str]) -> Column:
     """The first of ``terms`` that the text contains, null if none."""
-    return F.get(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t)), F.lit(0))
+    return let(c, lambda x: F.get(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(x, t)), F.lit(0)))
 
 
 def flags(df: DataFrame, text: str, families: dict[str, list[str]], rest: str) -> DataFrame:

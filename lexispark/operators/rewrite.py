@@ -30,8 +30,7 @@ def rewrite(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str
     hits = alias_hits(queries, aliases, qid, text).filter("type <> 'inn'").groupBy("qid", "target").agg(F.min("ord").alias("ord"))
     listed = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("applied"))
     base = queries.select(F.col(qid).alias("qid"), F.col(text).alias("raw")).join(listed, "qid", "left").withColumn("applied", F.coalesce("applied", F.array().cast("array<string>")))
-    norm = tx.rewrite_norm(F.col("raw"))
-    add = F.slice(F.filter("applied", lambda t: ~F.contains(norm, t)), 1, most)
+    add = tx.let(tx.rewrite_norm(F.col("raw")), lambda norm: F.slice(F.filter("applied", lambda t: ~F.contains(norm, t)), 1, most))
     return base.withColumn("_add", add).select("qid", "raw", F.when(F.size("_add") > 0, F.concat_ws(" ", "raw", F.array_join("_add", " "))).otherwise(F.col("raw")).alias("rewritten"), "applied")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import UserProfile
+from ..functions.text import let
 
 #: Patterns by category, in the order in which they are tried, and the category's risk weight (fixed values).
 PATTERNS: dict[str, list[str]] = {
@@ -43,6 +44,10 @@ def _conflict(category: str, match: Column, profile: UserProfile) -> Column:
     return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(match, w)) if words else no
 
 
+def _conflict_in(category: str, profile: UserProfile):
+    return lambda match: _conflict(category, match, profile)
+
+
 def assess(df: DataFrame, text: str, profile: UserProfile | None = None) -> DataFrame:
     """Adds risk_score, risk_level, safe_to_use, warnings and critical_warnings (category, matched_text, weight).
 
@@ -53,7 +58,7 @@ def assess(df: DataFrame, text: str, profile: UserProfile | None = None) -> Data
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
     for c, patterns in PATTERNS.items():
         df = df.withColumn(f"_{c}", _found(t, patterns))
-    hits = {c: F.exists(F.col(f"_{c}"), lambda m, c=c: _conflict(c, m, profile)) for c in PATTERNS}
+    hits = {c: F.exists(F.col(f"_{c}"), _conflict_in(c, profile)) for c in PATTERNS}
     score = sum((F.when(h, WEIGHTS[c]).otherwise(0) for c, h in hits.items()), F.lit(0))
     grave = None
     for c, h in hits.items():
@@ -81,4 +86,4 @@ def filter_safe(assessed: DataFrame, by: str = "qid") -> DataFrame:
 
 def keyword_warnings(text: Column, keywords: list[str] | None = None) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.lit(k) for k in (keywords or WARNINGS)]), lambda k: F.contains(t, k))
+    return let(t, lambda x: F.filter(F.array(*[F.lit(k) for k in (keywords or WARNINGS)]), lambda k: F.contains(x, k)))

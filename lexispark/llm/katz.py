@@ -36,7 +36,7 @@ from .exchange import decode, decode_floats, encode, encode_floats, key_cuts, pa
 _U = np.uint64
 CUTOFF = 5
 #: Text in one block, and n-gram entries that one bucket receives on average.
-BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 1_500_000
+BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 1_000_000
 #: A history with more training tokens than this is salted, one bucket for each half of it; at most MOST_HOT histories are.
 HOT_TOKENS, MOST_HOT = 400_000, 65_536
 END, BEGIN, UNKNOWN = _U(0x0E0D), 1, 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,14 +14,33 @@ def lexicon(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_l", line).filter("_l <> '' and not startswith(_l, '#')").select("condition", "kind", tx.normalize_phrase(F.col("_l")).alias("norm")).filter("norm <> ''").distinct()
 
 
-def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key), F.explode(F.array_distinct(tx.ngrams(tx.stemmed(F.col(text))))).alias("norm"))
+#: Distinct first words of a lexicon up to which they are a literal set in the scan.
+MOST_FIRST_WORDS = 20_000
+
+
+def _grams(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
+    """(key, norm): n-grams of each text that begin with a word some phrase begins with.
+
+    First words, fetched from the lexicon up to a checked number of them, are tested in the scan, so that only the few places
+    where a phrase can start become rows; a larger lexicon takes all n-grams.
+    """
+    first = lex.select(F.split_part("norm", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(MOST_FIRST_WORDS + 1).collect()
+    words = df.select(F.col(key), tx.stemmed(F.col(text)).alias("_w"))
+    if len(first) > MOST_FIRST_WORDS:
+        return words.select(F.col(key), F.explode(F.array_distinct(tx.ngrams(F.col("_w")))).alias("norm"))
+
+    def of(w: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i - 1).isin([r.w for r in first]))
+        return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
+
+    found = F.when(F.size("_w") > 0, tx.let(F.col("_w"), of)).otherwise(F.array().cast("array<string>"))
+    return words.select(F.col(key), F.explode(F.array_distinct(found)).alias("norm"))
 
 
 def matches(df: DataFrame, lex: DataFrame, key: str, text: str, kinds: list[str] | None = None) -> DataFrame:
     """(key, condition, kind, norm): lexicon phrases among the n-grams of each text; an equi-join on the phrase."""
     some = lex.filter(F.col("kind").isin(kinds)) if kinds else lex
-    return _grams(df, key, text).join(some, "norm").select(key, "condition", "kind", "norm").distinct()
+    return _grams(df, key, text, some).join(some, "norm").select(key, "condition", "kind", "norm").distinct()
 
 
 def detect(queries: DataFrame, lex: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ def nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     kinds = dict(df.dtypes)
     absent = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")).isNull() if kinds[c] == "string" else F.col(c).isNull()
     one = df.agg(F.count("*").alias("n"), *[F.count_if(absent(c)).alias(c) for c in columns])
-    return one.unpivot(["n"], columns, "field", "nulls").select("field", "n", "nulls", (F.col("nulls") / F.col("n")).alias("rate"))
+    return one.unpivot(["n"], columns, "field", "nulls").select("field", "n", "nulls", F.try_divide(F.col("nulls"), F.col("n")).alias("rate"))
 
 
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,9 +15,10 @@ def search(docs: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig
 
     ``dense``: ranked (qid, doc_id, score, rank) of a vector search, if any. ``lexicon``: (condition, kind, norm), if any.
     Returns the final ranking (qid, doc_id, score, rank) as ``result`` and the stages as ``trace``. A query without hits has no
-    rows; without ``dense`` the lexical hits go on alone.
+    rows; without ``dense`` the lexical hits go on alone. Ranked lists are persisted; Spark rebuilds what an executor loses.
     """
-    hits = lexical.bm25_top(docs, queries, cfg.top_bm25, cfg.bm25, qid="qid").withColumn("source", F.lit("bm25"))
+    # at most top_bm25 rows a query, used by several stages below
+    hits = lexical.bm25_top(docs, queries, cfg.top_bm25, cfg.bm25, qid="qid").withColumn("source", F.lit("bm25")).persist()
     stages = [trace.stage(hits, "bm25", {"k": str(cfg.top_bm25)})]
     lists = hits
     if dense is not None:
@@ -27,11 +28,11 @@ def search(docs: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig
     fused = fusion.fuse(lists, cfg.fusion).select("qid", "doc_id", "score")
     conditions = None
     if lexicon is not None:
-        conditions = clinical.detect(queries, lexicon)
+        conditions = clinical.detect(queries, lexicon).persist()
         union = conditions.join(clinical.condition_index(docs, lexicon), "condition").withColumn("ord", F.col("condition"))
         united = fusion.union_cap(union, ["ord"], cfg.union_cap, None if cfg.force_include else hits)
         fused = fusion.union_boost(fused, united, cfg.union_boost)
-    fused = top_k(fused, ["qid"], cfg.fused_cap)
+    fused = top_k(fused, ["qid"], cfg.fused_cap).persist()
     stages.append(trace.stage(fused, "fused", {"method": cfg.fusion.method}))
     head = fused.filter(F.col("rank") <= cfg.rerank_top)
     texts = head.join(docs.select("doc_id", F.col("text").alias("_d")), "doc_id").join(queries.select("qid", F.col("text").alias("_q")), "qid")

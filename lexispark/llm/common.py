@@ -35,6 +35,13 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deals a scan with fewer splits than cores (a small file of one row group) out to all of them; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores)
+
+
 def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Selects ``columns`` (own name -> new name) only, so that a caller's further columns never clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])

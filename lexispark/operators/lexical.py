@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +56,95 @@ def bm25(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), do
     return hits.filter("score > 0")
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25Config(), **columns: str) -> DataFrame:
-    """(qid, doc_id, score, rank)"""
-    return top_k(bm25(docs, queries, cfg, **columns), ["qid"], k)
+#: Query terms up to which the blocked scorer holds them in a task, and queries scored at a time.
+BLOCK_TERMS, QUERY_BLOCK = 50_000, 256
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(qid, doc_id, score, rank)
+
+    Up to a checked number of distinct query terms, documents are scored where they are read: one scan counts documents per
+    term, a second one multiplies each slice of documents with blocks of query weights and keeps its k best, so neither
+    postings nor (query, document) pairs are shuffled. Beyond that number the relational form takes over.
+    """
+    wanted = query_terms(queries, qid, query_text, cfg)
+    terms = [r.term for r in wanted.select("term").distinct().limit(BLOCK_TERMS + 1).collect()]
+    if len(terms) > BLOCK_TERMS:
+        return top_k(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid"], k)
+    spark = docs.sparkSession
+    number = {t: i for i, t in enumerate(terms)}
+    known = spark.sparkContext.broadcast(number)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    counted = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = np.zeros(len(known.value), dtype=np.int64), 0, 0
+        for _, at, ids, sizes in _token_ids(batches, known.value, cfg.stem):
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), np.diff(at)) * len(df) + ids)
+            df += np.bincount(pairs % max(1, len(df)), minlength=len(df))
+            n, length = n + len(sizes), length + int(sizes.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[some], [n, length]]))], schema=counted)
+
+    totals = {r.term: r.n for r in texts.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, length = totals.pop(-1, 0), totals.pop(-2, 0)
+    df = np.zeros(len(terms))
+    df[list(totals)] = list(totals.values())
+    average = length / n if n else 0.0
+    idfs = np.log((n - df + 0.5) / (df + 0.5) + 1) if n else df
+    result = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    ids = [r.qid for r in wanted.select("qid").distinct().orderBy("qid").collect()]
+    out = None
+    for lo in range(0, max(1, len(ids)), QUERY_BLOCK):
+        block = ids[lo : lo + QUERY_BLOCK]
+        rows = wanted.filter(F.col("qid").between(block[0], block[-1])).collect() if block else []
+        place = {q: j for j, q in enumerate(block)}
+        weights = np.zeros((len(terms), len(block)))
+        for r in rows:
+            weights[number[r.term], place[r.qid]] = r.qtf * idfs[number[r.term]]
+        weights[df == 0] = 0.0
+        state = spark.sparkContext.broadcast((np.array(block, dtype=np.int64), weights))
+
+        def score(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            qids, w = state.value
+            for docs_, at, tokens_, sizes in _token_ids(batches, known.value, cfg.stem):
+                s = np.zeros((len(sizes), len(qids)))
+                for d in range(len(sizes)):
+                    own, tf = np.unique(tokens_[at[d] : at[d + 1]], return_counts=True)
+                    if len(own):
+                        part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * sizes[d] / average) + 1e-9)
+                        s[d] = part @ w[own]
+                best = min(k, len(sizes))
+                # ties in the rounded score go to the smaller id
+                order = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -np.round(s, 6)), axis=0)[:best]
+                top = np.take_along_axis(s, order, axis=0)
+                q, keep = np.broadcast_to(qids, top.shape), top > 0
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(docs_[order][keep]), pa.array(top[keep])], schema=result)
+
+        hits = texts.filter("doc_id is not null").mapInArrow(score, "qid long, doc_id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return top_k(out, ["qid"], k)
+
+
+_TOKEN = re.compile(tx.TOKEN)
+_SUFFIX = re.compile(f"^(.{{4,}}?)(?:{'|'.join(tx.SUFFIXES)})$")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+
+
+def _token_ids(batches: Iterator[pa.RecordBatch], number: dict[str, int], stem: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of (doc_id, text): ids, n+1 positions of each document's query terms, their numbers, and document lengths."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            some = batch.slice(lo, 512)
+            found, at, sizes = [], [0], []
+            for text in some.column(1).to_pylist():
+                words = _TOKEN.findall((text or "").lower())
+                if stem and text and _CYRILLIC.search(text):
+                    words = [_SUFFIX.sub(r"\1", w) for w in words]
+                found += [i for w in words if (i := number.get(w)) is not None]
+                at.append(len(found))
+                sizes.append(len(words))
+            yield some.column(0).to_numpy(zero_copy_only=False), np.array(at), np.array(found, dtype=np.int64), np.array(sizes)
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase: str = "phrase") -> DataFrame:

@@ -65,6 +65,17 @@ def test_bm25_arithmetic(spark):
     assert lexical.bm25(docs.limit(0), queries).count() == 0
 
 
+def test_blocked_bm25_is_the_relational_one(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(9000, "діарею та лікування діареєю"), (9001, None)], "doc_id long, text string"))
+    queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").unionByName(spark.createDataFrame([(500, "лікування діареї"), (501, "")], "item_id long, text string"))
+    rows = lambda df: [(r.qid, r.doc_id, round(r.score, 6), r["rank"]) for r in df.orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 7)
+    blocked = rows(lexical.bm25_top(docs, queries, 5))
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 1)
+    assert blocked == rows(lexical.bm25_top(docs, queries, 5)) and any(r[0] == 500 for r in blocked)
+
+
 def test_dense_ties_nulls_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(dense, "QUERY_BLOCK", 1)
     v = spark.createDataFrame([(5, [1.0, 0.0]), (2, [1.0, 0.0]), (7, None), (9, [0.0, 1.0])], "vec_id long, embedding array<float>")

@@ -15,7 +15,7 @@ from lexispark.llm.common import spread, stored
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the positive-unlabelled classifier rejects."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.held_out())
-    return quality.annotate(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of all but the first document that has them; every row stays."""
-    return cdc.dedup_substrings(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = cdc.cleaned(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

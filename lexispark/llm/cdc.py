@@ -226,3 +226,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = blocks.select("block", F.lit(-1).alias("bucket"), "payload").unionByName(answers)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + T._parse_datatype_string(", ".join(f"{n} {t}" for n, _, t in OWN)).fields)
     return both.groupBy("block").applyInArrow(_drop(text_col, run_words, run_bytes), schema)
+
+
+def cleaned(df: DataFrame, **options) -> DataFrame:
+    """``df`` with repeated passages removed from the text; its columns are else unchanged."""
+    return common.around(df, [n for n, _, _ in OWN], lambda d: dedup_substrings(d, **options))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,14 @@ def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])
 
 
+def around(df: DataFrame, taken: list[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs an operator that adds columns named as in ``taken``, and gives back the rows it keeps with the columns of ``df``:
+    columns of ``df`` that have such names are set aside and restored."""
+    aside = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c in taken}
+    out = operator(df.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in df.columns]))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns])
+
+
 def running_total(df: DataFrame, keys: list[str], group: str, order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running total of ``value`` per ``keys`` in the order (group, order).
 

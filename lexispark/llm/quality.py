@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import learn
+from . import common, learn
 from . import textkernel as tk
 
 _U = np.uint64
@@ -144,6 +144,11 @@ def annotate(docs: DataFrame, model: learn.Net | None, text_col: str = "text", t
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
+def keep_good(docs: DataFrame, model: learn.Net | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the documents that the classifier rejects; their columns are unchanged."""
+    return common.around(docs, ["score", "predicted"], lambda d: annotate(d, model, text_col, threshold).filter("predicted = 1"))
+
+
 def held_out(column: str = "key", folds: int = 5, rest: int = 0) -> Column:
     """True where crc32 of the id as text leaves ``rest`` modulo ``folds``, and for null ids."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == rest, F.lit(True))

@@ -344,19 +344,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """``df`` with one document of each near-duplicate group: the smallest id, and of rows that repeat it one row.
+    """``df`` with one document of each near-duplicate group: the smallest id, and of the rows with that id the first by text.
 
-    Rows with a null id stay only where nothing they link to has an id, one for each fingerprint.
+    Rows with a null id stay only where nothing they link to has an id, one for each text.
     """
     from pyspark.sql import Window
 
     found = near_duplicates(df, id_col, text_col, width, distance)
     chosen = found.groupBy("component_id").agg(F.min("doc_id").alias("_keep")).filter("_keep is not null").select("_keep").distinct()
-    kept = df.filter(F.col(id_col).isNotNull()).join(chosen, F.col(id_col) == chosen["_keep"], "left_semi")
-    orphan = found.filter("component_id is null").count()
-    out = kept.dropDuplicates([id_col])
-    if orphan:
-        loose = df.filter(F.col(id_col).isNull())
-        seen = loose.dropDuplicates([text_col])
-        out = out.unionByName(seen)
+    own = F.col(f"`{id_col}`")
+    kept = df.filter(own.isNotNull()).join(chosen, own == chosen["_keep"], "left_semi")
+    # the join has dealt the rows out by id already
+    first = Window.partitionBy(own).orderBy(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    out = kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    if found.filter("component_id is null").limit(1).count():
+        lone = found.filter("component_id is null").select("fingerprint").distinct()
+        texts = df.filter(own.isNull()).dropDuplicates([text_col])
+        out = out.unionByName(texts.join(_texts_with(texts, text_col, width, lone), F.col(f"`{text_col}`").eqNullSafe(F.col("_text")), "left_semi"))
     return out
+
+
+def _texts_with(df: DataFrame, text_col: str, width: int, lone: DataFrame) -> DataFrame:
+    """(_text): the texts whose fingerprint is among ``lone``."""
+    numbered = df.select(F.xxhash64(F.col(f"`{text_col}`")).alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    fps = simhash(numbered, "_id", "_text", width).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    some = fps.join(lone, "fingerprint", "left_semi")
+    return numbered.join(some, numbered["_id"] == some["doc_id"], "left_semi").select("_text")

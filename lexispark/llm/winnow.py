@@ -212,4 +212,4 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs; their columns are unchanged."""
-    return annotate(docs, benchmark, **options).filter("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return common.around(docs, [n for n, _ in _FIELDS], lambda d: annotate(d, benchmark, **options).filter("not contaminated"))

@@ -136,3 +136,26 @@ def gold_ids(rows: DataFrame, names: list[str]) -> Column:
     """Gold ids as longs from the first of several array columns that has any; what is no number is dropped."""
     parts = [F.filter(F.transform(F.col(n), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull()) for n in names if n in rows.columns]
     return F.coalesce(*[F.when(F.size(p) > 0, p) for p in parts], F.array().cast("array<bigint>"))
+
+
+def section_queries(sections: DataFrame, templates: dict[str, list[str]], per_doc: int = 4, total: int = 1000, seed: str = "5") -> DataFrame:
+    """(doc_id, section, query): the templates of each section with {} the document's name; at most ``per_doc`` a document by
+    seeded hash, ``total`` in all by document."""
+    filled = None
+    for section, some in templates.items():
+        q = F.transform(F.array(*[F.lit(t) for t in some]), lambda t: F.replace(t, F.lit("{}"), F.col("name")))
+        filled = F.when(F.col("section") == section, q) if filled is None else filled.when(F.col("section") == section, q)
+    rows = sections.select("doc_id", "section", F.explode(filled).alias("query"))
+    order = F.md5(F.encode(F.concat(F.lit(f"{seed}-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("query")), "UTF-8"))
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(order, "query"))).filter(F.col("_n") <= per_doc)
+    return few.orderBy("doc_id", "_n").limit(total).drop("_n")
+
+
+def augmented(queries: DataFrame, titles: DataFrame, names: str, title: str, target: str, broad: list[str]) -> DataFrame:
+    """(qid, text, gold, intent, k): gold names to ids (equal titles, else titles that contain the name), intent and depth."""
+    from ..functions import text as tx
+
+    pairs = queries.select("qid", F.explode(names).alias("n")).select("qid", F.lower(F.trim("n")).alias("name"))
+    found = exact_or_contains(pairs.select("name"), titles, "name", title, target)
+    gold = pairs.join(found, "name").groupBy("qid").agg(F.sort_array(F.collect_set("target")).alias("gold"))
+    return queries.select("qid", "text").join(gold, "qid", "left").select("qid", "text", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold"), tx.intent(F.col("text")).alias("intent"), tx.depth_for(F.col("text"), broad).alias("k"))

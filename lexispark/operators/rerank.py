@@ -71,3 +71,21 @@ def select_and_backfill(candidates: DataFrame, selected: DataFrame, k: int) -> D
     placed = both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
     factor = F.when(F.col("safety") == "contraindicated", 0.25).when(F.col("safety") == "caution", 0.75).otherwise(1.0)
     return placed.withColumn("final", (0.65 * (1 - (F.col("place") - 1) / float(k)) + 0.35 * F.col("ce")) * factor)
+
+
+def parsed_replies(replies: DataFrame, text: str, schema: str) -> DataFrame:
+    """Adds ``reply`` (a struct of the schema, from a model's JSON text, fences and cut-off tails repaired) and ``error``."""
+    from ..sources.readers import repaired_json
+
+    df = replies.withColumn("_j", repaired_json(F.coalesce(F.col(text), F.lit("")))).withColumn("reply", F.from_json("_j", schema))
+    ok = F.try_parse_json("_j").isNotNull() & (F.col("_j") != "")
+    why = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "empty").when(F.rlike(F.lower(text), F.lit("quota|rate limit|resource_exhausted|429")), "quota").when(~ok, "invalid")
+    return df.withColumn("error", why).withColumn("reply", F.when(why.isNull(), F.col("reply"))).drop("_j")
+
+
+def judged_by_replies(candidates: DataFrame, replies: DataFrame, text: str = "text") -> DataFrame:
+    """(qid, doc_id, llm_score, safety) from stored replies with a list of candidates; unknown documents are left out."""
+    schema = "candidates array<struct<drug_id: bigint, score: double, safety_label: string>>"
+    parsed = parsed_replies(replies, text, schema).filter("error is null").select("qid", F.explode("reply.candidates").alias("c"))
+    rows = parsed.select("qid", F.col("c.drug_id").alias("doc_id"), F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("c.score"))).alias("llm_score"), F.coalesce("c.safety_label", F.lit("ok")).alias("safety"))
+    return rows.join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").dropDuplicates(["qid", "doc_id"])

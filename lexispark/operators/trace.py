@@ -27,3 +27,9 @@ def summary(trace: DataFrame) -> DataFrame:
     """(stage, queries, candidates, average best score)."""
     q = trace.groupBy("stage", "qid").agg(F.count("*").alias("n"), F.max("score").alias("best"))
     return q.groupBy("stage").agg(F.count("*").alias("queries"), F.sum("n").alias("candidates"), F.avg("best").alias("avg_best"))
+
+
+def run_metadata(results: DataFrame, run_id: str, params: dict[str, str]) -> DataFrame:
+    """One row about a run: its id, time, settings, queries and rows."""
+    p = F.create_map(*[F.lit(x) for kv in sorted(params.items()) for x in kv]) if params else F.create_map().cast("map<string,string>")
+    return results.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("rows")).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("at"), p.alias("params"), "queries", "rows")

@@ -113,3 +113,50 @@ def policy_weights(t: Tables) -> DataFrame:
 @query("training_pairs")
 def training_pairs(t: Tables) -> DataFrame:
     return passages.training_pairs(t.part, "p_partkey", "p_name", F.array("p_type"), ["what is {name}", "{category} like {name}"])
+
+
+REPLIES = ['```json\n{"candidates": [{"drug_id": 1, "score": 12, "safety_label": "caution"}, {"drug_id": 2, "score": 4}]}\n``` and more', "", "quota exceeded (429)", '{"candidates": [', '{"candidates": [{"drug_id": 77, "score": 3}]}']
+
+
+def replies(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(i + 1, x) for i, x in enumerate(REPLIES)], "qid long, text string")
+
+
+@query("llm_reply_errors", "SELECT * FROM (VALUES (1::BIGINT, NULL), (2::BIGINT, 'empty'), (3::BIGINT, 'quota'), (4::BIGINT, 'invalid'), (5::BIGINT, NULL)) v(qid, error)")
+def llm_reply_errors(t: Tables) -> DataFrame:
+    from ..operators import rerank
+
+    return rerank.parsed_replies(replies(t), "text", "candidates array<struct<drug_id: bigint>>").select("qid", "error")
+
+
+@query("llm_reply_scores", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 10.0::DOUBLE, 'caution'), (1::BIGINT, 2::BIGINT, 4.0::DOUBLE, 'ok')) v(qid, doc_id, llm_score, safety)")
+def llm_reply_scores(t: Tables) -> DataFrame:
+    from ..operators import rerank
+
+    candidates = t.spark.createDataFrame([(1, 1), (1, 2), (5, 8)], "qid long, doc_id long")
+    return rerank.judged_by_replies(candidates, replies(t))
+
+
+@query("section_queries", "WITH q AS (SELECT p_partkey AS doc_id, 'PROMO' AS section, unnest(['buy ' || p_name, 'is ' || p_name || ' cheap', p_name]) AS query FROM part WHERE p_type = 'PROMO' UNION ALL SELECT p_partkey, 'SMALL', unnest(['tiny ' || p_name]) FROM part WHERE p_type = 'SMALL'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('5-' || doc_id || '-' || query), query) AS n FROM q) SELECT doc_id, section, query FROM r WHERE n <= 2 ORDER BY doc_id, n LIMIT 100")
+def section_queries(t: Tables) -> DataFrame:
+    from ..operators import curation
+
+    s = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("section"), F.col("p_name").alias("name"))
+    return curation.section_queries(s, {"PROMO": ["buy {}", "is {} cheap", "{}"], "SMALL": ["tiny {}"]}, 2, 100)
+
+
+@query("augment_queries", "SELECT p_partkey AS qid, (SELECT CAST(count(*) AS INTEGER) FROM part b WHERE lower(b.p_name) = lower(a.p_name)) AS gold_n, 'indication' AS intent, 300 AS k FROM part a WHERE p_partkey <= 20")
+def augment_queries(t: Tables) -> DataFrame:
+    from ..operators import curation
+
+    q = t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"), F.array("p_name").alias("names"))
+    out = curation.augmented(q, t.part, "names", "p_name", "p_partkey", ["all"])
+    return out.select("qid", F.size("gold").alias("gold_n"), "intent", "k")
+
+
+@query("consumer_query", "SELECT * FROM (VALUES (0::BIGINT, 'високий рефлюкс і риніт'), (1::BIGINT, 'діаре')) v(id, q)")
+def consumer_query(t: Tables) -> DataFrame:
+    from ..functions import text as tx
+
+    d = t.spark.createDataFrame([(0, "Високий  печія, і нежить!"), (1, "понос")], "id long, text string")
+    return d.select("id", tx.consumer_query(F.col("text")).alias("q"))

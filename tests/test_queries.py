@@ -8,7 +8,7 @@ import pytest
 import lexispark.queries  # noqa: F401
 from lexispark.registry import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

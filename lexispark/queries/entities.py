@@ -104,7 +104,7 @@ def policy_by_intent(t: Tables) -> DataFrame:
     return passages.policy(t.conversations.select("conv_id", "turn", F.col("role").alias("intent")), table).drop("intent")
 
 
-@query("policy_weights", f"WITH {HITS} SELECT qid, doc_id, round(CASE WHEN regexp_matches(p_name, '(?i)red') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(p_name, '(?i)gear$') THEN -0.2 ELSE 0 END, 6) AS weight FROM hits JOIN part ON p_partkey = doc_id WHERE source = 'bm25'")
+@query("policy_weights", f"WITH {HITS} SELECT qid, doc_id, round(CAST(CASE WHEN regexp_matches(p_name, '(?i)red') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(p_name, '(?i)gear$') THEN -0.2 ELSE 0 END AS DOUBLE), 6) AS weight FROM hits JOIN part ON p_partkey = doc_id WHERE source = 'bm25'")
 def policy_weights(t: Tables) -> DataFrame:
     pairs = one_list(t).join(t.part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id")
     return passages.policy_weights(pairs, F.col("p_name"), [("red", 0.3), ("gear$", -0.2)]).withColumn("weight", F.round("weight", 6))

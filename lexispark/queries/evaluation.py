@@ -40,7 +40,7 @@ metric("ndcg_self_ideal", {"ndcg_self": SAFE.format("dcg", IDEAL.format("hits"))
 metric("ndcg_shown", {"ndcg_shown": f"dcg / ({IDEAL.format(f'least(gold_n, shown, {K})')} + 1e-9)"})
 metric("ndcg_unit_ideal", {"ndcg_unit": "dcg"})
 metric("mrr", {"rr": "coalesce(1.0 / first, 0)", "rr_k": "coalesce(1.0 / first_k, 0)"})
-metric("f1_hit", {"f1": f"CASE WHEN hits > 0 THEN 2 * (hits / {K}.0) * (hits / gold_n) / (hits / {K}.0 + hits / gold_n) ELSE 0 END", "hit": "CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END"})
+metric("f1_hit", {"f1": f"CASE WHEN hits > 0 THEN 2 * (hits / {K}.0) * (hits / gold_n) / (hits / {K}.0 + hits / gold_n) ELSE 0 END", "hit": "CAST(CASE WHEN hits > 0 THEN 1 ELSE 0 END AS DOUBLE)"})
 
 
 @query(

@@ -351,7 +351,7 @@ def condition_index(t: Tables) -> DataFrame:
 cond AS (SELECT DISTINCT o.doc_id AS qid, condition FROM d o JOIN lex ON kind = 'trigger' AND contains(s, ' ' || norm || ' ') WHERE o.doc_id < 8),
 f AS (SELECT DISTINCT doc_id, condition, kind FROM d JOIN lex ON kind <> 'trigger' AND contains(s, ' ' || norm || ' ')),
 h AS (SELECT c.qid, c.doc_id, max(CASE WHEN kind = 'positive' THEN 1 ELSE 0 END) AS pos, max(CASE WHEN kind = 'penalty' THEN 1 ELSE 0 END) AS pen FROM cand c JOIN cond USING (qid) JOIN f USING (doc_id, condition) GROUP BY 1, 2)
-SELECT qid, doc_id, round(coalesce(pos, 0) * 0.15 - coalesce(pen, 0) * 0.20, 6) AS bias FROM cand LEFT JOIN h USING (qid, doc_id)""",
+SELECT qid, doc_id, round(CAST(coalesce(pos, 0) * 0.15 - coalesce(pen, 0) * 0.20 AS DOUBLE), 6) AS bias FROM cand LEFT JOIN h USING (qid, doc_id)""",
 )
 def ce_bias(t: Tables) -> DataFrame:
     cand = t.documents.select((F.col("doc_id") % 8).alias("qid"), "doc_id")

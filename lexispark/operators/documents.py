@@ -64,3 +64,24 @@ def shaped(hits: DataFrame, docs: DataFrame, title: str, text: str, most: int =
     d = docs.select("doc_id", F.col(title).cast("string").alias("title"), F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(F.col(text)).alias("snippet"))
     rows = hits.join(d, "doc_id").select("qid", F.struct("rank", "doc_id", "score", "title", "snippet").alias("r"))
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list("r")).alias("top"))
+
+
+def passages(df: DataFrame, key: str, names: list[str], size: int = 120, overlap: int = 20, most_chars: int = 50_000, least_chars: int = 60, most: int = 100) -> DataFrame:
+    """(doc_id, section, passage_id, text): the sections cut into word windows, numbered within a document.
+
+    A section is cut at ``most_chars``; a passage shorter than ``least_chars`` stays only if it is its section's first.
+    """
+    from .chunking import word_windows
+
+    rows = sections(df.withColumnRenamed(key, "doc_id"), ["doc_id"], names).withColumn("text", F.left("text", F.lit(most_chars)))
+    parts = word_windows(rows, ["doc_id", "section_ord", "section"], "text", size, overlap).filter((F.length("chunk") >= least_chars) | (F.col("chunk_ord") == 0))
+    return numbered_passages(parts, most=most).select("doc_id", "section", "passage_id", F.concat(F.col("section"), F.lit(": "), F.col("chunk")).alias("text"))
+
+
+def candidate(df: DataFrame, fields: dict[str, tuple[str, int, str]]) -> Column:
+    """A struct of new name -> (column, most characters, default where blank); cut values end in three dots."""
+    parts = []
+    for new, (name, most, default) in fields.items():
+        v = tx.filled(F.col(name).cast("string")) if name in df.columns else F.lit(None).cast("string")
+        parts.append(F.coalesce(F.when(F.length(v) > most, F.concat(F.left(v, F.lit(most)), F.lit("..."))).otherwise(v), F.lit(default)).alias(new))
+    return F.struct(*parts)

@@ -9,7 +9,7 @@ from ..functions import names
 from ..operators import evaluate, passages
 from ..registry import Tables, query
 from .evaluation import IDEAL, JUDGED, K, judged
-from .retrieval import HITS, one_list
+from .retrieval import HITS, TOK, one_list
 
 LATIN = {"red widget": "rubrum", "economy": "oeconomia", "hot gear": "calor"}
 
@@ -160,3 +160,64 @@ def consumer_query(t: Tables) -> DataFrame:
 
     d = t.spark.createDataFrame([(0, "Високий  печія, і нежить!"), (1, "понос")], "id long, text string")
     return d.select("id", tx.consumer_query(F.col("text")).alias("q"))
+
+
+@query("result_shapes", f"WITH {HITS}, s AS (SELECT qid, rank, doc_id, CASE WHEN length(p_name) > 6 THEN left(p_name, 6) || '...' ELSE p_name END AS snippet FROM hits JOIN part ON p_partkey = doc_id WHERE source = 'bm25' AND rank <= 3) SELECT qid, string_agg(doc_id || ':' || snippet, '|' ORDER BY rank) AS top FROM s GROUP BY 1")
+def result_shapes(t: Tables) -> DataFrame:
+    from ..operators import documents
+
+    docs = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand"), F.col("p_name"))
+    out = documents.shaped(one_list(t).filter("rank <= 3"), docs, "p_brand", "p_name", 6)
+    return out.select("qid", F.array_join(F.transform("top", lambda r: F.concat_ws(":", r["doc_id"].cast("string"), r["snippet"])), "|").alias("top"))
+
+
+@query("stage_scores", f"WITH {HITS} SELECT qid, doc_id, max(score) FILTER (WHERE source = 'bm25') AS bm25, max(score) FILTER (WHERE source = 'dense') AS dense FROM hits GROUP BY 1, 2")
+def stage_scores(t: Tables) -> DataFrame:
+    from ..operators import trace
+
+    both = trace.combined([trace.stage(one_list(t, s), s, {"k": "20"}) for s in ("bm25", "dense")])
+    return trace.flat(both, ["bm25", "dense"])
+
+
+@query("candidate_structs", "SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS name, 'unknown' AS form, p_brand AS maker FROM part")
+def candidate_structs(t: Tables) -> DataFrame:
+    from ..operators import documents
+
+    c = documents.candidate(t.part, {"name": ("p_name", 8, "unnamed"), "form": ("p_form", 50, "unknown"), "maker": ("p_brand", 50, "unknown")})
+    return t.part.select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
+
+
+@query("build_passages", r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(left(trim(text), 50000), '\s+'), lambda w: w <> '') AS w FROM documents),
+c AS (SELECT doc_id, i // 100 AS chunk_ord, array_to_string(w[i + 1:i + 120], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 100)) AS i FROM d)),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_ord) - 1 AS passage_id, chunk FROM c WHERE length(chunk) >= 60 OR chunk_ord = 0)
+SELECT doc_id, CAST(passage_id AS BIGINT) AS passage_id, md5('text: ' || chunk) AS digest FROM n WHERE passage_id < 100""")
+def build_passages(t: Tables) -> DataFrame:
+    from ..operators import documents
+
+    p = documents.passages(t.documents, "doc_id", ["text"])
+    return p.select("doc_id", F.col("passage_id").cast("long").alias("passage_id"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("bm25_over_max")
+def bm25_over_max(t: Tables) -> DataFrame:
+    from ..operators import lexical, scores
+
+    top = scores.over_max(lexical.bm25_top(t.documents, t.benchmark, 10), ["qid"], "score", "relative")
+    return top.select("qid", "doc_id", F.round("relative", 6).alias("relative"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("bm25_all_passages", f"""
+WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents WHERE n_chars < 500), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM d),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format("text")}) AS term FROM benchmark WHERE item_id < 5) GROUP BY 1, 2),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT q.qid, p.doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.w) / avgdl) + 1e-9)) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, st GROUP BY 1, 2)
+SELECT x.qid, d.doc_id, round(coalesce(s.score, 0), 6) AS score, row_number() OVER (PARTITION BY x.qid ORDER BY round(coalesce(s.score, 0), 6) DESC, d.doc_id) AS rank FROM (SELECT DISTINCT qid FROM q) x, d LEFT JOIN s ON s.qid = x.qid AND s.doc_id = d.doc_id""")
+def bm25_all_passages(t: Tables) -> DataFrame:
+    """Passages without a query term rank too, with score 0: a stated few queries against all passages."""
+    from ..operators import lexical, scores
+
+    docs, queries = t.documents.filter("n_chars < 500"), t.benchmark.filter("item_id < 5")
+    every = docs.select("doc_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(5)])).alias("qid"))
+    out = every.join(lexical.bm25(docs, queries), ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return scores.ranked(out, ["qid"]).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -218,6 +218,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``df`` with repeated passages removed from the text, and n_chunks, n_dup_chunks, n_removed_chars, n_removed_words and
     removed (the removed [start, end) ranges in characters of the input text)."""
     spark = df.sparkSession
+    common.short_batches(spark)
     own = {n for n, _, _ in OWN}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own])
     blocks = common.stored(df.mapInArrow(_blocks(id_col, text_col, block_bytes), "block long, payload binary, asked binary, keys long"), name="cdc-blocks")

@@ -36,6 +36,16 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: bounds the Arrow batches of this session to ``rows``, unless it has set a bound of its own.
+
+    A batch is held by the JVM, on its way and by the worker at once, so it decides what an executor needs beside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deals a scan with fewer splits than cores (a small file of one row group) out to all of them; others stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -369,6 +369,7 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     model's stored tables (level, bucket, payload), partitioned by kind in the shared folder.
     """
     spark = df.sparkSession
+    common.short_batches(spark)
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = common.stored(source.mapInArrow(_blocks(block_bytes), "chunk long, payload binary, first binary, tokens long, trained long"), name="katz-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0

@@ -105,6 +105,7 @@ def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> learn.Net | None:
     """Learns from the rows of ``docs`` where ``held_out`` (an expression over ``key``) is false; None without positives."""
+    common.short_batches(docs.sparkSession)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").alias("text")).filter(F.col("key").isNotNull() & ~held_out)
     trusted = labels.filter(F.col(f"`{label_col}`") == 1).select(F.col(f"`{label_id_col}`").cast("long").alias("key")).filter(F.col("key").isNotNull() & ~held_out)
     positive = sampled(trusted, sample, 1).withColumn("positive", F.lit(True)).withColumn("seen", F.lit(False))
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
 
 def annotate(docs: DataFrame, model: learn.Net | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    common.short_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     state = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -130,6 +130,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.nd
 
 def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): one row per input row; fp is the fingerprint's bits as a signed long."""
+    common.short_batches(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def each(rows, data, offsets):

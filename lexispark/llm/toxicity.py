@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import learn, quality
+from . import common, learn, quality
 from . import textkernel as tk
 
 SAMPLE, LEXICON, THRESHOLD = 6000, 600, 0.7
@@ -232,6 +232,7 @@ def lexicon(counts, toxic: int, other: int, most: int = LEXICON) -> tuple[list[s
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[Matcher, learn.Logistic | None]:
     """Learns from labelled rows where ``held_out`` (an expression over ``key``) is false."""
     spark = docs.sparkSession
+    common.short_batches(spark)
     known = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("key"), F.col(f"`{label_col}`").alias("toxic")).filter(F.col("key").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out)
     known = known.groupBy("key").agg(F.max("toxic").cast("int").alias("toxic"))
     total = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -276,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
 
 def annotate(docs: DataFrame, model: tuple[Matcher, learn.Logistic | None], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    common.short_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     state = docs.sparkSession.sparkContext.broadcast(model)
 

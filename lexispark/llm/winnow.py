@@ -171,6 +171,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, span: int, gram: i
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    common.short_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_id_col, item_text_col, span, gram, block_windows)
     own = [f.name for f in docs.schema if f.name not in {n for n, _ in _FIELDS}]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])

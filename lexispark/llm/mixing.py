@@ -147,7 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, source, size, source_size, target, taken), one row per input row."""
     rows = common.stored(_documents(docs, id_col, text_col, source_col, seed), name="mix-documents")
     plan = common.stored(_plan(rows, block, shard, most, weights), name="mix-plan")
-    blocks = slots(plan, seed, most).groupBy("s", "block").agg(F.count("*").alias("times"))
+    # a table of its own: one plan for the draws and another for the documents
+    blocks = common.stored(slots(plan, seed, most).groupBy("s", "block").agg(F.count("*").alias("times")), name="mix-blocks")
     placed = rows.join(plan.select("src", "known", "s", "source_size", "target"), ["src", "known"])
     # the words of each document in each block it touches
     cut = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))

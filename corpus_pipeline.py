@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import cdc, mixing, quality, simhash, winnow
+from lexispark.llm import cdc, mixing, neardup, quality, winnow
 from lexispark.llm.common import spread, stored
 
 
@@ -19,8 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash near-duplicate group, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group linked by five-word shingle similarity of 0.8 or more, the one with the smallest id."""
+    return neardup.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,27 +1,30 @@
-"""Main text of web pages by equivalence-class template deduction (operator 8).
+"""Main text of web pages by equivalence classes of occurrence vectors (operator 8).
 
 Tokens of a page are its element paths (names with their roles) and its text blocks, each under its path. Over the pages of
-a host every token has an occurrence vector (its count on each page); tokens with one vector form an equivalence class.
-Classes on enough pages whose tokens nest are valid and make up the host's template; what varies under a template node is a
-slot. The main slot is reached from the body by descending into the valid class that holds most of the unlabelled text
-(an article or main element first); text blocks of a valid class, the same on most pages, are template text and not data.
-Inside the main slot elements that announce menus, adverts, forms, comments and the like are left out.
+a host every token has an occurrence vector (the pages that have it); tokens with one vector form an equivalence class. A
+text block is template if it is in the class of its own element path, if that class also has an element of the layout (the
+page itself, a labelled element or one that lays out others, outside of articles and main elements), if it has enough pages,
+and if its blocks are no more than half of the text of its pages (a class that holds more is a group of copies, and its text
+is data). So each layout of a host has template text of its own, and text that some pages of a layout lack is never
+template. The order of a class's tokens is not checked.
 
-Execution: vectors are never gathered. Each task sums, for each (host, token), the pages, occurrences and an exclusive-or of
-hashes of (page, count), which identifies the vector; partial sums meet in one aggregation, and only tokens on a fifth of a
-host's pages (a bounded number, since a page has few paths) form its template. Pages are never grouped by host: templates
-are broadcast where their checked size allows it, and otherwise joined with the host salted.
+The main slot is what varies: the blocks that are no template and lie in no element that announces menus, adverts, forms,
+comments and the like; where a page marks an article or main element, those in it.
+
+Execution: vectors are never gathered. Each task sums, for each (host, path, block), pages, text and an exclusive-or of page
+hashes, which identifies the vector; partial sums meet in one aggregation, and classes are found by equality joins. Pages are
+never grouped by host: template keys are broadcast where their checked size allows it, and otherwise joined with the host
+salted. Paths are chains of 64-bit hashes, so they are whole at any depth.
 
 Defined cases: null html is empty and gives the empty string; a null url is a host of its own; repeated rows stay repeated;
-hosts with too few pages, and pages without their host's main slot, use the page's own article, main element or body; an
-empty table gives no rows; further columns are ignored.
+pages of which all blocks are template keep them; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A token on this share of a host's pages can be template; text only with so many pages, and on most of them.
-PATH_SHARE, TEXT_SHARE, TEXT_PAGES = 0.2, 0.6, 20
+#: Pages that a class needs, and the most of its pages' text that a class of template text holds.
+SUPPORT, TEMPLATE_SHARE = 3, 0.5
 MOST_ENTRIES, SALTS, BROADCAST_HOSTS = 100_000, 16, 50_000
 
 #: Element names by how they lay out or end (fixed values).
@@ -46,6 +49,8 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search aler
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer foot sidebar widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond search toolbar pagination pager copyright skip masthead topbar".split()
 )
+#: Elements that hold text and lay out nothing.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote".split())
 MAIN_WORDS = frozenset("article content main post story entry body text".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
@@ -53,11 +58,15 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+def _hash(*parts) -> int:
+    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+
+
 class Element:
-    __slots__ = ("name", "path", "aside", "link", "main")
+    __slots__ = ("name", "path", "aside", "main")
 
-    def __init__(self, name: str, path: str, aside: bool, link: bool, main: bool):
-        self.name, self.path, self.aside, self.link, self.main = name, path, aside, link, main
+    def __init__(self, name: str, path: int, aside: bool, main: bool):
+        self.name, self.path, self.aside, self.main = name, path, aside, main
 
 
 def _element(name: str, attributes: str, parent: Element) -> Element:
@@ -76,31 +85,25 @@ def _element(name: str, attributes: str, parent: Element) -> Element:
             if words & {"comment", "comments", "commentlist", "sidebar"} and name not in ("article", "main"):
                 aside = True
             role = "." + "-".join(sorted(words)[:6]) if words else ""
-    return Element(name, f"{parent.path}/{name}{role}"[-400:], aside or parent.aside, name == "a" or parent.link, main)
+    return Element(name, _hash(parent.path, name, role), aside or parent.aside, main)
 
 
-def blocks(page: str) -> Iterator[tuple[Element, str, int, str]]:
-    """(block's element, text, characters in links, path of the outermost ``article``/``main`` or "") in page order."""
-    root = Element("", "", False, False, False)
-    stack, outer = [root], [""]
+def blocks(page: str) -> Iterator[tuple[Element, str, int]]:
+    """(block's element, text, path of the outermost ``article``/``main`` or 0) in page order."""
+    root = Element("", 0, False, False)
+    stack, outer = [root], [0]
     parts: list[str] = []
-    linked = 0
     at, size = 0, len(page)
 
     def close_block():
-        nonlocal parts, linked
+        nonlocal parts
         text = " ".join("".join(parts).split())
-        of, n = _block_of(stack), linked
-        parts, linked = [], 0
-        return (of, text, n, outer[-1]) if text else None
+        parts = []
+        return (_block_of(stack), text, outer[-1]) if text else None
 
     def add(raw: str):
-        nonlocal linked
         if raw:
-            raw = html_lib.unescape(raw) if "&" in raw else raw
-            parts.append(raw)
-            if stack[-1].link:
-                linked += len(raw.strip())
+            parts.append(html_lib.unescape(raw) if "&" in raw else raw)
 
     def pop_to(depth: int):
         del stack[depth:], outer[depth:]
@@ -148,7 +151,7 @@ def blocks(page: str) -> Iterator[tuple[Element, str, int, str]]:
                 pop_to(depth)
         if name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(_element(name, attributes, stack[-1]))
-            outer.append(outer[-1] or (stack[-1].path if name in ("article", "main") and not stack[-1].aside else ""))
+            outer.append(outer[-1] or (stack[-1].path if name in ("article", "main") and not stack[-1].aside else 0))
     if (b := close_block()) is not None:
         yield b
 
@@ -173,90 +176,52 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(lo, rows)
 
 
-_STATS = "host string, path string, block long, pages long, times long, vector long, chars long, linked long"
-_STATS_SCHEMA = pa.schema([("host", pa.string()), ("path", pa.string()), ("block", pa.int64()), ("pages", pa.int64()), ("times", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
+_STATS = "host string, path long, block long, pages long, vector long, chars long, whole long, layout long"
+_STATS_SCHEMA = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in ("path", "block", "pages", "vector", "chars", "whole", "layout"))])
 
 
-def _hash(*parts) -> int:
-    raw = "\x00".join(map(str, parts)).encode()
-    h = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)
-    return h - (1 << 64) if h >> 63 else h
+def _key(e: Element, text: str) -> int:
+    return _hash(e.path, text)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums over the task's pages for each (host, path, block): block 0 is the path itself (with the text right in it)."""
+    """Sums over the task's pages for each (host, path, block), block 0 the path itself.
+
+    whole is all unlabelled text of the pages; layout is 1 for elements that lay out the page outside of articles.
+    """
     sums: dict[tuple, list[int]] = {}
 
     def flush():
         rows = [(*k, *v) for k, v in sums.items()]
         sums.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_STATS_SCHEMA)], schema=_STATS_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] if k == 0 else int(r[k]) for r in rows], f.type) for k, f in enumerate(_STATS_SCHEMA)], schema=_STATS_SCHEMA)
 
     for batch in _runs(batches):
         for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            host = _host(url)
-            seen: dict[tuple, list[int]] = {("", 0): [1, 0, 0]}
-            for e, text, linked, _ in blocks(page or ""):
+            host, seen, whole, layout = _host(url), {(0, 0): 0}, 0, {0}
+            for e, text, own in blocks(page or ""):
+                seen.setdefault((e.path, 0), 0)
+                if not own and (e.aside or e.name not in TEXTUAL):
+                    layout.add(e.path)
                 if e.aside:
                     continue
-                for key, n in (((e.path, 0), len(text)), ((e.path, zlib.crc32(text.encode()) + 1), len(text))):
-                    s = seen.setdefault(key, [0, 0, 0])
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += linked
+                whole += len(text)
+                key = (e.path, _key(e, text))
+                seen[key] = seen.get(key, 0) + len(text)
             who = _hash(page_id, url)
-            for (path, block), (times, chars, linked) in seen.items():
+            for (path, block), chars in seen.items():
                 s = sums.setdefault((host, path, block), [0, 0, 0, 0, 0])
                 s[0] += 1
-                s[1] += times
-                s[2] ^= _hash(who, times)
-                s[3] += chars
-                s[4] += linked
+                s[1] ^= who
+                s[2] += chars
+                s[3] += whole
+                s[4] |= block == 0 and path in layout
             if len(sums) >= MOST_ENTRIES:
                 yield flush()
     if sums:
         yield flush()
 
 
-_TEMPLATE = "host string, main string, fixed array<string>"
-_TEMPLATE_SCHEMA = pa.schema([("host", pa.string()), ("main", pa.string()), ("fixed", pa.list_(pa.string()))])
-
-
-def deduce(rows: list[dict], pages: int) -> tuple[str, list[str]]:
-    """The main slot's path and the keys of template text, from the host's frequent tokens."""
-    paths = {r["path"]: r for r in rows if r["block"] == 0 and r["path"]}
-    mass = {}  # unlabelled, unlinked text under each path
-    for p, r in paths.items():
-        parts = p.split("/")
-        for k in range(2, len(parts) + 1):
-            q = "/".join(parts[:k])
-            mass[q] = mass.get(q, 0) + max(0, r["chars"] - r["linked"])
-    classes: dict[tuple, list[str]] = {}
-    for p, r in paths.items():
-        classes.setdefault((r["pages"], r["times"], r["vector"]), []).append(p)
-    # a class is valid if it is on half of the pages; a path without text of its own is valid through those below it
-    valid = {p for key, some in classes.items() if key[0] >= 0.5 * pages for p in some}
-    valid |= {"/".join(p.split("/")[:k]) for p in valid for k in range(2, len(p.split("/")) + 1)}
-    repeats = {p for p, r in paths.items() if r["times"] > 1.5 * r["pages"]}
-    at, total = "", sum(max(0, r["chars"] - r["linked"]) for r in paths.values())
-    while True:
-        below = [q for q in mass if q in valid and q.rpartition("/")[0] == at and q not in repeats]
-        best = max(below, key=lambda q: (mass[q], q), default=None)
-        if best is None or mass[best] < 0.6 * total or re.match(r"(p|h[1-6]|li|td|pre|blockquote)(\.|$)", best.rpartition("/")[2]):
-            break
-        at, total = best, mass[best]
-        if re.match(r"(article|main)(\.|$)", at.rpartition("/")[2]) and not any(re.match(r"article(\.|$)", q.rpartition("/")[2]) for q in mass if q.startswith(at + "/")):
-            break
-    fixed = [f"{r['path']}\x00{r['block']}" for r in rows if r["block"] and pages >= TEXT_PAGES and r["pages"] >= TEXT_SHARE * pages]
-    return at, sorted(fixed)
-
-
-def _deduce(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    main, fixed = deduce(rows, rows[0]["of"])
-    return pa.Table.from_arrays([pa.array([rows[0]["host"]]), pa.array([main]), pa.array([fixed], pa.list_(pa.string()))], schema=_TEMPLATE_SCHEMA)
-
-
 def _join_hosts(rows: DataFrame, hosts: DataFrame, spread: Column, how: str) -> DataFrame:
     """Joins a row for each host to ``rows``: broadcast up to a checked number of hosts, else with each host salted."""
     if hosts.count() <= BROADCAST_HOSTS:
@@ -266,28 +231,23 @@ def _join_hosts(rows: DataFrame, hosts: DataFrame, spread: Column, how: str) ->
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, fixed) from rows (page_id, url, html)."""
-    stats = pages.mapInArrow(_count, _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "chars", "linked")], F.bit_xor("vector").alias("vector"))
-    stats = common.stored(stats, name="page-tokens")
-    hosts = stats.filter("path = '' and block = 0").select("host", F.col("pages").alias("of"))
-    # filtered where they are: only the few frequent tokens of a host go to one task
-    frequent = _join_hosts(stats, hosts, F.xxhash64("path", "block"), "inner").filter(F.col("pages") >= F.greatest(F.lit(2), F.col("of") * F.when(F.col("block") == 0, PATH_SHARE).otherwise(TEXT_SHARE)))
-    return frequent.groupBy("host").applyInArrow(_deduce, _TEMPLATE)
-
-
-def main_text(page: str, main: str | None, fixed: frozenset | set) -> str:
-    """The blocks of the main slot, or of the page's own article, main element or body."""
+    """(host, fixed) from rows (page_id, url, html): the keys of each host's template text."""
+    stats = pages.mapInArrow(_count, _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "whole")], F.bit_xor("vector").alias("vector"), F.max("layout").alias("layout"))
+    stats = common.stored(stats.filter(F.col("pages") >= SUPPORT), name="page-tokens")
+    own = stats.filter("block = 0").select("host", "path", "pages", "vector")
+    text = stats.filter("block <> 0")
+    held = text.groupBy("host", "pages", "vector").agg(F.sum("chars").alias("held"), F.max("whole").alias("of"))
+    laid = stats.filter("block = 0 and layout = 1").select("host", "pages", "vector")
+    valid = held.filter(F.col("held") <= TEMPLATE_SHARE * F.col("of")).select("host", "pages", "vector").join(laid, ["host", "pages", "vector"], "left_semi")
+    fixed = text.join(own, ["host", "path", "pages", "vector"], "left_semi").join(valid, ["host", "pages", "vector"], "left_semi")
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("fixed"))
+
+
+def main_text(page: str, host: str | None, fixed: frozenset | set) -> str:
+    """The unlabelled blocks that are no template of the host, in the page's own article or main element where it has one."""
     found = [b for b in blocks(page) if not b[0].aside]
-    inside = [b for b in found if main and (b[0].path == main or b[0].path.startswith(main + "/"))]
-    own = [b for b in found if b[3]]
-    # an article or main element of the page's own goes before a template node that lies outside of it
-    if own and (not inside or not any(b[3] for b in inside)):
-        inside = own
-    elif inside and any(b[3] for b in inside):
-        inside = [b for b in inside if b[3]]
-    if not inside:
-        inside = [b for b in found if b[2] < 0.5 * len(b[1])] or found
-    kept = [b for b in inside if f"{b[0].path}\x00{zlib.crc32(b[1].encode()) + 1}" not in fixed] if fixed else inside
+    inside = [b for b in found if b[2]] or found
+    kept = [b for b in inside if _key(b[0], b[1]) not in fixed] if fixed else inside
     return "\n\n".join(b[1] for b in kept or inside)
 
 
@@ -305,12 +265,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         sets: dict[str, frozenset] = {}
         for batch in _runs(batches):
             out = []
-            for own, page, main, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "main", "fixed"))):
+            for own, page, fixed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "fixed"))):
                 if fixed and own not in sets:
                     if len(sets) > 1000:
                         sets.clear()
                     sets[own] = frozenset(fixed)
-                out.append(main_text(page or "", main, sets[own] if fixed else frozenset()))
+                out.append(main_text(page or "", own, sets[own] if fixed else frozenset()))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], schema=schema)
 
-    return joined.select("page_id", "url", "html", "host", "main", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -89,3 +89,17 @@ def test_edges(spark):
 def test_many_hosts_are_joined_salted(spark, monkeypatch):
     monkeypatch.setattr(ht, "BROADCAST_HOSTS", 0)
     test_hosts_without_article_elements(spark)
+
+
+def texts_of(spark, htmls):
+    rows = [(i, f"http://site.example/{i}", h) for i, h in enumerate(htmls)]
+    return {r.page_id: r.text for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    rng = random.Random(8)
+    story = lambda i: f"story {i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    stories = [story(i) for i in range(30)]
+    kinds = ["<div class=one><b>From the daily desk</b><p>{}</p></div>", "<div class=two><p>{}</p><span>Printed weekly</span></div>", "<section><div>Archive of the house</div><p>{}</p></section>"]
+    got = texts_of(spark, ["<body>" + kinds[i % 3].format(s) + "</body>" for i, s in enumerate(stories)])
+    assert got == dict(enumerate(stories))

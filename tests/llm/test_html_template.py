@@ -103,3 +103,12 @@ def test_each_layout_of_a_host_has_its_template(spark):
     kinds = ["<div class=one><b>From the daily desk</b><p>{}</p></div>", "<div class=two><p>{}</p><span>Printed weekly</span></div>", "<section><div>Archive of the house</div><p>{}</p></section>"]
     got = texts_of(spark, ["<body>" + kinds[i % 3].format(s) + "</body>" for i, s in enumerate(stories)])
     assert got == dict(enumerate(stories))
+
+
+def test_copies_and_headings_are_data(spark):
+    shared = ["a paragraph that the copies share", "and one more of theirs", "Background"]
+    own = [f"page {i} says {i * 7919} things" for i in range(30)]
+    body = lambda i, copy: f"<h2>{shared[2]}</h2><p>{shared[0]}</p><p>{shared[1]}</p><p>{own[i]}</p>" if copy else f"<p>{own[i]}</p>"
+    for wrap in ("<article>{}</article>", "<div class=wrap>{}</div>"):
+        got = texts_of(spark, [wrap.format(body(i, i % 3 > 0)) for i in range(30)])
+        assert got == {i: "\n\n".join([shared[2], *shared[:2], own[i]] if i % 3 else [own[i]]) for i in range(30)}

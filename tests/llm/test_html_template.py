@@ -112,3 +112,10 @@ def test_copies_and_headings_are_data(spark):
     for wrap in ("<article>{}</article>", "<div class=wrap>{}</div>"):
         got = texts_of(spark, [wrap.format(body(i, i % 3 > 0)) for i in range(30)])
         assert got == {i: "\n\n".join([shared[2], *shared[:2], own[i]] if i % 3 else [own[i]]) for i in range(30)}
+
+
+def test_blocks_below_long_paths(spark):
+    deep = "<div class='some-long-class-name of-the-page'>" * 60
+    top = [f"top {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    htmls = [f"<main><p>{t}</p>{deep}<p>deep {i}</p></main>" for i, t in enumerate(top)]
+    assert texts_of(spark, htmls) == {i: f"{t}\n\ndeep {i}" for i, t in enumerate(top)}

@@ -119,3 +119,10 @@ def test_blocks_below_long_paths(spark):
     top = [f"top {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
     htmls = [f"<main><p>{t}</p>{deep}<p>deep {i}</p></main>" for i, t in enumerate(top)]
     assert texts_of(spark, htmls) == {i: f"{t}\n\ndeep {i}" for i, t in enumerate(top)}
+
+
+def test_title_lead_second_container_and_linked_blocks_stay(spark):
+    raw = "<div class=post><h1>title {0}</h1><p>lead {0}</p><div class=body><p>{1}</p></div><div class=more><p>rest {0}</p><p><a href=/r>reference {0}</a></p></div></div>"
+    long = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)]
+    assert texts_of(spark, [raw.format(i, t) for i, t in enumerate(long)]) == {i: f"title {i}\n\nlead {i}\n\n{t}\n\nrest {i}\n\nreference {i}" for i, t in enumerate(long)}
+    assert ht.main_text("<p>text</p><p><a href=/r>a linked reference</a></p>", None, frozenset()) == "text\n\na linked reference"

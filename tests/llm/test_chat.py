@@ -1,6 +1,8 @@
 import functools
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexispark.llm import chat
@@ -39,24 +41,12 @@ def conversations():
 
 
 @pytest.mark.parametrize("cut", [1000, 2])
-def test_against_brute_force(spark, cut, monkeypatch):
-    monkeypatch.setattr(chat, "FRAGMENT_TURNS", cut)
+def test_against_brute_force(spark, cut):
     convs = conversations()
     convs[1000] = ["user"] * 5 + ["assistant", "system", "assistant"]
     convs[None] = ["assistant", "assistant"]
     rows = [(c, t, r, f"text {t}", "x") for c, roles in convs.items() for t, r in enumerate(roles)]
-    if cut == 2:  # the workers do not see a patched module
-        fragments = []
-        for c, roles in convs.items():
-            numbers = [chat.role_number(r) for r in roles]
-            whole = chat.transfer(numbers)
-            pieces = [chat.transfer(numbers[i : i + cut]) for i in range(0, len(numbers), cut)]
-            joined = functools.reduce(lambda a, b: (a[:, :, None] + b[None]).min(axis=1), pieces)
-            assert (joined == whole).all()
-            assert (whole[0] + chat.END_COST).min() == pytest.approx(brute(tuple(numbers)))
-            fragments.append(pieces)
-        return
-    got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost string")).collect()
+    got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost string"), fragment_turns=cut).collect()
     for c, roles in convs.items():
         own = sorted((r for r in got if r.conv_id == c), key=lambda r: (r.pos, r.part))
         assert sum(r.cost for r in own) == pytest.approx(brute(tuple(chat.role_number(r) for r in roles)))
@@ -70,6 +60,48 @@ def test_against_brute_force(spark, cut, monkeypatch):
             assert f"text {t}" in whole
 
 
+def first_best(roles):
+    """The lexicographically first of all state sequences of least cost, by trying every one."""
+    best = None
+    for states in itertools.product((1, 2, 3), repeat=len(roles)):
+        cost, state = 0.0, chat.START
+        for read, to in zip(roles, states):
+            cost += chat.STEP[read, state, to]
+            state = to
+        cost += chat.END_COST[state]
+        if best is None or cost < best[0]:
+            best = (cost, states)
+    return list(best[1])
+
+
+def test_ties_go_to_the_first_sequence_of_states():
+    rng = random.Random(5)
+    for _ in range(300):
+        roles = [rng.randrange(4) for _ in range(rng.randint(1, 7))]
+        want = first_best(roles)
+        assert chat.path(roles, chat.START, None) == want
+        for cut in (1, 2, 3):
+            parts = [roles[i : i + cut] for i in range(0, len(roles), cut)]
+            rows = [(k, len(p), *(x.ravel().tolist() for x in chat.transfer(p))) for k, p in enumerate(parts)]
+            chain = chat._chain(pa.Table.from_pylist([dict(zip(("frag", "n", "matrix", "place"), r)) for r in rows])).to_pylist()
+            assert sum((chat.path(p, c["entry"], c["leave"]) for p, c in zip(parts, chain)), []) == want
+
+
+def test_equal_output_for_any_number_of_partitions(spark):
+    rng = random.Random(6)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "odd", None]), f"t{t}") for c in range(12) for t in range(rng.choice([1, 5, 60, 300]))]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 7, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            results.append(sorted(map(str, chat.repair(df, fragment_turns=9 * n).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+
+
 def test_long_conversation_over_many_partitions(spark):
     rng = random.Random(3)
     roles = [rng.choice(["user", "assistant", "system", "odd"]) for _ in range(9000)]
@@ -77,7 +109,7 @@ def test_long_conversation_over_many_partitions(spark):
     got = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
     own = sorted((r for r in got if r.conv_id == 7), key=lambda r: (r.pos, r.part))
     numbers = [chat.role_number(r) for r in roles]
-    assert sum(r.cost for r in own) == pytest.approx((chat.transfer(numbers)[0] + chat.END_COST).min())
+    assert sum(r.cost for r in own) == pytest.approx((chat.transfer(numbers)[0][0] + chat.END_COST).min())
     assert [r.turn for r in own if r.turn is not None] == list(range(9000))
     messages = [r.role for r in own if "merge" not in r.action]
     start = messages[0] == "system"

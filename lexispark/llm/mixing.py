@@ -1,35 +1,41 @@
 """Mixing sources to target weights (operator 6), in DataFrame operations only.
 
 Each source's documents, in a fixed pseudorandom order, are packed end to end into blocks of ``BLOCK`` words. The mix is a
-sequence of slots, ``SHARD`` to an output shard. A shard gives every source the whole part of its expected number of slots;
-the slots left over are drawn from the multinomial distribution of the fractional parts, so counts are multinomial draws with
-the right means and the least variance. A source's n-th slot of all shards takes pass n div B of its B blocks and in it the
-place that a pseudorandom permutation of the indices gives n mod B; slots and blocks meet in a join by (source, block).
-Everything is a function of seed, ids and sizes, so reruns agree.
+sequence of slots, ``SHARD`` to an output shard. Every slot of a shard draws its source with the sources' shares of the slots as
+probabilities, so a shard's counts are a multinomial draw; a source's total has a relative deviation of about one over the root
+of its number of slots. A source's n-th slot of all shards takes pass n div B of its B blocks and in it the place that a
+pseudorandom permutation of the indices gives n mod B; slots and blocks meet in a join by (source, block). Everything is a
+function of seed, ids and sizes, so reruns agree.
 
 Weights repeat ``WEIGHTS`` over the sources by code point, null last. Targets share the total by weight; none exceeds
 ``MOST_PASSES`` times its source's size, and the excess is shared again by weight until none does. A slot beyond the last
 allowed pass takes nothing, so no document is taken more than ``MOST_PASSES`` times.
 
-Running totals over documents and shards go through sums of groups of bounded size, so that a source with a third of all rows
-is no single task's work; draws find their source by an equi-join on a bin of the unit interval, not by a broadcast.
+Running totals over documents and shards go through sums of groups, of a size that grows with the root of their number, so that
+neither a group nor the sums of a source with a third of all rows are much for one task; slots are counted per shard before
+they are shuffled, and find their source by an equi-join on a bin of the unit interval, whose side is broadcast up to
+``MOST_BROADCAST`` sources and merged beyond. Targets are one sort over a row for each source (it spills, if need be).
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own; a null id is
-allowed; repeated rows are documents of their own; sources of size 0 get target 0; an empty table gives no rows; further
-columns are ignored.
+allowed; repeated rows are documents of their own; a text of any length is a run of blocks; sources of size 0 get target 0; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, SHARD, MOST_PASSES = 64, 512, 3
+BLOCK, SHARD, MOST_PASSES = 32, 512, 3
 WEIGHTS = (1, 2, 3)
-#: Documents in one group of a running total on average, shards in one group, bins of the unit interval.
+#: Documents in one group of a running total, shards in one group (at least; both grow with the root), bins of the unit interval.
 GROUP_ROWS, GROUP_SHARDS, BINS = 1000, 1024, 4096
+#: Sources up to which the table of bins is broadcast.
+MOST_BROADCAST = 100_000
 SEED = 20_240_601
 
 
@@ -91,41 +97,43 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, see
     """(doc_id, src, known, size, at): ``at`` is the document's first word in its source's stream."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("src"), F.col(f"`{source_col}`").isNotNull().alias("known"), word_count(F.col(f"`{text_col}`")).alias("size"))
     rows = common.stored(rows, name="mix-sizes")
-    groups = max(1, -(-rows.count() // GROUP_ROWS))
+    n = rows.count()
+    groups = max(1, n // max(GROUP_ROWS, math.isqrt(n)))
     order = F.xxhash64("doc_id", F.lit(seed))
     rows = rows.withColumn("o", order).withColumn("g", F.pmod(F.col("o"), F.lit(groups)))
     return common.running_total(rows, ["src", "known"], "g", ["o", "doc_id", "size"], "size", "at")
 
 
 def _plan(docs: DataFrame, block: int, shard: int, most: int, weights: tuple[int, ...]) -> DataFrame:
-    """One row a source: number, size, target, blocks and share of the slots; with the number of shards."""
+    """One row a source: number, size, target, blocks, expected slots and part of the unit interval; with the numbers of shards."""
     sizes = docs.groupBy("src", "known").agg(F.sum("size").alias("source_size"))
     rows = targets(sizes, weights, most).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
     # slots that the target takes, as blocks hold source_size / blocks words on average
     rows = rows.withColumn("slots", F.when(F.col("blocks") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0)))
     every = Window.partitionBy()
-    rows = rows.withColumn("all_slots", F.sum("slots").over(every)).withColumn("shards", F.greatest(F.ceil(F.col("all_slots") / shard), F.lit(1)).cast("long"))
-    # expected slots of the source in each shard
-    return rows.withColumn("mean", F.col("slots") / F.col("shards")).withColumn("whole", F.floor("mean").cast("long")).withColumn("rest", F.col("mean") - F.col("whole"))
+    by = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum("slots").over(every)).withColumn("hi", F.try_divide(F.sum("slots").over(by), F.col("sum")))
+    rows = rows.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0.0)))
+    # sources without slots may follow the last that has some
+    rows = rows.withColumn("hi", F.when(F.col("s") == F.max(F.when(F.col("slots") > 0, F.col("s"))).over(every), F.lit(1.0)).otherwise(F.col("hi")))
+    rows = rows.withColumn("all_slots", F.round("sum").cast("long")).withColumn("shards", F.ceil(F.col("all_slots") / shard).cast("long"))
+    return rows.withColumn("shard_slots", F.lit(shard)).withColumn("group_shards", F.greatest(F.lit(GROUP_SHARDS), F.ceil(F.sqrt("shards"))).cast("long"))
 
 
-def _draws(spark, plan: DataFrame, seed: int) -> DataFrame:
-    """(s, shard, extra): multinomial draws of each shard's left-over slots, counted."""
-    by = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    parts = plan.filter("rest > 0").withColumn("all", F.sum("rest").over(every)).withColumn("hi", F.sum("rest").over(by) / F.col("all")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0.0)))
-    last = F.row_number().over(Window.orderBy(F.col("s").desc())) == 1
-    parts = parts.withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("hi")))
-    bins = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1).cast("long"))))).select("s", "lo", "hi", "bin")
-    # the number left over is the same for all shards but for its fraction, which is drawn too
-    one = parts.agg(F.max("all").alias("all"), F.max("shards").alias("shards")).filter("all is not null")
-    groups = one.select("all", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / GROUP_SHARDS))).alias("group"))
-    groups = groups.repartition(common.tasks(spark), "group")
-    shards = groups.withColumn("shard", F.explode(F.sequence(F.col("group") * GROUP_SHARDS, F.least((F.col("group") + 1) * GROUP_SHARDS, F.col("shards")) - 1)))
-    number = F.floor("all").cast("long") + F.when(_unit("shard", F.lit(seed + 1)) < F.col("all") - F.floor("all"), 1).otherwise(0)
-    slots = shards.withColumn("number", number).filter("number > 0").select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("number"))).alias("k"))
-    drawn = slots.withColumn("u", _unit("shard", "k", F.lit(seed + 2))).withColumn("bin", F.floor(F.col("u") * BINS))
-    return drawn.join(bins, "bin").filter("u >= lo and u < hi").groupBy("s", "shard").agg(F.count("*").alias("extra"))
+def draws(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """(shard, group, s, number): each shard's multinomial draw, counted by source."""
+    spark = plan.sparkSession
+    parts = plan.filter("slots > 0")
+    bins = parts.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1).cast("long")))).alias("bin"))
+    one = parts.agg(*[F.max(c).alias(c) for c in ("all_slots", "shards", "shard_slots", "group_shards")]).filter("shards > 0")
+    groups = one.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / F.col("group_shards"))))).repartition(common.tasks(spark), "group")
+    shards = groups.withColumn("shard", F.explode(F.sequence(F.col("group") * F.col("group_shards"), F.least((F.col("group") + 1) * F.col("group_shards"), F.col("shards")) - 1)))
+    number = F.least(F.col("shard_slots"), F.col("all_slots") - F.col("shard") * F.col("shard_slots"))
+    slots = shards.select("shard", "group", F.explode(F.sequence(F.lit(1).cast("long"), number)).alias("k"))
+    drawn = slots.select("shard", "group", _unit("shard", "k", F.lit(seed + 2)).alias("u")).withColumn("bin", F.floor(F.col("u") * BINS))
+    few = plan.count() <= MOST_BROADCAST
+    found = drawn.join(F.broadcast(bins) if few else bins.hint("merge"), "bin").filter("u >= lo and u < hi")
+    return found.groupBy("shard", "group", "s").agg(F.count("*").alias("number"))
 
 
 def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFrame:
@@ -133,11 +141,7 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
 
     A slot whose number n is beyond the last allowed pass over its source is left out.
     """
-    spark = plan.sparkSession
-    every = plan.filter("blocks > 0").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / GROUP_SHARDS)))).repartition(common.tasks(spark), "s", "group")
-    every = every.select("s", "group", "whole", "blocks", F.explode(F.sequence(F.col("group") * GROUP_SHARDS, F.least((F.col("group") + 1) * GROUP_SHARDS, F.col("shards")) - 1)).alias("shard"))
-    counts = every.join(_draws(spark, plan, seed).hint("merge"), ["s", "shard"], "left").withColumn("number", F.col("whole") + F.coalesce("extra", F.lit(0))).filter("number > 0")
-    numbered = common.running_total(counts, ["s"], "group", ["shard"], "number", "first")
+    numbered = common.running_total(draws(plan, seed), ["s"], "group", ["shard"], "number", "first").join(plan.select("s", "blocks"), "s")
     out = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("number") - 1)).alias("n")).filter(F.col("n") < F.col("blocks") * most)
     out = out.withColumn("turn", F.floor(F.col("n") / F.col("blocks")).cast("long")).withColumn("i", F.col("n") - F.col("turn") * F.col("blocks"))
     return permuted(out, "i", "blocks", "s", "turn", "block", seed).select("shard", "s", "n", "block")

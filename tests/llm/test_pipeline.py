@@ -44,7 +44,7 @@ def test_each_stage_against_brute_force(spark):
         if name != "substring_dedup":
             assert all(before[i] == r for i, r in after.items())
         before = after
-    check_mix(cp.STAGES[-1][1](spark, docs, SF).collect(), [(i, r.text, r.source) for i, r in before.items()], 0.1)
+    check_mix(cp.STAGES[-1][1](spark, docs, SF).collect(), [(i, r.text, r.source) for i, r in before.items()])
 
 
 def test_run(spark):

@@ -1,22 +1,23 @@
 """Toxicity scoring with Levenshtein automata over a lexicon trie (operator 7).
 
 The lexicon is learned: words whose document frequency in toxic training texts exceeds that in other training texts by a
-significant log-odds. Its trie is intersected with the Levenshtein automaton of distance 1 (words of ``FUZZY_FROM`` bytes and
-more; shorter ones must match exactly), giving one deterministic automaton that NumPy drives over all words of a slice at
-once. A match inside quotation marks, or near a reporting word, counts as quotation; the others as abuse. Densities, totals
+significant log-odds. Its trie is intersected with the Levenshtein automaton of distance 1 (words of ``FUZZY_FROM`` characters
+and more; shorter ones must match exactly), giving one deterministic automaton over code points, lower-cased as the lexicon is,
+that NumPy drives over all words of a slice at once. A match inside quotation marks, or near a reporting word, counts as quotation; the others as abuse. Densities, totals
 and the densest window of both kinds go into a logistic regression.
 
 The learner sees at most ``SAMPLE`` toxic and ``SAMPLE`` other training texts (those with the smallest hash of the id, in
 their true proportion by weights). Features for the regression come from a lexicon of the other half of the sample. Every
 whole text is scored in one scan without a shuffle.
 
-Defined cases: null and empty texts have no matches; null ids are scored and count as held out; repeated rows stay repeated;
+Defined cases: null and empty texts have no matches; a text of any length is scored whole, alone in its slice if it is long; null ids are scored and count as held out; repeated rows stay repeated;
 without toxic training rows the lexicon is empty and scores are near 0; an empty table gives an empty result; further columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,39 +36,55 @@ FUZZY_FROM, WINDOW = 5, 30
 REPORTING = ["said", "says", "called", "quote", "quoted", "quoting", "wrote", "dit", "cite", "sagte", "sagt", "zitat", "dijo", "dice", "cita"]
 
 
+@functools.cache
+def _lower() -> np.ndarray:
+    """The lower-case code point of each code point (itself where that is no single one)."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x20000):
+        low = chr(c).lower()
+        if len(low) == 1:
+            out[c] = ord(low)
+    return out
+
+
 class Automaton:
     """The deterministic automaton of a lexicon's words and their misspellings.
 
-    A state is a set of (trie node, edits); state 0 is dead, state 1 the start. ``table[state, byte]`` is the next state.
-    ``word[state]`` is the best word accepted there (-1: none), ``edits[state]`` its distance.
+    A state is a set of (trie node, edits); state 0 is dead, state 1 the start. ``kind[code point]`` is the number of a
+    character of the lexicon, upper or lower case, 0 for any other; ``table[state, kind]`` is the next state. ``word[state]`` is
+    the best word accepted there (-1: none), ``edits[state]`` its distance.
     """
 
     def __init__(self, words: list[str]):
         self.words = words
+        letters = {ord(c): k for k, c in enumerate(sorted(set("".join(words))), 1)}
+        self.letters = letters
+        self._kind = None
         children: list[dict[int, int]] = [{}]
         ends = [-1]
-        deep = [0]  # bytes of the longest word below
+        deep = [0]  # characters of the longest word below
         for i, w in enumerate(words):
-            node, raw = 0, w.encode()
-            for b in raw:
-                deep[node] = max(deep[node], len(raw))
-                if b not in children[node]:
-                    children[node][b] = len(children)
+            node = 0
+            for c in w:
+                deep[node] = max(deep[node], len(w))
+                k = letters[ord(c)]
+                if k not in children[node]:
+                    children[node][k] = len(children)
                     children.append({})
                     ends.append(-1)
                     deep.append(0)
-                node = children[node][b]
-            deep[node] = max(deep[node], len(raw))
+                node = children[node][k]
+            deep[node] = max(deep[node], len(w))
             if ends[node] < 0:
                 ends[node] = i
-        size = [len(w.encode()) for w in words]
+        size = [len(w) for w in words]
         fuzzy = lambda node: deep[node] >= FUZZY_FROM  # noqa: E731  some word below may be misspelled
 
         def close(nodes: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
             out = set(nodes)
             for node, e in nodes:
                 if e == 0:
-                    out.update((c, 1) for c in children[node].values() if fuzzy(c))  # a byte of the word is missing
+                    out.update((c, 1) for c in children[node].values() if fuzzy(c))  # a character of the word is missing
             return frozenset((n, e) for n, e in out if e == 0 or (n, 0) not in out)
 
         def accept(state: frozenset[tuple[int, int]]) -> tuple[int, int]:
@@ -76,7 +93,8 @@ class Automaton:
 
         start = close({(0, 0)})
         number: dict[frozenset, int] = {frozenset(): 0, start: 1}
-        queue, rows = [start], [np.zeros(256, dtype=np.int32)]
+        width = len(letters) + 1
+        queue, rows = [start], [np.zeros(width, dtype=np.int32)]
         words_at, edits_at = [-1, -1], [0, 0]
 
         def ident(state: frozenset) -> int:
@@ -92,25 +110,39 @@ class Automaton:
         while at < len(queue):
             state = queue[at]
             at += 1
-            other = {(n, 1) for n, e in state if e == 0 and fuzzy(n)}  # a byte too many
+            other = {(n, 1) for n, e in state if e == 0 and fuzzy(n)}  # a character too many
             for n, e in state:
                 if e == 0:
-                    other.update((c, 1) for c in children[n].values() if fuzzy(c))  # a byte replaced
-            row = np.full(256, ident(close(other)), dtype=np.int32)
+                    other.update((c, 1) for c in children[n].values() if fuzzy(c))  # a character replaced
+            row = np.full(width, ident(close(other)), dtype=np.int32)
             for b in {b for n, _ in state for b in children[n]}:
                 row[b] = ident(close(other | {(children[n][b], e) for n, e in state if b in children[n]}))
-            row[65:91] = row[97:123]  # lower-casing; the lexicon is lower case
             rows.append(row)
         self.table = np.stack(rows)
         self.word, self.edits = np.array(words_at, dtype=np.int32), np.array(edits_at, dtype=np.int8)
 
+    def __getstate__(self):
+        return self.__dict__ | {"_kind": None}
+
+    @property
+    def kind(self) -> np.ndarray:
+        """Built where it is used; it is not sent around."""
+        if self._kind is None:
+            own = np.zeros(0x110000, dtype=np.uint16)
+            own[list(self.letters)] = list(self.letters.values())
+            self._kind = own[_lower()]
+        return self._kind
+
     def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the given spans: indices of those accepted, the word of each and its distance."""
+        """Of the given spans of UTF-8 bytes: indices of those accepted, the word of each and its distance."""
+        kinds = self.kind[np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        starts, ends = place[starts], place[ends]
         live = np.arange(len(starts))
         state = np.ones(len(starts), dtype=np.int32)
         found, at = [], 0
         while len(live):
-            state = self.table[state, data[starts[live] + at]]
+            state = self.table[state, kinds[starts[live] + at]]
             at += 1
             alive = state > 0
             live, state = live[alive], state[alive]

@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lexispark.llm import textkernel as tk
@@ -23,7 +25,7 @@ def distance(a, b):
 
 def test_automaton_against_edit_distance():
     rng = random.Random(8)
-    words = ["idiot", "moron", "scum", "clown", "éclown", "trash", "trashy", "ab", "réeuxpa"]
+    words = ["idiot", "moron", "scum", "clown", "éclown", "trash", "trashy", "ab", "réeuxpa", "ünsäß", "жовно"]
     auto = toxicity.Automaton(words)
     texts = words + [w.upper() for w in words]
     for w in words:
@@ -37,12 +39,44 @@ def test_automaton_against_edit_distance():
     data, offsets = tk.buffers(pa.array(texts))
     i, w, e = auto.run(data, offsets[:-1], offsets[1:])
     got = dict(zip(i.tolist(), zip(w.tolist(), e.tolist())))
-    lower = lambda t: bytes(tk.LOWER[np.frombuffer(t.encode(), dtype=np.uint8)])
-    for k, t in enumerate(texts):
-        near = [(d, j) for j, x in enumerate(words) if (d := distance(lower(t), x.encode())) <= (1 if len(x.encode()) >= toxicity.FUZZY_FROM else 0)]
+    texts_lower = ["".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
+    for k, t in enumerate(texts_lower):
+        near = [(d, j) for j, x in enumerate(words) if (d := distance(t, x)) <= (1 if len(x) >= toxicity.FUZZY_FROM else 0)]
         assert got.get(k) == ((min(near)[1], min(near)[0]) if near else None), t
 
 
+def test_letters_beyond_ascii_count_once_and_fold():
+    auto = toxicity.Automaton(["énorme", "été"])
+    texts = ["ÉNORME", "enorme", "ênorme", "nénorme", "ete", "ÉTÉ", "énoorrme"]
+    data, offsets = tk.buffers(pa.array(texts))
+    i, w, e = auto.run(data, offsets[:-1], offsets[1:])
+    assert list(zip(i.tolist(), w.tolist(), e.tolist())) == [(0, 0, 0), (1, 0, 1), (2, 0, 1), (3, 0, 1), (5, 1, 0)]
+
+
+def test_scores_per_text_against_brute_force():
+    """The totals of each text from a plain loop over its words."""
+    rng = random.Random(4)
+    words, weights = ["idiot", "crétin", "scum"], [5.0, 4.0, 3.0]
+    m = toxicity.Matcher(words, weights)
+    pool = ["idiot", "Idiiot", "CRÉTIN", "cretin", "scum", "scam", "fine", "day", "said", "tree", '"', "new\nline"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    x = m.features(*tk.buffers(pa.array(texts)))
+    for k, t in enumerate(texts):
+        sums = {"abuse_total": 0.0, "misspelled_total": 0.0, "quoted_total": 0.0}
+        spans = [(w.start(), w[0]) for w in re.finditer(r'[^\s"]+', t)]
+        for j, (at, word) in enumerate(spans):
+            near = [(d, n) for n, y in enumerate(words) if (d := distance(word.lower(), y)) <= (1 if len(y) >= toxicity.FUZZY_FROM else 0)]
+            if not near:
+                continue
+            d, n = min(near)
+            line = t[t.rfind("\n", 0, at) + 1 :].split("\n")[0]
+            before = t[t.rfind("\n", 0, at) + 1 : at].count('"')
+            quoted = before % 2 == 1 and line.count('"') > before or any(s.lower() in toxicity.REPORTING for _, s in spans[max(0, j - 4) : j + 5] if s != word)
+            sums["quoted_total" if quoted else "misspelled_total" if d else "abuse_total"] += weights[n]
+        for name, total in sums.items():
+            assert x[k, toxicity.NAMES.index(name)] == pytest.approx(np.log1p(total)), (t, name)
+
+
 def test_quotation_and_windows():
     m = toxicity.Matcher(["idiot", "clown"], [5.0, 4.0])
     i = toxicity.NAMES.index

@@ -49,12 +49,12 @@ def tables():
     return docs + docs[:2], items
 
 
-@pytest.mark.parametrize("block", [winnow.BLOCK_WINDOWS, 20])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("most", [winnow.MOST_WINDOWS, 20])
+def test_against_brute_force(spark, most):
     docs, items = tables()
     d = spark.createDataFrame([(*x, 7) for x in docs], "doc_id long, text string, n_hit long")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = winnow.annotate(d, b, block_windows=block).drop("text")
+    got = winnow.annotate(d, b, most_windows=most).drop("text")
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(docs, items), key=key)
@@ -70,6 +70,16 @@ def test_empty_tables(spark):
     assert winnow.annotate(d.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
 
 
+def test_long_texts_and_hot_windows_of_a_large_benchmark(spark):
+    """A window that half of the items and many documents have, and a long text, by the join."""
+    hot = " ".join(f"h{i}" for i in range(12))
+    items = [(i, (hot if i % 2 else "") + " " + " ".join(f"i{i}x{j}" for j in range(15))) for i in range(60)] + [(99, "tiny item")]
+    docs = [(i, f"a{i} b {hot if i % 3 else ''} c tiny item d " * (i % 4 + 1)) for i in range(90)] + [(100, "w " * 300_000 + hot)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = winnow.annotate(d, b, most_windows=0).drop("text")
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs, items))
+
+
 def test_decontaminate(spark):
     d = spark.createDataFrame([(1, "a b", "en"), (2, "c a b d", "fr"), (3, "e", None)], "doc_id long, text string, lang string")
     assert sorted(map(tuple, winnow.decontaminate(d, spark.createDataFrame([(1, "B, c")], "item_id long, text string")).collect())) == [(1, "a b", "en"), (2, "c a b d", "fr"), (3, "e", None)]

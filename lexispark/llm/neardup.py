@@ -1,16 +1,19 @@
-"""Near duplicates by exact shingle similarity (the pipeline's near_dedup stage).
+"""One document of each near-duplicate group, by operator 9's fingerprints and search (the pipeline's near_dedup stage).
 
 Two texts link when the Jaccard similarity of their sets of five-word shingles (lower-cased, a text of fewer words is one
 shingle) is 0.8 or more. Groups are the connected components of the links.
 
-Search: 45 bands of 6 minima each. A pair of similarity s shares a band with probability 1 - (1 - s^6)^45, which is all but
-1.2e-6 at 0.8; pairs that share none are the only ones missed. Rows of a band are joined to its least text, so a band of n
-texts costs n - 1 rows; the components of these coarse links are then verified pair by pair on exact sets of 64-bit shingle
-hashes, each text moved once. Only texts not yet linked are compared, and links leave tasks as spanning forests. Large
-coarse groups are cut into blocks, and every pair of blocks meets in one cell. Texts of equal shingles are one node.
+Search: every text has a SimHash fingerprint of ``WORDS`` times 64 bits over its two-word shingles (a changed word touches two
+of these but five of the long ones, so similar texts stay close). Texts of which one 64-bit word differs in ``DISTANCE`` bits or
+fewer are candidates; by the pigeonhole principle these include all that differ in at most WORDS * (DISTANCE + 1) - 1 bits, and
+each word is searched by generalised pigeonhole (correlated bits grouped, thresholds by dynamic programming). Candidates leave
+their buckets as spanning forests; the components of these coarse links are then verified pair by pair on exact sets of 64-bit
+shingle hashes, each text moved once. Only texts not yet linked are compared, and links leave tasks as spanning forests. Large
+coarse groups are cut into blocks, and every pair of blocks meets in one cell. Texts of equal shingles are one node. The only
+pairs missed are those that no coarse link connects; the README gives the share by similarity.
 
 Defined cases: null text counts as empty; texts without words are one node; a null id keeps its row and links; repeated rows
-and further columns are allowed; an empty table gives an empty result.
+and further columns are allowed; a text of any length is read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from . import textkernel as tk
 from .simhash import forest
 
@@ -30,15 +33,12 @@ _U = np.uint64
 WIDTH = 5
 #: Links need 10 * |a & b| >= 8 * |a | b|.
 SIMILAR, OF = 8, 10
-BANDS, MINIMA = 45, 6
+#: Words of 64 bits of a fingerprint, over shingles of so many words; bits in which a word of candidates differs at most.
+WORDS, PRINT_WIDTH, DISTANCE = 3, 2, 7
 #: Texts and shingles of one block of a coarse group.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
-#: Shingles whose minima are taken at once.
-RUN = 32_768
 
 _HASH = tk.SpanHash(5)
-_PLUS = tk.mix64(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_TIMES = tk.mix64(_PLUS + _U(77)) | _U(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -64,48 +64,30 @@ def nodes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
         return tk.mix64(total[at[1:]] - total[at[:-1]])
 
 
-def bands(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys; every text must have shingles."""
-    least = np.empty((BANDS * MINIMA, len(at) - 1), dtype=np.uint64)
-    lo = 0
+def prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(WORDS, texts): the words of each text's fingerprint."""
+    h, at = shingles(data, offsets, PRINT_WIDTH)
     with np.errstate(over="ignore"):
-        while lo < len(at) - 1:
-            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + RUN, "right")) - 1)
-            some, cuts = h[at[lo] : at[hi]], at[lo:hi] - at[lo]
-            for k in range(BANDS * MINIMA):
-                least[k, lo:hi] = np.minimum.reduceat((some ^ _PLUS[k]) * _TIMES[k], cuts)
-            lo = hi
-        keys = np.empty((BANDS, len(at) - 1), dtype=np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(at) - 1, b + 1, dtype=np.uint64)
-            for k in range(b * MINIMA, (b + 1) * MINIMA):
-                key = tk.mix64(key * _U(0xD6E8FEB86659FD93) + least[k])
-            keys[b] = key
-    return keys.T
-
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, keys): the texts with words, each node once a batch."""
-    for batch in batches:
-        for _, data, offsets in tk.slices(batch, "text"):
-            h, at = shingles(data, offsets)
-            _, pick = np.unique(nodes(h, at), return_index=True)
-            pick = np.sort(pick[np.diff(at)[pick] > 0])
-            if not len(pick):
-                continue
-            count = np.diff(at)[pick]
-            own, cuts = h[tk.ranges(at[:-1][pick], count)], np.concatenate([[0], np.cumsum(count)])
-            keys = np.ascontiguousarray(bands(own, cuts)).view(np.int64).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes(own, cuts).view(np.int64)), lists], names=["node", "keys"])
+        return np.stack([simhash.majority(tk.mix64(h + _U(k) * _U(0x9E3779B97F4A7C15)), np.diff(at)) for k in range(1, WORDS + 1)])
+
+
+_NUMBERED = "doc_id long, node long, n long, " + ", ".join(f"fp{k} long" for k in range(WORDS))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, node, n, text)."""
+    """Rows (doc_id, node, n, fp0, fp1, ...)."""
     for batch in batches:
         for rows, data, offsets in tk.slices(batch, "text"):
             h, at = shingles(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(nodes(h, at).view(np.int64)), pa.array(np.diff(at)), rows.column("text").cast(pa.string())], names=["doc_id", "node", "n", "text"])
+            fp = [pa.array(x.view(np.int64)) for x in prints(data, offsets)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(nodes(h, at).view(np.int64)), pa.array(np.diff(at)), *fp], names=["doc_id", "node", "n", *[f"fp{k}" for k in range(WORDS)]])
+
+
+def _nodes_too(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text)."""
+    for batch in batches:
+        for rows, data, offsets in tk.slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes(*shingles(data, offsets)).view(np.int64)), rows.column("text").cast(pa.string())], names=["node", "text"])
 
 
 def _linked(node: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,15 +145,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def links(texts: DataFrame, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """Edges (a, b) between nodes from rows (doc_id, text): they connect what the similar pairs that share a band connect."""
+def coarse_links(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int = simhash.HOT_ROWS) -> DataFrame:
+    """Edges (a, b) between nodes with words: they connect what the candidates connect."""
+    out = None
+    for k in range(WORDS):
+        words = numbered.filter("n > 0").select("node", F.col(f"fp{k}").alias("fp"))
+        first = words.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("most"))
+        near = simhash.links(first.select("fp"), distance, hot_rows=hot_rows)
+        named = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        equal = words.join(first.filter("rep < most").select("fp", "rep"), "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+        both = named.unionByName(equal)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def links(texts: DataFrame, numbered: DataFrame, block_texts: int = BLOCK_TEXTS, distance: int = DISTANCE) -> DataFrame:
+    """Edges (a, b) between nodes from rows (doc_id, text) and (doc_id, node, n, fp0, ...): they connect what the similar pairs
+    among the candidates connect."""
     spark = texts.sparkSession
-    keys = common.stored(texts.select("text").mapInArrow(_banded, "node long, keys array<long>"), name="bands").select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
-    coarse = common.stored(common.components(keys.join(shared, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))), name="coarse")
-    # of equal nodes one text moves
-    once = texts.mapInArrow(_numbered, "doc_id long, node long, n long, text string").groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text"))
-    some = common.stored(once.join(coarse, "node"), name="candidates")
+    coarse = common.stored(common.components(coarse_links(numbered, distance)), name="coarse")
+    # of equal nodes one text moves, and only of nodes with candidates
+    sizes = numbered.groupBy("node").agg(F.first("n").alias("n")).join(coarse, "node")
+    once = texts.mapInArrow(_nodes_too, "node long, text string").join(coarse.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    some = common.stored(once.join(sizes, "node"), name="candidates")
     blocks = some.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")).filter("blocks > 1")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
@@ -181,7 +177,7 @@ def links(texts: DataFrame, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     return spread.repartition(common.tasks(spark), "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(_verify, "a long, b long")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_texts: int = BLOCK_TEXTS) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_texts: int = BLOCK_TEXTS, distance: int = DISTANCE) -> DataFrame:
     """``df`` with one document of each near-duplicate group: the smallest id, and of the rows with that id the first by text.
 
     Of a group without any id the first text stays.
@@ -189,9 +185,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     spark = df.sparkSession
     common.short_batches(spark)
     texts = common.renamed(df, {id_col: "doc_id", text_col: "text"}).select(F.col("doc_id").cast("long"), "text")
-    numbered = texts.mapInArrow(_numbered, "doc_id long, node long, n long, text string")
-    found = common.stored(numbered.select("doc_id", "node"), name="nodes")
-    comps = common.stored(common.components(links(texts, block_texts)), name="components")
+    found = common.stored(texts.mapInArrow(_numbered, _NUMBERED), name="nodes")
+    comps = common.stored(common.components(links(texts, found, block_texts, distance)), name="components")
     least = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rooted = common.stored(least.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), name="rooted")
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("_keep"))
@@ -204,7 +199,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     lone = groups.filter("_keep is null").select("root")
     if lone.limit(1).count():
         named = rooted.join(lone, "root").select("node", "root")
-        without = numbered.filter("doc_id is null").join(named, "node").groupBy("root").agg(F.min("text").alias("_text")).select("_text")
+        nameless = texts.filter("doc_id is null").select("text").mapInArrow(_nodes_too, "node long, text string")
+        without = nameless.join(named, "node").groupBy("root").agg(F.min("text").alias("_text")).select("_text")
         rows = df.filter(own.isNull()).dropDuplicates([text_col])
         out = out.unionByName(rows.join(without, F.col(f"`{text_col}`").eqNullSafe(F.col("_text")), "left_semi"))
     return out

@@ -8,7 +8,7 @@ to verify) by dynamic programming over candidate counts that a bounded sample of
 indexed and the result is exact whatever the estimate. Buckets are verified inside a task and leave as spanning forests, so a
 group of n near copies costs at most n - 1 edges a bucket.
 
-Defined cases: null text counts as empty; texts without words share fingerprint zero and link like any other; a null id keeps
+Defined cases: null text counts as empty; a text of any length is read whole, alone in its slice if it is long; texts without words share fingerprint zero and link like any other; a null id keeps
 its row, links, and never names a component (``component_id`` is null where no id is reachable); repeated rows stay repeated;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -101,9 +101,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.nd
     """The fingerprint of each text of one slice."""
     starts, ends, at = tk.spans(data, offsets)
     n_docs, words = len(offsets) - 1, np.diff(at)
-    out = np.zeros(n_docs, dtype=np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(n_docs, dtype=np.uint64)
     inside = ~tk.SPACE[data]
     keep = inside.copy()
     keep[1:] |= ~inside[1:] & inside[:-1]
@@ -118,13 +117,22 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.nd
     i = tk.ranges(at[:-1][docs], shingles[docs])
     j = np.minimum(i + width, at[1:][of]) - 1
     h = xxh64(joined, first[i], last[j] - first[i])
+    return majority(h, shingles)
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes of its shingles, ``counts`` of them; without any it is zero."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    docs = np.flatnonzero(counts)
+    if not len(docs):
+        return out
     bits = _SPREAD[h.view(np.uint8).reshape(-1, 8)]
-    bound = np.concatenate([[0], np.cumsum(shingles[docs])])
-    per = -(-shingles[docs] // 255)  # a byte counts to 255
+    bound = np.concatenate([[0], np.cumsum(counts[docs])])
+    per = -(-counts[docs] // 255)  # a byte counts to 255
     cuts = np.repeat(bound[:-1], per) + 255 * tk.ranges(np.zeros(len(docs), dtype=np.int64), per)
     parts = np.add.reduceat(bits, cuts, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
-    counts = np.add.reduceat(parts, np.concatenate([[0], np.cumsum(per)[:-1]]), axis=0)
-    out[docs] = np.packbits(2 * counts > shingles[docs][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    sums = np.add.reduceat(parts, np.concatenate([[0], np.cumsum(per)[:-1]]), axis=0)
+    out[docs] = np.packbits(2 * sums > counts[docs][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -12,24 +14,82 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (local tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset and Spark is local.
+
+    On a cluster an own folder would be another one on each machine, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{os.path.join(tempfile.gettempdir(), 'lexispark-checkpoints')}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+class _Open(threading.local):
+    """Paths of the tables written in each open ``scratch`` of a thread, the innermost last."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_open = _Open()
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = (), name: str = "table") -> DataFrame:
-    """Writes ``df`` as Parquet (zstd) to the shared folder and reads it back: a cut of lineage that outlives executors."""
+    """Writes ``df`` as Parquet (zstd) to the shared folder and reads it back: a cut of lineage that outlives executors.
+
+    The table is deleted when its ``scratch`` is left, if there is one, and else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open.paths:
+        _open.paths[-1].append(path)
+    at, files = _file(spark, path)
+    files.deleteOnExit(at)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    schema = df.schema
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables stored within, on leaving, but for those that ``keep`` has been called with.
+
+    What is returned from within must not read the others any more.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    _open.paths.append(own)
+    try:
+        yield keep
+    finally:
+        _open.paths.pop()
+        discard(spark, [p for p in own if p not in kept])
+        if _open.paths:
+            _open.paths[-1].extend(kept)
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables by path."""
+    for path in paths:
+        at, files = _file(spark, path)
+        files.delete(at, True)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -80,17 +140,18 @@ def running_total(df: DataFrame, keys: list[str], group: str, order: list[str],
     return within.join(base.hint("merge"), [*keys, group]).withColumn(out, F.col("_base") + F.col("_within")).drop("_base", "_within")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star passes (minimum by partial aggregation, then a join that AQE can split where one
-    node is hot) until no edge changes; each pass is checkpointed to the shared folder. Nodes without an edge are absent.
+    node is hot) until no edge changes, which takes a number of passes that grows with the logarithm of the nodes; each pass is
+    checkpointed to the shared folder. Nodes without an edge are absent.
     """
     spark = edges.sparkSession
     shared_dir(spark)
     now = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct().checkpoint()
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
@@ -103,4 +164,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if state == before:
             return now.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root").unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         before = state
-    raise RuntimeError(f"components: no fixed point in {most_rounds} rounds")

@@ -255,7 +255,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) for every row."""
     common.short_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    found = common.stored(templates(rows), name="templates")
+    with common.scratch(pages.sparkSession) as keep:
+        found = keep(common.stored(templates(rows), name="templates"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)), F.lit(""))
     keyed = rows.withColumn("host", host)
     joined = _join_hosts(keyed, found, F.xxhash64("page_id"), "left")

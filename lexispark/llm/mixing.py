@@ -149,7 +149,8 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per input row."""
-    rows = common.stored(_documents(docs, id_col, text_col, source_col, seed), name="mix-documents")
+    with common.scratch(docs.sparkSession) as keep:
+        rows = keep(common.stored(_documents(docs, id_col, text_col, source_col, seed), name="mix-documents"))
     plan = common.stored(_plan(rows, block, shard, most, weights), name="mix-plan")
     # a table of its own: one plan for the draws and another for the documents
     blocks = common.stored(slots(plan, seed, most).groupBy("s", "block").agg(F.count("*").alias("times")), name="mix-blocks")

@@ -185,10 +185,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     spark = df.sparkSession
     common.short_batches(spark)
     texts = common.renamed(df, {id_col: "doc_id", text_col: "text"}).select(F.col("doc_id").cast("long"), "text")
-    found = common.stored(texts.mapInArrow(_numbered, _NUMBERED), name="nodes")
-    comps = common.stored(common.components(links(texts, found, block_texts, distance)), name="components")
-    least = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rooted = common.stored(least.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), name="rooted")
+    with common.scratch(spark) as keep:
+        found = common.stored(texts.mapInArrow(_numbered, _NUMBERED), name="nodes")
+        comps = common.stored(common.components(links(texts, found, block_texts, distance)), name="components")
+        least = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        rooted = keep(common.stored(least.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), name="rooted"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("_keep"))
     own = F.col(f"`{id_col}`")
     chosen = groups.filter("_keep is not null").select("_keep")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import cdc, mixing, neardup, quality, winnow
-from lexispark.llm.common import spread, stored
+from lexispark.llm.common import discard, scratch, spread, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by five-word shingle similarity of 0.8 or more, the one with the smallest id."""
+    """Keeps one document of each group that SimHash candidates of five-word shingle similarity 0.8 or more link, the one with the
+    smallest id."""
     return neardup.keep_one(docs)
 
 
@@ -52,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over the directory's documents; each stage's result is written to the shared folder and read back."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """STAGES over the directory's documents; each stage's result is written to the shared folder and read back, and what no
+    later stage reads is deleted."""
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name=name)
+        with scratch(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name=name))
+        discard(spark, before)
+        before = [docs.stored_at]
     return STAGES[-1][1](spark, docs, sf_dir)

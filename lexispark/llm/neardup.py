@@ -6,11 +6,13 @@ shingle) is 0.8 or more. Groups are the connected components of the links.
 Search: every text has a SimHash fingerprint of ``WORDS`` times 64 bits over its two-word shingles (a changed word touches two
 of these but five of the long ones, so similar texts stay close). Texts of which one 64-bit word differs in ``DISTANCE`` bits or
 fewer are candidates; by the pigeonhole principle these include all that differ in at most WORDS * (DISTANCE + 1) - 1 bits, and
-each word is searched by generalised pigeonhole (correlated bits grouped, thresholds by dynamic programming). Candidates leave
-their buckets as spanning forests; the components of these coarse links are then verified pair by pair on exact sets of 64-bit
-shingle hashes, each text moved once. Only texts not yet linked are compared, and links leave tasks as spanning forests. Large
-coarse groups are cut into blocks, and every pair of blocks meets in one cell. Texts of equal shingles are one node. The only
-pairs missed are those that no coarse link connects; the README gives the share by similarity.
+each word is searched by operator 9's generalised pigeonhole (correlated bits grouped, thresholds by dynamic programming on
+estimated candidate counts). Buckets leave their tasks as spanning forests. The first words are searched first; the others then
+only link what these left apart, so a large group of near copies does not give its links once for every word. The components
+of these coarse links are verified pair by pair on exact sets of 64-bit shingle hashes, each text moved once: only texts not
+yet linked are compared, and links leave tasks as spanning forests. Large buckets and coarse groups are cut into blocks, and
+every pair of blocks meets in one cell. Texts of equal shingles are one node. The only pairs missed are those that no coarse
+link connects; the README gives the share by similarity.
 
 Defined cases: null text counts as empty; texts without words are one node; a null id keeps its row and links; repeated rows
 and further columns are allowed; a text of any length is read whole; an empty table gives an empty result.
@@ -34,7 +36,11 @@ WIDTH = 5
 #: Links need 10 * |a & b| >= 8 * |a | b|.
 SIMILAR, OF = 8, 10
 #: Words of 64 bits of a fingerprint, over shingles of so many words; bits in which a word of candidates differs at most.
-WORDS, PRINT_WIDTH, DISTANCE = 3, 2, 7
+WORDS, PRINT_WIDTH, DISTANCE = 16, 2, 4
+#: Words that are searched first, partitions of a word at most, rows under one key that are one task's work.
+FIRST, MOST_PARTS, HOT_ROWS = 2, 5, 32_768
+#: Links that a task holds before it reduces them to a forest.
+MOST_LINKS = 1_000_000
 #: Texts and shingles of one block of a coarse group.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1000, 1_000_000
 
@@ -71,16 +77,17 @@ def prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.stack([simhash.majority(tk.mix64(h + _U(k) * _U(0x9E3779B97F4A7C15)), np.diff(at)) for k in range(1, WORDS + 1)])
 
 
-_NUMBERED = "doc_id long, node long, n long, " + ", ".join(f"fp{k} long" for k in range(WORDS))
+_NUMBERED = "doc_id long, node long, n long, fps array<long>"
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, node, n, fp0, fp1, ...)."""
+    """Rows (doc_id, node, n, fps)."""
     for batch in batches:
         for rows, data, offsets in tk.slices(batch, "text"):
             h, at = shingles(data, offsets)
-            fp = [pa.array(x.view(np.int64)) for x in prints(data, offsets)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(nodes(h, at).view(np.int64)), pa.array(np.diff(at)), *fp], names=["doc_id", "node", "n", *[f"fp{k}" for k in range(WORDS)]])
+            fps = np.ascontiguousarray(prints(data, offsets).T).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, WORDS, dtype=np.int32)), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(nodes(h, at).view(np.int64)), pa.array(np.diff(at)), lists], names=["doc_id", "node", "n", "fps"])
 
 
 def _nodes_too(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,25 +152,131 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def coarse_links(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int = simhash.HOT_ROWS) -> DataFrame:
-    """Edges (a, b) between nodes with words: they connect what the candidates connect."""
-    out = None
-    for k in range(WORDS):
-        words = numbered.filter("n > 0").select("node", F.col(f"fp{k}").alias("fp"))
-        first = words.groupBy("fp").agg(F.min("node").alias("rep"), F.max("node").alias("most"))
-        near = simhash.links(first.select("fp"), distance, hot_rows=hot_rows)
-        named = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        equal = words.join(first.filter("rep < most").select("fp", "rep"), "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-        both = named.unionByName(equal)
-        out = both if out is None else out.unionByName(both)
-    return out
+def _keyed(index: simhash.Index, words: range):
+    """Rows (key, fp, node, probe) of rows (node, fps): each word under its own value in every used partition, and probes nearby."""
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("probe", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [simhash._masks(len(b), t) if t >= 0 else None for b, t in zip(index.parts, index.thresholds)]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                some = batch.slice(lo, 4096)
+                node = some.column("node").to_numpy()
+                fps = some.column("fps").flatten().to_numpy().reshape(len(node), WORDS)
+                for w in words:
+                    fp = np.ascontiguousarray(fps[:, w])
+                    for k, (bits, mask) in enumerate(zip(index.parts, masks)):
+                        if mask is None:
+                            continue
+                        own = simhash._extract(fp.view(np.uint64), bits) | _U(k << 40) | _U(w << 48)
+                        for at in range(0, len(mask), 256):
+                            near = mask[at : at + 256]
+                            key = (own[:, None] ^ near[None, :]).ravel()
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(near))), pa.array(np.repeat(node, len(near))), pa.array(np.tile(near != 0, len(fp)))], schema=schema)
+
+    return run
+
+
+def _bucket_links(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[list, list]:
+    """Star edges of one large bucket: equal fingerprints at once, the others each compared with those not yet reached."""
+    order = np.lexsort((node, fp))
+    fp, node = fp[order], node[order]
+    new = np.concatenate([[True], fp[1:] != fp[:-1]])
+    head = node[new]
+    a, b = [node[~new]], [head[np.cumsum(new) - 1][~new]]
+    x, y = simhash._bucket(fp, distance)
+    if x:
+        some = fp[new]
+        a.append(head[np.searchsorted(some, np.concatenate(x))])
+        b.append(head[np.searchsorted(some, np.concatenate(y))])
+    return a, b
+
+
+def _joined(distance: int):
+    """Over rows sorted by (key, cell): links (a, b) between the nodes of candidates, as forests over many buckets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [], []
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        for s, n in zip(start[size > 48], size[size > 48]):
+            if (node[s : s + n] != node[s]).any():
+                x, y = _bucket_links(fp[s : s + n], node[s : s + n], distance)
+                a += x
+                b += y
+        start, size = start[(size > 1) & (size <= 48)], size[(size > 1) & (size <= 48)]
+        for gap in range(1, int(size.max(initial=1))):
+            start, size = start[size > gap], size[size > gap]
+            i = tk.ranges(start, size - gap)
+            j = i + gap
+            ok = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ~(probe[i] & probe[j]) & (node[i] != node[j])
+            a.append(node[i[ok]])
+            b.append(node[j[ok]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return forest(a, b) if len(a) else (a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def reduced():
+            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+            out.clear()
+            return forest(a, b) if len(a) else (a, b)
+
+        for batch in batches:
+            # (key, cell) as one number: cells are few and only hot keys have them
+            now = [tk.mix64(batch.column(0).to_numpy().view(np.uint64)) + batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            change = np.flatnonzero(held[0][1:] != held[0][:-1])
+            if len(change):
+                cut = int(change[-1]) + 1
+                out.append(links(*(x[:cut] for x in held)))
+                held = [x[cut:] for x in held]
+                if sum(len(a) for a, _ in out) > MOST_LINKS:
+                    a, b = reduced()
+                    if len(a) > MOST_LINKS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                    else:
+                        out.append((a, b))
+        if held is not None:
+            out.append(links(*held))
+        a, b = reduced()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return run
+
+
+def _search(rows: DataFrame, words: range, index: simhash.Index, distance: int, hot_rows: int) -> DataFrame:
+    """Distinct edges (a, b) between the nodes of rows (node, fps) that some of the words make candidates."""
+    keys = rows.select("node", "fps").mapInArrow(_keyed(index, words), "key long, fp long, node long, probe boolean")
+    hot = keys.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / (hot_rows / 2)).cast("long").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    )
+    spread = keys.join(hot, "key", "left").select("key", F.explode(cells).alias("cell"), "fp", "node", "probe")
+    return spread.repartition(common.tasks(rows.sparkSession), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_joined(distance), "a long, b long").distinct()
+
+
+def coarse_groups(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, root) of the nodes with words that candidates connect with others."""
+    some = numbered.filter("n > 0").select("node", "fps").dropDuplicates(["node"])
+    total = some.count()
+    picked = np.array([r.fp for r in some.select(F.col("fps")[0].alias("fp"), "node").orderBy(F.xxhash64("node", F.lit(9)), "node").limit(simhash.SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    index = simhash.fit(picked, total, distance, MOST_PARTS)
+    first = common.stored(common.components(_search(some, range(FIRST), index, distance, hot_rows)), name="first")
+    rooted = some.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), "fps")
+    rest = _search(rooted, range(FIRST, WORDS), index, distance, hot_rows)
+    return common.components(rest.unionByName(first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def links(texts: DataFrame, numbered: DataFrame, block_texts: int = BLOCK_TEXTS, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between nodes from rows (doc_id, text) and (doc_id, node, n, fp0, ...): they connect what the similar pairs
+    """Edges (a, b) between nodes from rows (doc_id, text) and (doc_id, node, n, fps): they connect what the similar pairs
     among the candidates connect."""
     spark = texts.sparkSession
-    coarse = common.stored(common.components(coarse_links(numbered, distance)), name="coarse")
+    coarse = common.stored(coarse_groups(numbered, distance), name="coarse")
     # of equal nodes one text moves, and only of nodes with candidates
     sizes = numbered.groupBy("node").agg(F.first("n").alias("n")).join(coarse, "node")
     once = texts.mapInArrow(_nodes_too, "node long, text string").join(coarse.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))

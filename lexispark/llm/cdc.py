@@ -149,6 +149,7 @@ def _ask(buckets: int):
 
 def _own(table: pa.Table) -> pa.Table:
     """A bucket: of the blocks that ask for a digest, the one with the smallest id (then the smallest block) owns it."""
+    tk.give_back()
     bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
     keys, ids, sizes = [], [], []
     for p in table.column("payload"):
@@ -168,6 +169,7 @@ def _own(table: pa.Table) -> pa.Table:
 
 def _drop(text_col: str, run_words: int, run_bytes: int):
     def run(table: pa.Table) -> pa.Table:
+        tk.give_back()
         own = None
         answers = {}
         for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload")):
@@ -221,9 +223,9 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common.short_batches(spark)
     own = {n for n, _, _ in OWN}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own])
-    blocks = common.stored(df.mapInArrow(_blocks(id_col, text_col, block_bytes), "block long, payload binary, asked binary, keys long"), name="cdc-blocks")
+    blocks = common.stored(df.mapInArrow(tk.lean(_blocks(id_col, text_col, block_bytes)), "block long, payload binary, asked binary, keys long"), name="cdc-blocks")
     buckets = max(common.tasks(spark), -(-(blocks.agg(F.sum("keys")).first()[0] or 0) // bucket_entries))
-    answers = blocks.select("block", "asked").mapInArrow(_ask(buckets), _ROWS_DDL).groupBy("bucket").applyInArrow(_own, _ROWS_DDL)
+    answers = blocks.select("block", "asked").mapInArrow(tk.lean(_ask(buckets)), _ROWS_DDL).groupBy("bucket").applyInArrow(_own, _ROWS_DDL)
     both = blocks.select("block", F.lit(-1).alias("bucket"), "payload").unionByName(answers)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema] + T._parse_datatype_string(", ".join(f"{n} {t}" for n, _, t in OWN)).fields)
     return both.groupBy("block").applyInArrow(_drop(text_col, run_words, run_bytes), schema)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from . import textkernel as tk
 
 ROLES = ["", "system", "user", "assistant"]
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -232,10 +233,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     spark = turns.sparkSession
     rows = turns.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keys = ["conv_id", "turn", "role", "text"]
-    packed = common.stored(rows.repartitionByRange(common.tasks(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_pack(fragment_turns), _PACKED), name="chat")
+    packed = common.stored(rows.repartitionByRange(common.tasks(spark), *keys).sortWithinPartitions(*keys).mapInArrow(tk.lean(_pack(fragment_turns)), _PACKED), name="chat")
     cut = packed.filter("not inside").select("conv_id", "conv_null", "frag", "n", "matrix", "place")
     chain = cut.groupBy("conv_id", "conv_null").applyInArrow(_chain, _CHAIN)
     none = F.lit(None)
     solved = packed.filter("inside").select("conv_id", "payload", F.lit(START).alias("entry"), none.cast("int").alias("leave"), F.lit(True).alias("last"), F.lit(0).cast("long").alias("offset"))
     linked = packed.filter("not inside").join(chain, "frag").select("conv_id", "payload", "entry", "leave", "last", "offset")
-    return solved.unionByName(linked).mapInArrow(_render, RESULT)
+    return solved.unionByName(linked).mapInArrow(tk.lean(_render), RESULT)

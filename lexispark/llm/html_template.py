@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from . import textkernel as tk
 
 #: Pages that a class needs, and the most of its pages' text that a class of template text holds.
 SUPPORT, TEMPLATE_SHARE = 3, 0.5
@@ -232,7 +233,7 @@ def _join_hosts(rows: DataFrame, hosts: DataFrame, spread: Column, how: str) ->
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed) from rows (page_id, url, html): the keys of each host's template text."""
-    stats = pages.mapInArrow(_count, _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "whole")], F.bit_xor("vector").alias("vector"), F.max("layout").alias("layout"))
+    stats = pages.mapInArrow(tk.lean(_count), _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "whole")], F.bit_xor("vector").alias("vector"), F.max("layout").alias("layout"))
     stats = common.stored(stats.filter(F.col("pages") >= SUPPORT), name="page-tokens")
     own = stats.filter("block = 0").select("host", "path", "pages", "vector")
     text = stats.filter("block <> 0")
@@ -274,4 +275,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append(main_text(page or "", own, sets[own] if fixed else frozenset()))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], schema=schema)
 
-    return joined.select("page_id", "url", "html", "host", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "fixed").mapInArrow(tk.lean(run), "page_id long, url string, text string, n_chars long")

@@ -273,6 +273,7 @@ def _add_words(buckets: int):
 
 def _block_of(table: pa.Table, levels: list[Level]) -> tuple[int, _Block]:
     """Rebuilds a block from its row and the answers so far."""
+    tk.give_back()
     by: dict[int, dict[int, bytes]] = {}
     for level, bucket, payload in zip(table.column("level").to_pylist(), table.column("bucket").to_pylist(), table.column("payload")):
         by.setdefault(level, {})[bucket] = payload.as_py()
@@ -309,6 +310,7 @@ def _add(buckets: int, last: bool):
     """A bucket of a level from 2: totals of its n-grams, sums of its histories, an answer to each block."""
 
     def run(table: pa.Table) -> pa.Table:
+        tk.give_back()
         bucket, level = table.column("bucket")[0].as_py(), table.column("level")[0].as_py()
         chunks = table.column("chunk").to_pylist()
         asked = [pickle.loads(p.as_py()) for p in table.column("payload")]
@@ -371,10 +373,10 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = df.sparkSession
     common.short_batches(spark)
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = common.stored(source.mapInArrow(_blocks(block_bytes), "chunk long, payload binary, first binary, tokens long, trained long"), name="katz-blocks")
+    blocks = common.stored(source.mapInArrow(tk.lean(_blocks(block_bytes)), "chunk long, payload binary, first binary, tokens long, trained long"), name="katz-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(common.tasks(spark), -(-tokens // bucket_entries))
-    asked = blocks.select("chunk", "first").mapInArrow(_ask_words(buckets), _ROWS_DDL)
+    asked = blocks.select("chunk", "first").mapInArrow(tk.lean(_ask_words(buckets)), _ROWS_DDL)
     tables = [common.stored(asked.groupBy("bucket").applyInArrow(_add_words(buckets), _OUT_DDL), ("kind",), "katz-1")]
     levels = [_summary(tables[0], buckets)]
     own = blocks.select("chunk", F.lit(0).alias("level"), F.lit(0).alias("bucket"), "payload")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
+
 _U = np.uint64
 K = 10
 BLOCK_ROWS, QUERY_CHUNK = 1 << 17, 1 << 16
@@ -93,9 +95,7 @@ class Tables:
 
 
 def _concat(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    from .textkernel import ranges
-
-    return order[ranges(a, b - a)]
+    return order[tk.ranges(a, b - a)]
 
 
 def _search(queries, k: int, bits: int, block_rows: int):
@@ -160,7 +160,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, bits: int = 64, id_c
     for c in range(chunks):
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).orderBy("id").toArrow()
         state = spark.sparkContext.broadcast((part.column("id").to_numpy(), part.column("code").to_numpy().view(np.uint64)))
-        near = rows.mapInArrow(_search(state, k, bits, block_rows), "query_id long, id long, distance int")
+        near = rows.mapInArrow(tk.lean(_search(state, k, bits, block_rows)), "query_id long, id long, distance int")
         out = near if out is None else out.unionByName(near)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

@@ -250,14 +250,14 @@ def _joined(distance: int):
 
 def _search(rows: DataFrame, words: range, index: simhash.Index, distance: int, hot_rows: int) -> DataFrame:
     """Distinct edges (a, b) between the nodes of rows (node, fps) that some of the words make candidates."""
-    keys = rows.select("node", "fps").mapInArrow(_keyed(index, words), "key long, fp long, node long, probe boolean")
+    keys = rows.select("node", "fps").mapInArrow(tk.lean(_keyed(index, words)), "key long, fp long, node long, probe boolean")
     hot = keys.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / (hot_rows / 2)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
     )
     spread = keys.join(hot, "key", "left").select("key", F.explode(cells).alias("cell"), "fp", "node", "probe")
-    return spread.repartition(common.tasks(rows.sparkSession), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_joined(distance), "a long, b long").distinct()
+    return spread.repartition(common.tasks(rows.sparkSession), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tk.lean(_joined(distance)), "a long, b long").distinct()
 
 
 def coarse_groups(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -279,7 +279,7 @@ def links(texts: DataFrame, numbered: DataFrame, block_texts: int = BLOCK_TEXTS,
     coarse = common.stored(coarse_groups(numbered, distance), name="coarse")
     # of equal nodes one text moves, and only of nodes with candidates
     sizes = numbered.groupBy("node").agg(F.first("n").alias("n")).join(coarse, "node")
-    once = texts.mapInArrow(_nodes_too, "node long, text string").join(coarse.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    once = texts.mapInArrow(tk.lean(_nodes_too), "node long, text string").join(coarse.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     some = common.stored(once.join(sizes, "node"), name="candidates")
     blocks = some.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks")).filter("blocks > 1")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -287,7 +287,7 @@ def links(texts: DataFrame, numbered: DataFrame, block_texts: int = BLOCK_TEXTS,
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
     )
     spread = some.join(blocks, "root", "left").select("root", F.explode(cells).alias("cell"), "node", "text")
-    return spread.repartition(common.tasks(spark), "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(_verify, "a long, b long")
+    return spread.repartition(common.tasks(spark), "root", "cell").sortWithinPartitions("root", "cell").mapInArrow(tk.lean(_verify), "a long, b long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_texts: int = BLOCK_TEXTS, distance: int = DISTANCE) -> DataFrame:
@@ -299,7 +299,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     common.short_batches(spark)
     texts = common.renamed(df, {id_col: "doc_id", text_col: "text"}).select(F.col("doc_id").cast("long"), "text")
     with common.scratch(spark) as keep:
-        found = common.stored(texts.mapInArrow(_numbered, _NUMBERED), name="nodes")
+        found = common.stored(texts.mapInArrow(tk.lean(_numbered), _NUMBERED), name="nodes")
         comps = common.stored(common.components(links(texts, found, block_texts, distance)), name="components")
         least = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         rooted = keep(common.stored(least.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), name="rooted"))
@@ -313,7 +313,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     lone = groups.filter("_keep is null").select("root")
     if lone.limit(1).count():
         named = rooted.join(lone, "root").select("node", "root")
-        nameless = texts.filter("doc_id is null").select("text").mapInArrow(_nodes_too, "node long, text string")
+        nameless = texts.filter("doc_id is null").select("text").mapInArrow(tk.lean(_nodes_too), "node long, text string")
         without = nameless.join(named, "node").groupBy("root").agg(F.min("text").alias("_text")).select("_text")
         rows = df.filter(own.isNull()).dropDuplicates([text_col])
         out = out.unionByName(rows.join(without, F.col(f"`{text_col}`").eqNullSafe(F.col("_text")), "left_semi"))

@@ -95,7 +95,7 @@ def _extract(df: DataFrame) -> DataFrame:
                 x = features(data, offsets, hasher)
                 yield pa.RecordBatch.from_arrays([rows.column("key"), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))], schema=schema)
 
-    return df.mapInArrow(run, "key long, x array<double>")
+    return df.mapInArrow(tk.lean(run), "key long, x array<double>")
 
 
 def sampled(ids: DataFrame, most: int, seed: int) -> DataFrame:
@@ -143,7 +143,7 @@ def annotate(docs: DataFrame, model: learn.Net | None, text_col: str = "text", t
                 score = np.full(rows.num_rows, 0.5) if state.value is None else state.value(features(data, offsets, hasher))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tk.lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def keep_good(docs: DataFrame, model: learn.Net | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -144,7 +144,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     def each(rows, data, offsets):
         return {"doc_id": rows.column("doc_id"), "fp": fingerprints(data, offsets, width).view(np.int64)}
 
-    return common.renamed(df, {id_col: "doc_id", text_col: "text"}).mapInArrow(tk.over_texts("text", each, schema), "doc_id long, fp long")
+    return common.renamed(df, {id_col: "doc_id", text_col: "text"}).mapInArrow(tk.lean(tk.over_texts("text", each, schema)), "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -331,7 +331,7 @@ def links(distinct: DataFrame, distance: int = 3, sample: int = SAMPLE, hot_rows
     total = distinct.count()
     picked = np.array([r.fp for r in distinct.orderBy(F.xxhash64(F.col("fp"), F.lit(9)), "fp").limit(sample).collect()], dtype=np.int64).view(np.uint64)
     index = fit(picked, total, distance)
-    keys = distinct.select("fp").mapInArrow(_keys(index), "key long, fp long, probe boolean")
+    keys = distinct.select("fp").mapInArrow(tk.lean(_keys(index)), "key long, fp long, probe boolean")
     hot = keys.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / (hot_rows / 2)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     # every pair of blocks of a hot key meets in one cell
@@ -339,7 +339,7 @@ def links(distinct: DataFrame, distance: int = 3, sample: int = SAMPLE, hot_rows
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
     )
     spread = keys.join(hot, "key", "left").select("key", F.explode(cells).alias("cell"), "fp", "probe")
-    return spread.repartition(common.tasks(spark), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_verify(distance), "a long, b long")
+    return spread.repartition(common.tasks(spark), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tk.lean(_verify(distance)), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc
                 x = np.where(h[:, None] == 0, both[0], both[1])
                 yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))], schema=schema)
 
-    rows = texts.mapInArrow(extract, "key long, toxic int, x array<double>").toPandas().drop_duplicates("key").sort_values("key")
+    rows = texts.mapInArrow(tk.lean(extract), "key long, toxic int, x array<double>").toPandas().drop_duplicates("key").sort_values("key")
     y = rows.toxic.to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return final, None
@@ -320,7 +320,7 @@ def annotate(docs: DataFrame, model: tuple[Matcher, learn.Logistic | None], text
                 score = np.zeros(rows.num_rows) if judge is None else judge(matcher.features(data, offsets))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tk.lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def held_out(column: str = "key") -> Column:

@@ -170,7 +170,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     common.short_batches(docs.sparkSession)
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text"))
-    windows = common.stored(items.mapInArrow(_packed_items(span, gram), "item string, n int, hash long, anchor boolean"), name="windows")
+    windows = common.stored(items.mapInArrow(tk.lean(_packed_items(span, gram)), "item string, n int, hash long, anchor boolean"), name="windows")
     own = [f.name for f in docs.schema if f.name not in {n for n, _ in _FIELDS}]
     docs = docs.select(*[F.col(f"`{c}`") for c in own])
     if windows.count() > most_windows:
@@ -203,7 +203,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                 new = [np.diff(at), n_hit, n_items, digest, n_hit > 0]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(x, t) for x, (_, t) in zip(new, _FIELDS)]], names=[*rows.schema.names, *[n for n, _ in _FIELDS]])
 
-    return docs.mapInArrow(run, _with(docs, RESULT))
+    return docs.mapInArrow(tk.lean(run), _with(docs, RESULT))
 
 
 def _with(docs: DataFrame, more: str):
@@ -231,7 +231,7 @@ def _filter(marks: DataFrame) -> np.ndarray:
         both = np.bitwise_or.reduce([np.frombuffer(b.as_py(), dtype=np.uint8) for b in table.column("bits")])
         return pa.Table.from_arrays([table.column("cell")[:1], pa.array([both.tobytes()], pa.binary())], names=["cell", "bits"])
 
-    cells = marks.select("hash").mapInArrow(run, "cell int, bits binary").groupBy("cell").applyInArrow(add, "cell int, bits binary").collect()
+    cells = marks.select("hash").mapInArrow(tk.lean(run), "cell int, bits binary").groupBy("cell").applyInArrow(add, "cell int, bits binary").collect()
     out = np.zeros((1024, (1 << FILTER_BITS) // 8192), dtype=np.uint8)
     for r in cells:
         out[r.cell] = np.frombuffer(r.bits, dtype=np.uint8)
@@ -275,10 +275,10 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, span: int, gram:
         return run
 
     row = "k1 long, k2 long, n int, pos long, hash long"
-    prints = texts.mapInArrow(each(False), row).select("k1", "k2", "hash")
+    prints = texts.mapInArrow(tk.lean(each(False)), row).select("k1", "k2", "hash")
     live = common.stored(prints.join(marks.select("hash").distinct(), "hash", "left_semi").select("k1", "k2").distinct(), name="live")
     some = texts.join(live, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    hits = some.mapInArrow(each(True), row).join(windows.filter("not anchor").select("item", "n", "hash"), ["n", "hash"])
+    hits = some.mapInArrow(tk.lean(each(True)), row).join(windows.filter("not anchor").select("item", "n", "hash"), ["n", "hash"])
     # a text's covered words: ranges in order, each cut where the ones before it end
     spans = hits.groupBy("k1", "k2", "pos").agg(F.max("n").alias("n"))
     w = Window.partitionBy("k1", "k2").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -293,7 +293,7 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, span: int, gram:
                 _, _, at = tk.spans(data, offsets, tk.NON_ALNUM)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.diff(at), pa.int64())], names=[*rows.schema.names, "n_words"])
 
-    both = docs.mapInArrow(count, _with(docs, "n_words long")).withColumns({f"_k{k}": F.xxhash64(F.lit(k), F.col(f"`{text_col}`")) for k in (1, 2)})
+    both = docs.mapInArrow(tk.lean(count), _with(docs, "n_words long")).withColumns({f"_k{k}": F.xxhash64(F.lit(k), F.col(f"`{text_col}`")) for k in (1, 2)})
     joined = both.join(result, (both["_k1"] == result["k1"]) & (both["_k2"] == result["k2"]), "left").drop("_k1", "_k2", "k1", "k2")
     zero = F.lit(0).cast("long")
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest(()))).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))

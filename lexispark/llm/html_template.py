@@ -2,21 +2,21 @@
 
 Tokens of a page are its element paths (names with their roles) and its text blocks, each under its path. Over the pages of
 a host every token has an occurrence vector (the pages that have it); tokens with one vector form an equivalence class. A
-text block is template if it is in the class of its own element path, if that class also has an element of the layout (the
-page itself, a labelled element or one that lays out others, outside of articles and main elements), if it has enough pages,
-and if its blocks are no more than half of the text of its pages (a class that holds more is a group of copies, and its text
-is data). So each layout of a host has template text of its own, and text that some pages of a layout lack is never
-template. The order of a class's tokens is not checked.
+text block is template if it is in the class of its own element path (so the class is nested: each of its texts lies in an
+element of the class), if that class also has an element of the layout (the page itself, a labelled element or one that lays
+out others, outside of articles and main elements), if it has enough pages, if its blocks are no more than half of the text of
+its pages (a class that holds more is a group of copies, and its text is data), and if the block has one place among the
+class's blocks on all pages. So each layout of a host has template text of its own, and text that some pages of a layout lack is never template.
 
 The main slot is what varies: the blocks that are no template and lie in no element that announces menus, adverts, forms,
 comments and the like; where a page marks an article or main element, those in it.
 
 Execution: vectors are never gathered. Each task sums, for each (host, path, block), pages, text and an exclusive-or of page
-hashes, which identifies the vector; partial sums meet in one aggregation, and classes are found by equality joins. Pages are
-never grouped by host: template keys are broadcast where their checked size allows it, and otherwise joined with the host
+hashes, which identifies the vector; partial sums meet in one aggregation, and classes are found by equality joins. A second
+scan numbers the blocks of each class on each page, and keeps the least and greatest number. Pages are never grouped by host: template keys are broadcast where their checked size allows it, and otherwise joined with the host
 salted. Paths are chains of 64-bit hashes, so they are whole at any depth.
 
-Defined cases: null html is empty and gives the empty string; a null url is a host of its own; repeated rows stay repeated;
+Defined cases: null html is empty and gives the empty string; pages of any length are read whole, at most 256 of them at a time; a null url is a host of its own; repeated rows stay repeated;
 pages of which all blocks are template keep them; an empty table gives no rows; further columns are ignored.
 """
 
@@ -85,7 +85,7 @@ def _element(name: str, attributes: str, parent: Element) -> Element:
                 aside = True
             if words & {"comment", "comments", "commentlist", "sidebar"} and name not in ("article", "main"):
                 aside = True
-            role = "." + "-".join(sorted(words)[:6]) if words else ""
+            role = "." + "-".join(sorted(words)) if words else ""
     return Element(name, _hash(parent.path, name, role), aside or parent.aside, main)
 
 
@@ -231,6 +231,44 @@ def _join_hosts(rows: DataFrame, hosts: DataFrame, spread: Column, how: str) ->
     return rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
 
 
+_HOST = r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)"
+
+
+def _with_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) with their host and its columns, where it has any."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(""))
+    return _join_hosts(pages.withColumn("host", host), hosts, F.xxhash64("page_id"), "left")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, block, low, high): the least and greatest place of a block among those of its class, in page order."""
+    schema = pa.schema([("host", pa.string()), *((c, pa.int64()) for c in ("block", "low", "high"))])
+    found: dict[tuple, list[int]] = {}
+
+    def flush():
+        rows = [(*k, *v) for k, v in found.items()]
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    for batch in _runs(batches):
+        for host, page, own in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "fixed"))):
+            kind = {x["block"]: x["class"] for x in own}
+            seen: set[int] = set()
+            place: dict[int, int] = {}
+            for e, text, _ in blocks(page or ""):
+                key = _key(e, text)
+                if e.aside or key not in kind or key in seen:
+                    continue
+                seen.add(key)
+                k = place[kind[key]] = place.get(kind[key], -1) + 1
+                low_high = found.setdefault((host, key), [k, k])
+                low_high[0], low_high[1] = min(low_high[0], k), max(low_high[1], k)
+        if len(found) >= MOST_ENTRIES:
+            yield flush()
+    if found:
+        yield flush()
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, fixed) from rows (page_id, url, html): the keys of each host's template text."""
     stats = pages.mapInArrow(tk.lean(_count), _STATS).groupBy("host", "path", "block").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "whole")], F.bit_xor("vector").alias("vector"), F.max("layout").alias("layout"))
@@ -241,7 +279,12 @@ def templates(pages: DataFrame) -> DataFrame:
     laid = stats.filter("block = 0 and layout = 1").select("host", "pages", "vector")
     valid = held.filter(F.col("held") <= TEMPLATE_SHARE * F.col("of")).select("host", "pages", "vector").join(laid, ["host", "pages", "vector"], "left_semi")
     fixed = text.join(own, ["host", "path", "pages", "vector"], "left_semi").join(valid, ["host", "pages", "vector"], "left_semi")
-    return fixed.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("fixed"))
+    fixed = common.stored(fixed.select("host", "block", F.xxhash64("pages", "vector").alias("class")), name="page-classes")
+    hosts = fixed.groupBy("host").agg(F.collect_set(F.struct("block", "class")).alias("fixed"))
+    kept = _with_host(pages, hosts).filter("fixed is not null").select("host", "html", "fixed")
+    seen = kept.mapInArrow(tk.lean(_places), "host string, block long, low long, high long").groupBy("host", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ordered = fixed.join(seen.filter("low = high").select("host", "block"), ["host", "block"], "left_semi")
+    return ordered.groupBy("host").agg(F.sort_array(F.collect_set("block")).alias("fixed"))
 
 
 def main_text(page: str, host: str | None, fixed: frozenset | set) -> str:
@@ -258,9 +301,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     with common.scratch(pages.sparkSession) as keep:
         found = keep(common.stored(templates(rows), name="templates"))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#\s]+)", 1)), F.lit(""))
-    keyed = rows.withColumn("host", host)
-    joined = _join_hosts(keyed, found, F.xxhash64("page_id"), "left")
+    joined = _with_host(rows, found)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,18 @@ def test_each_layout_of_a_host_has_its_template(spark):
     assert got == dict(enumerate(stories))
 
 
+def test_blocks_out_of_order_are_data(spark):
+    """Sentences that all pages have, each page in an order of its own, stay; what stands in one place goes."""
+    rng = random.Random(9)
+    shared = [f"sentence {k} that every page has" for k in range(4)]
+    htmls, want = [], []
+    for i in range(24):
+        order, own = rng.sample(shared, 4), f"page {i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        htmls.append("<body><div>From the daily desk</div>" + "".join(f"<p>{s}</p>" for s in order) + f"<p>{own}</p><div>Printed weekly</div></body>")
+        want.append("\n\n".join([*order, own]))
+    assert texts_of(spark, htmls) == dict(enumerate(want))
+
+
 def test_copies_and_headings_are_data(spark):
     shared = ["a paragraph that the copies share", "and one more of theirs", "Background"]
     own = [f"page {i} says {i * 7919} things" for i in range(30)]

@@ -1,16 +1,18 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash (operator 5).
 
 A gear hash over the last ``WINDOW`` bytes marks cut points at word starts (and, more rarely, at any character, for text
-without spaces), no two closer than ``WINDOW`` bytes, so chunks depend on content alone and fall into step again after an
-insertion. Chunks are deduplicated by a 64-bit digest: the occurrence in the smallest id, at the first position, is the
-original. A run of consecutive repeated chunks is removed if it has ``run_words`` words (or ``run_bytes`` bytes), so short
-phrases that recur by chance, and single colliding digests, never cost a text anything.
+without spaces), no two closer than ``WINDOW`` bytes, so chunks (five to six words on average) depend on content alone and fall
+into step again after an insertion. Chunks are deduplicated by a 64-bit digest of a chunk and the one after it: a lone chunk of
+a few words recurs by chance in a large corpus, two in a row hardly ever. The occurrence in the smallest id, at the first
+position, is the original. A run of consecutive repeats is removed if its chunks have ``run_words`` words (or ``run_bytes``
+bytes), so neither short phrases nor single colliding digests cost a text anything; the first occurrence of a chunk always
+stays, as a repeat has one before it.
 
 Execution: one scan packs rows with their chunks into blocks in the shared folder; each block sends its distinct digests to
 buckets and learns which of them it owns; the blocks then drop their repeats. A digest counts once a block however often it
 occurs, so frequent passages stay as cheap as rare ones.
 
-Defined cases: null text stays null; empty text stays empty; a text that repeats wholly becomes empty, its row stays; a null
+Defined cases: null text stays null; a text of any length is cut and cleaned whole, in one block; empty text stays empty; a text that repeats wholly becomes empty, its row stays; a null
 id comes after all others; of rows with one id, the block's first row holds the original; an empty table stays empty; further
 columns are carried along (columns named as this operator's own are replaced).
 """
@@ -33,8 +35,9 @@ from .exchange import decode, decode_keys, encode, encode_keys, key_cuts, pack
 _U = np.uint64
 WINDOW, MOST_BYTES = 16, 512
 #: Bits of the gear hash that must be zero at a cut: at word starts, and at other characters.
-WORD_MASK, CHAR_MASK = np.uint32(1 << 15), np.uint32(0x7F << 9)
+WORD_MASK, CHAR_MASK = np.uint32(3 << 14), np.uint32(0x7F << 9)
 RUN_WORDS, RUN_BYTES = 20, 400
+#: Text in one block, and digests that one bucket receives on average, for each GB of memory a core has.
 BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 2_000_000
 
 _GEAR = (tk.byte_values(77) >> _U(32)).astype(np.uint32)
@@ -88,6 +91,17 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.array(at), np.diff(np.searchsorted(starts, np.append(out, len(data))))
 
 
+def pairs(digest: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digest of each chunk with the one after it (the digest of a text's only chunk alone), and how many each text has."""
+    n = np.diff(at)
+    per = np.where(n > 1, n - 1, n)
+    first = tk.ranges(at[:-1], per)
+    lone = np.repeat(n == 1, per)
+    after = digest[np.minimum(first + 1, max(0, len(digest) - 1))] if len(digest) else digest
+    with np.errstate(over="ignore"):
+        return np.where(lone, digest[first], tk.mix64(digest[first] * _U(0x9E3779B97F4A7C15) + after)), per
+
+
 def _boundary(data: np.ndarray, at: int) -> int:
     while data[at] & 0xC0 == 0x80:
         at -= 1
@@ -104,7 +118,7 @@ def _blocks(id_col: str, text_col: str, block_bytes: int):
         def flush():
             nonlocal held, size, seq
             rows = pa.Table.from_batches([x[0] for x in held]).combine_chunks()
-            digest, length, words, per = (np.concatenate([x[k] for x in held]) for k in range(1, 5))
+            digest, length, words, per, count = (np.concatenate([x[k] for x in held]) for k in range(1, 6))
             ids = np.array([np.iinfo(np.int64).max if v is None else v for v in rows.column(id_col).cast(pa.int64()).to_pylist()], dtype=np.int64)
             keys, at = np.unique(digest, return_inverse=True)
             of = np.repeat(np.arange(len(per)), per)
@@ -114,7 +128,7 @@ def _blocks(id_col: str, text_col: str, block_bytes: int):
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(rows)
             block, held, size, seq = part << 32 | seq, [], 0, seq + 1
-            payload = pack(rows=sink.getvalue().to_pybytes(), at=encode(at), head=encode(head), length=encode(length), words=encode(words), per=encode(per))
+            payload = pack(rows=sink.getvalue().to_pybytes(), at=encode(at), head=encode(head), length=encode(length), words=encode(words), per=encode(per), count=encode(count))
             asked = pack(keys=keys.tobytes(), ids=(ids[of[head]]).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([payload], pa.binary()), pa.array([asked], pa.binary()), pa.array([len(keys)])], names=["block", "payload", "asked", "keys"])
 
@@ -122,7 +136,8 @@ def _blocks(id_col: str, text_col: str, block_bytes: int):
             for rows, data, offsets in tk.slices(batch, text_col):
                 starts, at, words = chunks(data, offsets)
                 ends = np.append(starts[1:], len(data))
-                held.append((rows, hasher(data, starts, ends), ends - starts, words, np.diff(at)))
+                digest, per = pairs(hasher(data, starts, ends), at)
+                held.append((rows, digest, ends - starts, words, per, np.diff(at)))
                 size += len(data) + 64 * rows.num_rows
                 if size >= block_bytes:
                     yield flush()
@@ -179,23 +194,29 @@ def _drop(text_col: str, run_words: int, run_bytes: int):
                 answers[bucket] = decode(pickle.loads(payload.as_py())["owned"]).astype(bool)
         rows = pa.ipc.open_stream(own["rows"]).read_all().combine_chunks()
         out = pa.schema([*rows.schema, *[pa.field(n, t) for n, t, _ in OWN]])
-        at, head, length, words, per = (decode(own[k]) for k in ("at", "head", "length", "words", "per"))
+        at, head, length, words, per, count = (decode(own[k]) for k in ("at", "head", "length", "words", "per", "count"))
         owned = np.concatenate([answers[b] for b in sorted(answers)]) if answers else np.zeros(0, dtype=bool)
         repeat = np.ones(len(at), dtype=bool)
         repeat[head[owned]] = False
-        cuts = np.concatenate([[0], np.cumsum(per)])
-        # runs of repeated chunks inside a text
+        pair_cuts, cuts = (np.concatenate([[0], np.cumsum(x)]) for x in (per, count))
+        # the chunks from begin to end of each run of repeated pairs inside a text
+        chunk = np.arange(len(at)) + np.repeat(cuts[:-1] - pair_cuts[:-1], per)
         edge = np.zeros(len(at) + 1, dtype=bool)
-        edge[cuts] = True
-        begin = repeat.copy()
-        begin[1:] &= ~repeat[:-1] | edge[1 : len(at)]
-        run_of = np.cumsum(begin) - 1
-        n_runs = int(begin.sum())
-        gone = np.zeros(len(at), dtype=bool)
-        if n_runs:
-            w = np.bincount(run_of[repeat], weights=words[repeat], minlength=n_runs)
-            b = np.bincount(run_of[repeat], weights=length[repeat], minlength=n_runs)
-            gone[repeat] = ((w >= run_words) | (b >= run_bytes))[run_of[repeat]]
+        edge[pair_cuts] = True
+        follows = np.concatenate([[False], repeat[:-1]]) & ~edge[:-1]
+        goes_on = np.concatenate([repeat[1:], [False]]) & ~edge[1:]
+        begin, end = chunk[repeat & ~follows], chunk[repeat & ~goes_on]
+        end = end + np.where(np.repeat(count > 1, per)[repeat & ~goes_on], 2, 1)
+        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        w, b = total(words), total(length)
+        long = (w[end] - w[begin] >= run_words) | (b[end] - b[begin] >= run_bytes)
+        mark = np.zeros(len(length) + 1, dtype=np.int64)
+        np.add.at(mark, begin[long], 1)
+        np.add.at(mark, end[long], -1)
+        gone = np.cumsum(mark[:-1]) > 0
+        np.add.at(dup := np.zeros(len(length) + 1, dtype=np.int64), begin, 1)
+        np.add.at(dup, end, -1)
+        repeated = np.cumsum(dup[:-1]) > 0
         data, offsets = tk.buffers(rows.column(text_col))
         start = np.concatenate([[0], np.cumsum(length)])
         text = rows.column(text_col).to_pylist()
@@ -210,17 +231,19 @@ def _drop(text_col: str, run_words: int, run_bytes: int):
             spans[d] = [{"start": int(char[a]), "end": int(char[b])} for a, b in step.reshape(-1, 2)]
             n_chars[d] = sum(s["end"] - s["start"] for s in spans[d])
             text[d] = raw[~mask].tobytes().decode()
-        new = {text_col: text, "n_chunks": per, "n_dup_chunks": tk.sums(repeat, cuts), "n_removed_chars": n_chars, "n_removed_words": tk.sums(np.where(gone, words, 0), cuts), "removed": spans}
+        new = {text_col: text, "n_chunks": count, "n_dup_chunks": tk.sums(repeated, cuts), "n_removed_chars": n_chars, "n_removed_words": tk.sums(np.where(gone, words, 0), cuts), "removed": spans}
         return pa.Table.from_arrays([pa.array(new[f.name], f.type) if f.name in new else rows.column(f.name).cast(f.type) for f in out], schema=out)
 
     return run
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, run_bytes: int = RUN_BYTES, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, run_bytes: int = RUN_BYTES, block_bytes: int | None = None, bucket_entries: int | None = None) -> DataFrame:
     """``df`` with repeated passages removed from the text, and n_chunks, n_dup_chunks, n_removed_chars, n_removed_words and
     removed (the removed [start, end) ranges in characters of the input text)."""
     spark = df.sparkSession
     common.short_batches(spark)
+    block_bytes = block_bytes or int(BLOCK_BYTES * common.room(spark))
+    bucket_entries = bucket_entries or int(BUCKET_ENTRIES * common.room(spark))
     own = {n for n, _, _ in OWN}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in own])
     blocks = common.stored(df.mapInArrow(tk.lean(_blocks(id_col, text_col, block_bytes)), "block long, payload binary, asked binary, keys long"), name="cdc-blocks")

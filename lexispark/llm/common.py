@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -92,6 +93,26 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         files.delete(at, True)
 
 
+def _bytes(size: str) -> int:
+    """A Spark size setting (1g, 512m, plain MiB) in bytes."""
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", size.lower())
+    return int(m[1]) << {"k": 10, "m": 20, "": 20, "g": 30, "t": 40}[m[2]] if m else 1 << 30
+
+
+def room(spark: SparkSession, most: float = 16.0) -> float:
+    """GB of executor memory for each core that runs tasks, from 1 to ``most``.
+
+    Blocks and buckets of the block-and-bucket exchanges grow with it. Rows between them are blocks times buckets, each with a
+    block's share of a bucket, so on executors of 16 GB a core they are 256 times fewer and larger than on those of 1 GB; what
+    a large corpus needs is large executors, not another plan.
+    """
+    conf = spark.sparkContext.getConf()
+    cores = int(conf.get("spark.executor.cores", "1"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(most, max(1.0, _bytes(conf.get("spark.driver.memory", "1g")) / (1 << 30) / spark.sparkContext.defaultParallelism))
+    return min(most, max(1.0, _bytes(conf.get("spark.executor.memory", "1g")) / (1 << 30) / cores))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ adds up the counts of all blocks, keeps them as its part of the level's table, a
 Nothing is sent a token at a time, buckets hold a bounded number of n-grams, and histories too frequent for one bucket are
 salted over several, with their (few, bounded) sums added up afterwards. Scores then follow the recursion inside each block.
 
-Defined cases: null text is empty and has the end token only; null ids and repeated rows keep their rows (a null id counts as
+Defined cases: null text is empty and has the end token only; a text of any length is scored whole, in one block; null ids and repeated rows keep their rows (a null id counts as
 held out); an empty training set leaves all probability to the unknown class; further columns are ignored.
 """
 
@@ -35,7 +35,7 @@ from .exchange import decode, decode_floats, encode, encode_floats, key_cuts, pa
 
 _U = np.uint64
 CUTOFF = 5
-#: Text in one block, and n-gram entries that one bucket receives on average.
+#: Text in one block, and n-gram entries that one bucket receives on average, for each GB of memory a core has.
 BLOCK_BYTES, BUCKET_ENTRIES = 6 << 20, 1_000_000
 #: A history with more training tokens than this is salted, one bucket for each half of it; at most MOST_HOT histories are.
 HOT_TOKENS, MOST_HOT = 400_000, 65_536
@@ -364,7 +364,7 @@ def _summary(table: DataFrame, buckets: int) -> Level:
     return level
 
 
-def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int = BLOCK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
+def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, block_bytes: int | None = None, bucket_entries: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Trains on the rows where ``train`` holds and scores every row.
 
     Returns the scores (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per input row) and the
@@ -372,6 +372,8 @@ def fit_and_score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     spark = df.sparkSession
     common.short_batches(spark)
+    block_bytes = block_bytes or int(BLOCK_BYTES * common.room(spark))
+    bucket_entries = bucket_entries or int(BUCKET_ENTRIES * common.room(spark))
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = common.stored(source.mapInArrow(tk.lean(_blocks(block_bytes)), "chunk long, payload binary, first binary, tokens long, trained long"), name="katz-blocks")
     tokens = blocks.agg(F.sum("tokens")).first()[0] or 0

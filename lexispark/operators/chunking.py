@@ -61,7 +61,9 @@ def char_chunks_of(text: str, size: int = 800) -> Iterator[str]:
 def packed_sentences_of(text: str, most: int = 256, overlap: int = 32, least_chars: int = 60, count: Callable[[str], int] | None = None) -> Iterator[str]:
     """Sentences packed greedily up to ``most`` tokens, each chunk beginning with the tail of the last; no sentence is lost.
 
-    Without a tokenizer a token counts as four characters. A sentence longer than a chunk is cut by words.
+    Without a tokenizer a token counts as four characters. A sentence longer than a chunk is cut by words. A chunk has
+    ``least_chars`` characters: a shorter one is held until the next sentence makes it long enough (it may then exceed ``most``
+    by that sentence), and what is left at the end joins the chunk before; a text that is shorter itself gives none.
     """
     count = count or (lambda s: max(1, len(s) // 4))
     held: list[str] = []
@@ -76,7 +78,8 @@ def packed_sentences_of(text: str, most: int = 256, overlap: int = 32, least_cha
             n += count(s)
         return kept, n
 
-    fresh = False
+    waiting = None  # the last chunk, held back as what follows may be too short for one of its own
+    new = 0  # sentences of ``held`` that no chunk has yet
     for sentence in (s for s in re.split(r"(?<=[.!?…])\s+|\n+", text) if s.strip()):
         pieces, n = [sentence.strip()], count(sentence.strip())
         if n > most:
@@ -89,16 +92,25 @@ def packed_sentences_of(text: str, most: int = 256, overlap: int = 32, least_cha
             pieces.append(" ".join(part))
         for piece in pieces:
             n = count(piece)
-            if held and size + n > most:
-                yield " ".join(held)
+            if held and size + n > most and len(" ".join(held)) >= least_chars:
+                if waiting is not None:
+                    yield waiting
+                waiting = " ".join(held)
                 held, size = tail()
                 if size + n > most:
                     held, size = [], 0
+                new = 0
             held.append(piece)
             size += n
-            fresh = True
-    if held and fresh and len(" ".join(held)) >= 1:
-        yield " ".join(held)
+            new += 1
+    if new and len(" ".join(held)) >= least_chars:
+        if waiting is not None:
+            yield waiting
+        waiting = " ".join(held)
+    elif new and waiting is not None:
+        waiting = " ".join([waiting, *held[-new:]])
+    if waiting is not None:
+        yield waiting
 
 
 def by_function(df: DataFrame, key: str, text: str, chunks: Callable[[str], Iterator[str]]) -> DataFrame:
@@ -125,8 +137,11 @@ HIDDEN = "\ue000"
 
 
 def protected(phrases: list[str], chunks: Callable[[str], Iterator[str]]) -> Callable[[str], Iterator[str]]:
-    """Keeps phrases whole through a chunker: their inner spaces are hidden, longest phrase first, and restored as they were."""
-    pattern = re.compile("|".join(re.escape(p) for p in sorted(phrases, key=len, reverse=True)), re.I)
+    """Keeps phrases whole through a chunker: as whole words their inner spaces are hidden, longest phrase first, and restored as
+    they were."""
+    if not phrases:
+        return chunks
+    pattern = re.compile(r"\b(?:" + "|".join(re.escape(p) for p in sorted(phrases, key=len, reverse=True)) + r")\b", re.I)
 
     def run(text: str) -> Iterator[str]:
         for c in chunks(pattern.sub(lambda m: m[0].replace(" ", HIDDEN), text)):

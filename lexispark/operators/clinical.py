@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import substrings
 
 
 def lexicon(rows: DataFrame) -> DataFrame:
@@ -25,13 +26,14 @@ def _grams(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
     where a phrase can start become rows; a larger lexicon takes all n-grams.
     """
     first = lex.select(F.split_part("norm", F.lit(" "), F.lit(1)).alias("w")).distinct().limit(MOST_FIRST_WORDS + 1).collect()
+    longest = lex.agg(F.max(F.size(F.split("norm", " "))).alias("n")).first().n or 1
     words = df.select(F.col(key), tx.stemmed(F.col(text)).alias("_w"))
     if len(first) > MOST_FIRST_WORDS:
-        return words.select(F.col(key), F.explode(F.array_distinct(tx.ngrams(F.col("_w")))).alias("norm"))
+        return words.select(F.col(key), F.explode(F.array_distinct(tx.ngrams(F.col("_w"), 1, longest))).alias("norm"))
 
     def of(w: Column) -> Column:
         places = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i - 1).isin([r.w for r in first]))
-        return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(5), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
+        return F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
 
     found = F.when(F.size("_w") > 0, tx.let(F.col("_w"), of)).otherwise(F.array().cast("array<string>"))
     return words.select(F.col(key), F.explode(F.array_distinct(found)).alias("norm"))
@@ -64,6 +66,20 @@ def bias(candidates: DataFrame, docs: DataFrame, conditions: DataFrame, lex: Dat
     return wanted.join(hit, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.coalesce("pos", F.lit(0)) * float(positive) - F.coalesce("pen", F.lit(0)) * float(penalty)).alias("bias"))
 
 
+def bias_keys(candidates: DataFrame, docs: DataFrame, conditions: DataFrame, lex: DataFrame, text: str = "text") -> DataFrame:
+    """(qid, doc_id, global_penalties, positives, penalties): the sorted phrases of the query's conditions, and of the global
+    penalty (condition *, which holds for every query), whose normal form the document's normal form contains, inside words too."""
+    wanted = candidates.select("qid", "doc_id").distinct()
+    phrases = lex.filter(F.col("kind").isin("positive", "penalty")).select("condition", "kind", "norm").distinct()
+    normal = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tx.normalize_phrase(F.col(text)).alias("_n"))
+    found = substrings.contained(normal, "_n", phrases, "norm").select("doc_id", "condition", "kind", "norm")
+    general = wanted.join(found.filter("condition = '*' and kind = 'penalty'"), "doc_id").select("qid", "doc_id", F.lit("g").alias("k"), "norm")
+    own = wanted.join(conditions.select("qid", "condition").distinct(), "qid").join(found.filter("condition <> '*'"), ["doc_id", "condition"]).select("qid", "doc_id", F.when(F.col("kind") == "positive", "p").otherwise("n").alias("k"), "norm")
+    lists = general.unionByName(own).groupBy("qid", "doc_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("k") == k, F.col("norm")))).alias(n) for k, n in (("g", "global_penalties"), ("p", "positives"), ("n", "penalties"))])
+    none = F.array().cast("array<string>")
+    return wanted.join(lists, ["qid", "doc_id"], "left").select("qid", "doc_id", *[F.coalesce(c, none).alias(c) for c in ("global_penalties", "positives", "penalties")])
+
+
 def condition_patterns(df: DataFrame, key: str, text: str, patterns: list[tuple[str, str]]) -> DataFrame:
     """(key, condition, ord): conditions whose pattern matches, in the order of the list."""
     rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("condition"), F.lit(p).alias("p")) for i, (c, p) in enumerate(patterns)])

@@ -34,11 +34,57 @@ def labelled(df: DataFrame, fields: list[tuple[str, str, int | None]], sep: str
     return F.concat_ws(sep, *parts)
 
 
+#: Mark between the parts of a document.
+SEP = " [SEP] "
+
+
+def capped(df: DataFrame, parts: list[tuple[str, int | None]], sep: str = SEP, first: str | None = None) -> Column:
+    """The non-blank ones of (column, most characters), trimmed and cut, joined in order; ``first``, where it is filled, leads."""
+    order = [p for p in parts if p[0] == first] + [p for p in parts if p[0] != first]
+    cut = lambda c, n: F.left(c, F.lit(n)) if n else c
+    return F.concat_ws(sep, *[cut(tx.filled(tx.squeeze(F.col(c).cast("string"))), n) for c, n in order if c in df.columns])
+
+
+def embedding_text(df: DataFrame, name: str, sections: list[str], label: str = "Назва", most: int = 8000) -> Column:
+    """"label: name" and "section: value" parts with marks between, at most ``most`` characters and then three dots."""
+    own = tx.filled(F.col(name).cast("string"))
+    parts = [F.when(own.isNotNull(), F.concat(F.lit(f"{label}: "), own))]
+    for c in present(df, sections):
+        v = tx.filled(F.col(c).cast("string"))
+        parts.append(F.when(v.isNotNull(), F.concat(F.lit(f"{c}: "), v)))
+    whole = F.concat_ws(SEP, *parts)
+    return F.when(F.length(whole) > most, F.concat(F.left(whole, F.lit(most)), F.lit("..."))).otherwise(whole)
+
+
+def slim(df: DataFrame, name: str, columns: list[str], prefix: str = "passage: ") -> Column:
+    """The name and the columns in one line, the name alone where they are blank, with the prefix once."""
+    line = tx.squeeze(F.concat_ws(" ", *[tx.filled(F.col(c).cast("string")) for c in present(df, [name, *columns])]))
+    return prefixed(F.coalesce(tx.filled(line), F.col(name)), prefix)
+
+
 def prefixed(c: Column, prefix: str) -> Column:
     """Puts the prefix before text that lacks it."""
     return F.when(F.startswith(c, F.lit(prefix)), c).otherwise(F.concat(F.lit(prefix), c))
 
 
+def prefix_mode(mode: str, model: str) -> bool:
+    """Whether texts for the model take prefixes: ``e5`` always, ``none`` never, ``auto`` where its name says so."""
+    if mode not in ("none", "e5", "auto"):
+        raise ValueError(f"unknown prefix mode {mode!r}")
+    return mode == "e5" or mode == "auto" and "e5" in model.lower()
+
+
+def for_model(c: Column, kind: str, mode: str, model: str) -> Column:
+    """The text of a ``query`` or ``passage`` as the model wants it."""
+    return prefixed(c, f"{kind}: ") if prefix_mode(mode, model) else c
+
+
+def inn_of(composition: Column, most: int = 100) -> Column:
+    """What stands before the first full stop, if it is shorter than ``most`` characters; else null."""
+    head = tx.filled(F.split_part(F.coalesce(composition, F.lit("")), F.lit("."), F.lit(1)))
+    return F.when(F.length(head) < most, head)
+
+
 def sections(df: DataFrame, key: list[str], names: list[str]) -> DataFrame:
     """(key..., section_ord, section, text): a row per non-blank section column."""
     some = present(df, names)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GatePolicy
+from ..functions import norms
 from ..functions.text import let
 
 
@@ -45,14 +46,59 @@ def quality(name: Column, body: Column, least: int = 10) -> Column:
     return (F.length(F.trim(F.coalesce(name, F.lit("")))) > 0) & (F.length(F.trim(F.coalesce(body, F.lit("")))) > least)
 
 
-def valid_name(c: Column, stop: list[str]) -> Column:
-    """At least three characters, some letter, no doubled comma, no stop word."""
-    t = F.trim(F.lower(c))
-    return c.isNotNull() & (F.length(t) >= 3) & F.rlike(t, F.lit(r"\p{L}")) & ~F.contains(t, F.lit(",,")) & ~t.isin(stop)
+#: Words that are no substance (fixed values).
+NO_NAMES = ["component", "компонент", "ацелюлярний компонент"]
+#: Parts of dosage forms that a substance's name does not have (fixed values).
+FORM_PARTS = (
+    "tablet tablets capsule capsules syrup solution suspension coated prolonged retard mr sr xr for oral inhalation drops powder infusion "
+    "таблет капсул сироп розчин суспензі покрит пролонг ретард для пероральн інгаляц крапл порош"
+).split()
 
 
-def latin_name(c: Column) -> Column:
-    return F.rlike(c, F.lit(r"^[a-z][a-z\-]{1,64}$"))
+def valid_name(c: Column, stop: list[str] | None = None) -> Column:
+    """At least three characters, not only digits and punctuation, no doubled or leading comma, no stop word."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    bad = F.rlike(t, F.lit(r"^[\d,.\s\-/]+$")) | F.contains(t, F.lit(",,")) | F.contains(t, F.lit(", ,")) | F.startswith(t, F.lit(",")) | t.isin(NO_NAMES if stop is None else stop)
+    return (F.length(t) >= 3) & ~bad
+
+
+def latin_name(c: Column, spaces: bool = False, parts: list[str] | None = None) -> Column:
+    """Latin letters and hyphens (and spaces) of a substance's name, 2 to 65 of them, without a part of a dosage form."""
+    shape = r"^[a-z][a-z\- ]{1,64}$" if spaces else r"^[a-z][a-z\-]{1,64}$"
+    return F.coalesce(F.rlike(c, F.lit(shape)) & ~contains_any(c, FORM_PARTS if parts is None else parts), F.lit(False))
+
+
+def inventory(df: DataFrame, masks: dict[str, tuple[list[str], str, list[str], str | None, str | None]]) -> DataFrame:
+    """A boolean per mask (text columns, pattern, form columns, form pattern or None, rejected form pattern or None): the
+    pattern occurs in the texts, the form pattern in the forms, and the rejected one does not."""
+    joined = lambda names: F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in names if n in df.columns])
+    out = {}
+    for name, (texts, pattern, forms, form, rejected) in masks.items():
+        ok = F.rlike(joined(texts), F.lit(f"(?iuU){pattern}"))
+        if form:
+            ok = ok & F.rlike(joined(forms), F.lit(f"(?iuU){form}"))
+        if rejected:
+            ok = ok & ~F.rlike(joined(forms), F.lit(f"(?iuU){rejected}"))
+        out[name] = ok
+    return df.withColumns(out)
+
+
+def alias_checks(aliases: DataFrame, alias: str = "alias", target: str = "target", most: int = 48) -> DataFrame:
+    """One row: rows, aliases with parentheses, aliases that are too long, targets that look like no substance."""
+    a, t = norms.normalize(F.col(alias), "alias"), norms.normalize(F.col(target), "alias")
+    return aliases.agg(F.count("*").alias("rows"), F.count_if(F.rlike(a, F.lit("[()]"))).alias("with_parentheses"), F.count_if(F.length(a) > most).alias("too_long"), F.count_if(~latin_name(t, spaces=True)).alias("no_substance"))
+
+
+def first_term_rows(df: DataFrame, key: str, name: str, text: str, terms: list[str], most: int = 200) -> DataFrame:
+    """(key, name, term, snippet) of the rows whose text contains one of the terms, with the first of them."""
+    rows = df.withColumn("term", first_term(F.lower(F.coalesce(F.col(text), F.lit(""))), terms)).filter("term is not null")
+    return rows.select(key, F.col(name).alias("name"), "term", F.concat(F.left(text, F.lit(most)), F.lit("...")).alias("snippet"))
+
+
+def in_corpus(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits whose document exists, ranked anew; a list that was built on another corpus may name others."""
+    kept = hits.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc_id")))
 
 
 def section_gate(hits: DataFrame, policy: GatePolicy, section: str = "section") -> DataFrame:
@@ -72,8 +118,11 @@ def section_gate(hits: DataFrame, policy: GatePolicy, section: str = "section")
     return hits
 
 
-def doc_prefilter(passages: DataFrame, top_docs: DataFrame) -> DataFrame:
-    """Passages of each query's own best documents."""
+def doc_prefilter(passages: DataFrame, top_docs: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """Passages of each query's own best documents; with ``sources`` only the lists of these are restricted, others pass whole."""
+    if sources is not None:
+        listed = F.col("source").isin(sources)
+        return doc_prefilter(passages.filter(listed), top_docs).unionByName(passages.filter(~listed))
     return passages.join(top_docs.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config
 from ..functions import text as tx
-from .scores import top_k
+from .scores import ranked, top_k
 
-#: Distinct query terms up to which the term side of a join is broadcast.
-BROADCAST_TERMS = 200_000
+#: Distinct query terms up to which the term side of a join is broadcast, and phrases up to which they are.
+BROADCAST_TERMS, FEW_PHRASES = 200_000, 20_000
 
 
 def tokens(docs: DataFrame, doc_id: str, text: str, stem: bool = True) -> DataFrame:
@@ -39,49 +39,64 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text") -> DataFrame:
     """(qid, doc_id, score) of all documents with a positive score.
 
-    Postings are cut to the query terms before they are counted, so only those tokens are shuffled; empty documents count in
-    the number of documents and the average length. One scan of the documents serves postings and lengths.
+    Every row is a document of its own in the counts; of rows with one id the best score stands for the id, and rows without an
+    id are counted but never found. Postings are cut to the query terms before they are counted, so only those tokens are
+    shuffled; empty documents count in the number of documents and the average length.
     """
-    toks = tokens(docs, doc_id, doc_text, cfg.stem)
+    toks = tokens(docs, doc_id, doc_text, cfg.stem).withColumn("row", F.monotonically_increasing_id())
     stats = toks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     wanted = query_terms(queries, qid, query_text, cfg)
     terms = wanted.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    post = toks.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    post = post.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    post = toks.select("row", "doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    post = post.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term", "row", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weights = wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "avgdl")
     part = F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")) + 1e-9)
-    hits = post.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * part).alias("score"))
-    return hits.filter("score > 0")
+    hits = post.filter("doc_id is not null").join(weights, "term").groupBy("qid", "row", "doc_id").agg(F.sum(F.col("w") * part).alias("score"))
+    return hits.filter("score > 0").groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
-#: Query terms up to which the blocked scorer holds them in a task, and queries scored at a time.
-BLOCK_TERMS, QUERY_BLOCK = 50_000, 256
+def bm25_every(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(qid, doc_id, score, rank) of every document for every query: those without a query term rank too, with score 0.
 
+    The result has a row for each query and document, which is what is asked for; use it with few queries.
+    """
+    ids = queries.select(F.col(qid).alias("qid")).distinct()
+    every = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id is not null").distinct().join(F.broadcast(ids))
+    scored = every.join(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return ranked(scored, ["qid"])
+
+
+#: Entries of the query side (terms of queries) up to which tasks hold it, and cells or products of one step of a task.
+MOST_ENTRIES, STEP = 2_000_000, 2_000_000
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(qid, doc_id, score, rank)
 
-    Up to a checked number of distinct query terms, documents are scored where they are read: one scan counts documents per
-    term, a second one multiplies each slice of documents with blocks of query weights and keeps its k best, so neither
-    postings nor (query, document) pairs are shuffled. Beyond that number the relational form takes over.
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text", most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """(qid, doc_id, score, rank), as ``bm25`` and its k best; ids are longs.
+
+    Up to a checked number of query terms, summed over the queries, documents are scored where they are read, all queries at
+    once: one scan counts documents per term, a second multiplies each slice of postings with the sparse query weights and
+    keeps its k best, so neither postings nor (query, document) pairs are shuffled, however many queries there are. Beyond that
+    number the relational form does the same with shuffles.
     """
     wanted = query_terms(queries, qid, query_text, cfg)
-    terms = [r.term for r in wanted.select("term").distinct().limit(BLOCK_TERMS + 1).collect()]
-    if len(terms) > BLOCK_TERMS:
+    rows = wanted.select(F.col("qid").cast("long").alias("qid"), "term", "qtf").limit(most_entries + 1).toArrow()
+    if rows.num_rows > most_entries:
         return top_k(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid"], k)
     spark = docs.sparkSession
-    number = {t: i for i, t in enumerate(terms)}
+    terms, of = np.unique(np.array(rows.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    qids, who = np.unique(rows.column("qid").to_numpy(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    number = {str(t): i for i, t in enumerate(terms)}
     known = spark.sparkContext.broadcast(number)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
     counted = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(len(known.value), dtype=np.int64), 0, 0
-        for _, at, ids, sizes in _token_ids(batches, known.value, cfg.stem):
-            pairs = np.unique(np.repeat(np.arange(len(sizes)), np.diff(at)) * len(df) + ids)
-            df += np.bincount(pairs % max(1, len(df)), minlength=len(df))
+        for _, _, term, _, sizes in _postings(batches, known.value, cfg.stem, 512):
+            df += np.bincount(term, minlength=len(df))
             n, length = n + len(sizes), length + int(sizes.sum())
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[some], [n, length]]))], schema=counted)
@@ -91,39 +106,42 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25
     df = np.zeros(len(terms))
     df[list(totals)] = list(totals.values())
     average = length / n if n else 0.0
-    idfs = np.log((n - df + 0.5) / (df + 0.5) + 1) if n else df
+    idfs = np.where(df > 0, np.log((n - df + 0.5) / (df + 0.5) + 1), 0.0)
+    at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(terms)))])
+    weight = (rows.column("qtf").to_numpy() * idfs[of])[order]
+    state = spark.sparkContext.broadcast((qids, at, who[order], weight))
     result = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    ids = [r.qid for r in wanted.select("qid").distinct().orderBy("qid").collect()]
-    out = None
-    for lo in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = ids[lo : lo + QUERY_BLOCK]
-        rows = wanted.filter(F.col("qid").between(block[0], block[-1])).collect() if block else []
-        place = {q: j for j, q in enumerate(block)}
-        weights = np.zeros((len(terms), len(block)))
-        for r in rows:
-            weights[number[r.term], place[r.qid]] = r.qtf * idfs[number[r.term]]
-        weights[df == 0] = 0.0
-        state = spark.sparkContext.broadcast((np.array(block, dtype=np.int64), weights))
-
-        def score(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            qids, w = state.value
-            for docs_, at, tokens_, sizes in _token_ids(batches, known.value, cfg.stem):
-                s = np.zeros((len(sizes), len(qids)))
-                for d in range(len(sizes)):
-                    own, tf = np.unique(tokens_[at[d] : at[d + 1]], return_counts=True)
-                    if len(own):
-                        part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * sizes[d] / average) + 1e-9)
-                        s[d] = part @ w[own]
-                best = min(k, len(sizes))
-                # ties in the rounded score go to the smaller id
-                order = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -np.round(s, 6)), axis=0)[:best]
-                top = np.take_along_axis(s, order, axis=0)
-                q, keep = np.broadcast_to(qids, top.shape), top > 0
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(docs_[order][keep]), pa.array(top[keep])], schema=result)
-
-        hits = texts.filter("doc_id is not null").mapInArrow(score, "qid long, doc_id long, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out, ["qid"], k)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, at, who, weight = state.value
+        if not len(qids):
+            return
+        for docs_, doc, term, tf, sizes in _postings(batches, known.value, cfg.stem, max(1, min(512, STEP // len(qids)))):
+            if not len(docs_):
+                continue
+            part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * sizes[doc] / average) + 1e-9)
+            each = at[term + 1] - at[term]
+            s = np.zeros(len(docs_) * len(qids))
+            bounds = np.searchsorted(np.cumsum(each), np.arange(STEP, int(each.sum()) + STEP, STEP), "right")
+            for lo, hi in zip([0, *bounds[:-1]], bounds) if len(each) else ():
+                hi = min(max(hi, lo), len(each))
+                i = _ranges(at[term[lo:hi]], each[lo:hi])
+                s += np.bincount(np.repeat(doc[lo:hi] * len(qids), each[lo:hi]) + who[i], weights=np.repeat(part[lo:hi], each[lo:hi]) * weight[i], minlength=len(s))
+            s = s.reshape(len(docs_), len(qids))
+            same, first = np.unique(docs_, return_inverse=True)
+            if len(same) < len(docs_):
+                best = np.zeros((len(same), len(qids)))
+                np.maximum.at(best, first, s)
+                docs_, s = same, best
+            top = min(k, len(docs_))
+            # ties in the rounded score go to the smaller id
+            place = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -np.round(s, 6)), axis=0)[:top]
+            got = np.take_along_axis(s, place, axis=0)
+            q, keep = np.broadcast_to(qids, got.shape), got > 0
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(docs_[place][keep]), pa.array(got[keep])], schema=result)
+
+    hits = texts.mapInArrow(score, "qid long, doc_id long, score double")
+    return top_k(hits.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], k)
 
 
 _TOKEN = re.compile(tx.TOKEN)
@@ -131,30 +149,61 @@ _SUFFIX = re.compile(f"^(.{{4,}}?)(?:{'|'.join(tx.SUFFIXES)})$")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
-def _token_ids(batches: Iterator[pa.RecordBatch], number: dict[str, int], stem: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of (doc_id, text): ids, n+1 positions of each document's query terms, their numbers, and document lengths."""
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each run of the given length, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], number: dict[str, int], stem: bool, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For slices of (doc_id, text): the ids of the documents that have one; place, term number and count of each of their
+    query terms; and the lengths of these documents. Documents without an id come in slices of their own, without ids."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            some = batch.slice(lo, 512)
-            found, at, sizes = [], [0], []
-            for text in some.column(1).to_pylist():
+        for lo in range(0, batch.num_rows, most):
+            some = batch.slice(lo, most)
+            found, at, sizes = [], [], []
+            for d, text in enumerate(some.column(1).to_pylist()):
                 words = _TOKEN.findall((text or "").lower())
                 if stem and text and _CYRILLIC.search(text):
                     words = [_SUFFIX.sub(r"\1", w) for w in words]
-                found += [i for w in words if (i := number.get(w)) is not None]
-                at.append(len(found))
+                own = [i for w in words if (i := number.get(w)) is not None]
+                found += own
+                at += [d] * len(own)
                 sizes.append(len(words))
-            yield some.column(0).to_numpy(zero_copy_only=False), np.array(at), np.array(found, dtype=np.int64), np.array(sizes)
+            t = max(1, len(number))
+            pairs, tf = np.unique(np.array(at, dtype=np.int64) * t + np.array(found, dtype=np.int64), return_counts=True)
+            yield from _by_id(some.column(0), pairs // t, pairs % t, tf, np.array(sizes, dtype=np.int64))
+
+
+def _by_id(ids: pa.Array, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    if not ids.null_count:
+        yield ids.to_numpy(), doc, term, tf, sizes
+        return
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    for keep, named in ((there, ids.drop_null().to_numpy(zero_copy_only=False)), (~there, np.zeros(0, dtype=np.int64))):
+        place, own = np.cumsum(keep) - 1, keep[doc]
+        yield named, place[doc[own]], term[own], tf[own], sizes[keep]
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase: str = "phrase") -> DataFrame:
+def phrase_hits(docs: DataFrame, phrases: DataFrame, doc_id: str = "doc_id", text: str = "text", phrase: str = "phrase", few: int = FEW_PHRASES) -> DataFrame:
     """(phrase, doc_id): documents with all tokens of the phrase, in which its pattern then matches.
 
-    Relational division over postings cut to the phrases' tokens; the pattern runs on the few documents that pass.
+    Up to a checked number of phrases they are broadcast: a document is tested against the phrases of which it has the rarest
+    token, where it is read, and texts do not move. Beyond it documents are found by relational division over postings cut to
+    the phrases' tokens, and only the texts of those are joined.
     """
     parts = phrases.select(F.col(phrase).alias("phrase"), F.array_distinct(tx.tokenize(F.col(phrase))).alias("need")).filter(F.size("need") > 0).distinct()
+    pattern = tx.phrase_pattern(F.col("phrase"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    words = F.array_distinct(tx.tokenize(F.col("_text")))
     wanted = parts.select("phrase", F.size("need").alias("n"), F.explode("need").alias("term"))
-    post = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tx.tokenize(F.col(text)))).alias("term"))
+    if parts.limit(few + 1).count() <= few:
+        # the longest token of a phrase is taken for the rarest
+        keys = parts.select("phrase", "need", F.array_max(F.transform("need", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("term"), pattern.alias("_p"))
+        some = own.select("doc_id", "_text", words.alias("_w"))
+        hits = some.select("doc_id", "_text", "_w", F.explode("_w").alias("term")).join(F.broadcast(keys), "term")
+        return hits.filter((F.size(F.array_except("need", "_w")) == 0) & F.rlike("_text", F.col("_p"))).select("phrase", "doc_id")
+    post = own.select("doc_id", F.explode(words).alias("term"))
     both = post.join(wanted, "term").groupBy("phrase", "n", "doc_id").agg(F.count("*").alias("have")).filter("have = n")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    return both.join(texts, "doc_id").filter(F.rlike(F.col("_text"), tx.phrase_pattern(F.col("phrase")))).select("phrase", "doc_id")
+    texts = own.join(both.select("doc_id").distinct(), "doc_id", "left_semi")
+    return both.join(texts, "doc_id").filter(F.rlike(F.col("_text"), pattern)).select("phrase", "doc_id").distinct()

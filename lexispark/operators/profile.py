@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import norms
 from ..functions import text as tx
 
 
@@ -17,25 +18,32 @@ def nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return one.unpivot(["n"], columns, "field", "nulls").select("field", "n", "nulls", F.try_divide(F.col("nulls"), F.col("n")).alias("rate"))
 
 
+#: What is neither word character, white space nor common punctuation (fixed value).
+SPECIAL = r"""(?U)[^\w\s\-.,;:()\[\]{}«»"]"""
+
+
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(field, nulls, blank, very_short, meaningful, html, average length), most complete first by ``meaningful``."""
+    """(field, nulls, blank, very_short, meaningful, html, special_density, avg_length), most complete first by ``meaningful``;
+    the density of special characters is of the meaningful values."""
     t = lambda c: F.trim(F.col(c).cast("string"))
+    size = lambda c: F.length(t(c))
     parts = F.array(
         *[
             F.struct(
                 F.lit(c).alias("field"),
                 t(c).isNull().cast("int").alias("null"),
-                F.coalesce((F.length(t(c)) == 0).cast("int"), F.lit(0)).alias("blank"),
-                F.coalesce(F.length(t(c)).between(1, 5).cast("int"), F.lit(0)).alias("short"),
-                F.coalesce((F.length(t(c)) > 10).cast("int"), F.lit(0)).alias("long"),
+                F.coalesce((size(c) == 0).cast("int"), F.lit(0)).alias("blank"),
+                F.coalesce(size(c).between(1, 5).cast("int"), F.lit(0)).alias("short"),
+                F.coalesce((size(c) > 10).cast("int"), F.lit(0)).alias("long"),
                 F.coalesce(F.rlike(t(c), F.lit("<[^>]+>")).cast("int"), F.lit(0)).alias("html"),
-                F.length(t(c)).alias("size"),
+                F.when(size(c) > 10, F.regexp_count(t(c), F.lit(SPECIAL)) / size(c)).alias("special"),
+                size(c).alias("size"),
             )
             for c in columns
         ]
     )
     rows = df.select(F.explode(parts).alias("p")).select("p.*")
-    return rows.groupBy("field").agg(F.sum("null").alias("nulls"), F.sum("blank").alias("blank"), F.sum("short").alias("very_short"), F.sum("long").alias("meaningful"), F.sum("html").alias("html"), F.avg("size").alias("avg_length"))
+    return rows.groupBy("field").agg(F.sum("null").alias("nulls"), F.sum("blank").alias("blank"), F.sum("short").alias("very_short"), F.sum("long").alias("meaningful"), F.sum("html").alias("html"), F.avg("special").alias("special_density"), F.avg("size").alias("avg_length"))
 
 
 def lengths(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
@@ -46,12 +54,25 @@ def lengths(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
     return g.select(*(by or []), "n", "min_len", "mean_len", F.col("p")[0].alias("median_len"), F.col("p")[1].alias("p95_len"), F.col("p")[2].alias("p99_len"), "max_len")
 
 
-def complexity(df: DataFrame, text: str) -> DataFrame:
-    """Average characters, words, sentences, words per sentence and tokens (characters / 4)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def complexity(df: DataFrame, text: str, dimensions: int = 768) -> DataFrame:
+    """One row about the non-empty texts: mean, median, p95 and largest length, mean words, sentences and words per sentence,
+    tokens (characters / 4), the size of as many vectors in MB, and a score of the work (mean length * texts / 10000)."""
+    t = F.col(text)
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    marks = F.greatest(F.regexp_count(t, F.lit("[.!?]+")), F.lit(1))
-    return df.agg(F.avg(F.length(t)).alias("avg_chars"), F.avg(words).alias("avg_words"), F.avg(marks).alias("avg_sentences"), F.avg(words / marks).alias("words_per_sentence"), F.avg(F.length(t) / 4).alias("avg_tokens"))
+    marks = F.regexp_count(t, F.lit("[.!?]+"))
+    rows = df.filter(F.length(t) > 0).select(F.length(t).alias("c"), words.alias("w"), marks.alias("s"))
+    g = rows.agg(
+        F.count("*").alias("texts"),
+        F.avg("c").alias("avg_chars"),
+        F.percentile("c", F.array(F.lit(0.5), F.lit(0.95))).alias("p"),
+        F.max("c").alias("max_chars"),
+        F.avg("w").alias("avg_words"),
+        F.avg("s").alias("avg_sentences"),
+        F.avg(F.col("w") / F.greatest("s", F.lit(1))).alias("words_per_sentence"),
+        (F.sum("c") / 4).alias("tokens"),
+    )
+    size = F.col("tokens") * dimensions * 4 / 1024**2
+    return g.select("texts", "avg_chars", F.col("p")[0].alias("median_chars"), F.col("p")[1].alias("p95_chars"), "max_chars", "avg_words", "avg_sentences", "words_per_sentence", "tokens", size.alias("vectors_mb"), (F.col("avg_chars") * F.col("texts") / 10000).alias("work"))
 
 
 def duplicates(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -132,3 +153,34 @@ def preflight(df: DataFrame, required: list[str], key: str) -> DataFrame:
     k = F.lower(F.trim(F.col(key).cast("string")))
     g = df.groupBy(k.alias("k")).agg(F.count("*").alias("c"))
     return g.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("c"))), F.lit(0)).alias("null_keys"), F.count_if(F.col("k").isNotNull() & (F.col("c") > 1)).alias("repeated")).select(F.lit(",".join(missing)).alias("missing"), "n", "null_keys", "repeated")
+
+
+def name_frequency(df: DataFrame, name: str) -> DataFrame:
+    """(alias, n): how many rows have each name in its ``brand`` form."""
+    return df.filter(F.col(name).isNotNull()).groupBy(norms.normalize(F.col(name), "brand").alias("alias")).agg(F.count("*").alias("n"))
+
+
+def discovered(df: DataFrame, keywords: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The columns whose name contains a keyword of each kind."""
+    return {kind: [c for c in df.columns if any(w.lower() in c.lower() for w in words)] for kind, words in keywords.items()}
+
+
+def scan_report(df: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
+    """(field, kinds, n, filled, share, min_len, mean_len, median_len, max_len) of every column: kinds are those whose keywords
+    its name contains, and lengths are of the values as text. One pass over the table."""
+    kinds = discovered(df, keywords)
+    own = lambda c: ",".join(k for k, cs in kinds.items() if c in cs)
+    value = lambda c: tx.filled(F.col(f"`{c}`").cast("string"))
+    parts = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(own(c)).alias("kinds"), F.length(value(c)).alias("len")) for c in df.columns])
+    rows = df.select(F.explode(parts).alias("p")).select("p.*")
+    g = rows.groupBy("field", "kinds").agg(F.count("*").alias("n"), F.count("len").alias("filled"), F.min("len").alias("min_len"), F.avg("len").alias("mean_len"), F.percentile("len", 0.5).alias("median_len"), F.max("len").alias("max_len"))
+    return g.select("field", "kinds", "n", "filled", (F.col("filled") / F.col("n")).alias("share"), "min_len", "mean_len", "median_len", "max_len")
+
+
+def potential(df: DataFrame, text: str, group: str, per_item: int = 7, top: int = 10) -> DataFrame:
+    """(part, label, value): rows, rows with a text, queries expected of them, mean and median length; and the ``top`` groups."""
+    n = F.length(tx.filled(F.col(text)))
+    one = df.agg(F.count("*").cast("double").alias("rows"), F.count(n).cast("double").alias("with_text"), (F.count(n) * per_item).cast("double").alias("queries"), F.avg(n).alias("mean_length"), F.percentile(n, 0.5).alias("median_length"))
+    totals = one.unpivot([], one.columns, "label", "value").select(F.lit("total").alias("part"), "label", "value")
+    groups = value_counts(df.filter(F.col(group).isNotNull()), group, top).select(F.lit("group").alias("part"), F.col("value").cast("string").alias("label"), F.col("n").cast("double").alias("value"))
+    return totals.unionByName(groups)

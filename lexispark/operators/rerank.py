@@ -49,6 +49,31 @@ def head_then_tail(candidates: DataFrame, head: int, by: str) -> DataFrame:
     return candidates.withColumn("new_rank", F.row_number().over(w))
 
 
+def blend_head(candidates: DataFrame, head: int, weight: float, base: str = "score", ce: str = "ce") -> DataFrame:
+    """``blended`` for the first ``head`` candidates: (1 - w) * minmax(base) + w * minmax(ce), both over the head (a constant
+    list gives 0); the others keep their raw score."""
+    first = F.col("rank") <= head
+    top = blend_min_max(candidates.filter(first), weight, 0.0, base, ce, clip=False)
+    return top.unionByName(candidates.filter(~first).withColumn("blended", F.col(base).cast("double")))
+
+
+def replaced_by_ce(candidates: DataFrame, head: int, k: int, ce: str = "ce") -> DataFrame:
+    """The first ``head`` candidates by ce alone, ``k`` of them, as score and rank."""
+    top = candidates.filter(F.col("rank") <= head).drop("rank").withColumn("score", F.col(ce))
+    return ranked(top, ["qid"]).filter(F.col("rank") <= k)
+
+
+def by_two_keys(candidates: DataFrame, first: str, second: str, out: str = "rank") -> DataFrame:
+    """Ranks by two scores, both descending, then by id."""
+    w = Window.partitionBy("qid").orderBy(F.round(first, 6).desc(), F.round(second, 6).desc(), "doc_id")
+    return candidates.drop(out).withColumn(out, F.row_number().over(w))
+
+
+def pool_size(rerank: int, final: int, judged: int) -> int:
+    """Candidates to keep for the stages that follow."""
+    return max(4 * rerank, 4 * final, 6 * judged)
+
+
 def adaptive(candidates: DataFrame, judged: DataFrame) -> DataFrame:
     """Combines ce with a judge's 0-10 score and safety label; candidates without a judgement keep ce.
 
@@ -89,3 +114,36 @@ def judged_by_replies(candidates: DataFrame, replies: DataFrame, text: str = "te
     parsed = parsed_replies(replies, text, schema).filter("error is null").select("qid", F.explode("reply.candidates").alias("c"))
     rows = parsed.select("qid", F.col("c.drug_id").alias("doc_id"), F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.col("c.score"))).alias("llm_score"), F.coalesce("c.safety_label", F.lit("ok")).alias("safety"))
     return rows.join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").dropDuplicates(["qid", "doc_id"])
+
+
+#: Values of a triage frame's coarse fields; anything else is unknown (fixed values).
+AGE_GROUPS = ["infant", "child", "adult", "elderly", "pregnant", "unknown"]
+SEVERITIES = ["mild", "moderate", "severe", "unknown"]
+URGENCIES = ["self_care", "routine", "urgent", "emergency", "unknown"]
+FRAME = "original_query string, primary_complaint string, symptoms array<string>, possible_conditions array<string>, age_group string, severity string, urgency string, red_flags array<string>, notes string"
+
+
+def triage_frames(queries: DataFrame, replies: DataFrame, text: str = "reply") -> DataFrame:
+    """(qid, frame fields…, error) for every query, from stored replies (qid, reply) of a language model.
+
+    A missing field is empty, a coarse field that is none of its values is unknown, red flags raise urgency to urgent at least,
+    and a query whose reply is missing or cannot be read has an empty frame and the error's name.
+    """
+    parsed = parsed_replies(replies.select("qid", F.col(text).alias("_text")), "_text", FRAME).select("qid", F.col("reply").alias("f"), "error")
+    j = queries.select("qid", F.col("text").alias("q")).join(parsed, "qid", "left")
+    none = F.array().cast("array<string>")
+    coarse = lambda c, values: F.when(F.lower(F.trim(c)).isin(values), F.lower(F.trim(c))).otherwise("unknown")
+    flags = F.coalesce("f.red_flags", none)
+    urgency = coarse(F.col("f.urgency"), URGENCIES)
+    return j.select(
+        "qid",
+        F.coalesce(tx.filled(F.col("f.original_query")), F.col("q")).alias("original_query"),
+        F.coalesce("f.primary_complaint", F.lit("")).alias("primary_complaint"),
+        *[F.coalesce(f"f.{c}", none).alias(c) for c in ("symptoms", "possible_conditions")],
+        coarse(F.col("f.age_group"), AGE_GROUPS).alias("age_group"),
+        coarse(F.col("f.severity"), SEVERITIES).alias("severity"),
+        F.when((F.size(flags) > 0) & ~urgency.isin("urgent", "emergency"), "urgent").otherwise(urgency).alias("urgency"),
+        flags.alias("red_flags"),
+        F.coalesce("f.notes", F.lit("")).alias("notes"),
+        F.when(F.col("f").isNull(), F.coalesce("error", F.lit("missing"))).alias("error"),
+    )

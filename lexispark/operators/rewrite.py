@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import substrings
 
 
 def _word_grams(queries: DataFrame, qid: str, text: str, most: int) -> DataFrame:
@@ -14,14 +15,19 @@ def _word_grams(queries: DataFrame, qid: str, text: str, most: int) -> DataFrame
     return queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tx.ngrams(words, 1, most))).alias("gram"))
 
 
-def alias_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", longest: int = 5) -> DataFrame:
-    """(qid, ord, alias, target, type): aliases that occur as whole words; an equi-join on normalised n-grams.
+def _longest(rows: DataFrame, gram: str = "gram") -> int:
+    """Words of the longest entry: n-grams are made up to it."""
+    return rows.agg(F.max(F.size(F.split(gram, " "))).alias("n")).first().n or 1
+
+
+def alias_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
+    """(qid, ord, alias, target, type): aliases of any length that occur as whole words; an equi-join on normalised n-grams.
 
     ``aliases`` has (ord, alias, target, type); of one alias the first row counts.
     """
     first = aliases.withColumn("gram", tx.rewrite_norm(F.col("alias"))).filter("gram <> ''")
     first = first.withColumn("_n", F.row_number().over(Window.partitionBy("gram").orderBy("ord"))).filter("_n = 1").drop("_n")
-    return _word_grams(queries, qid, text, longest).join(first, "gram").select("qid", "ord", "alias", "target", "type")
+    return _word_grams(queries, qid, text, _longest(first)).join(first, "gram").select("qid", "ord", "alias", "target", "type")
 
 
 def rewrite(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", most: int = 3) -> DataFrame:
@@ -37,7 +43,7 @@ def rewrite(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str
 def symptom_hits(queries: DataFrame, symptoms: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, canon, intent_hint) from rows (canon, aliases separated by |, intent_hint)."""
     rows = symptoms.select("canon", "intent_hint", F.explode(F.split("aliases", r"\|")).alias("a")).withColumn("gram", tx.rewrite_norm(F.col("a"))).filter("gram <> ''")
-    return _word_grams(queries, qid, text, 5).join(rows, "gram").select("qid", "canon", "intent_hint").distinct()
+    return _word_grams(queries, qid, text, _longest(rows)).join(rows, "gram").select("qid", "canon", "intent_hint").distinct()
 
 
 def unit_hits(queries: DataFrame, units: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -46,15 +52,10 @@ def unit_hits(queries: DataFrame, units: DataFrame, qid: str = "qid", text: str
     return words.join(units.select(F.lower("raw").alias("raw"), "canon"), "raw").select("qid", "raw", "canon")
 
 
-def contains_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
-    """(qid, alias, target) of aliases that occur anywhere in the query, inside words too.
-
-    Substrings have no key to join on: the dictionary, a checked small table, is broadcast to the queries.
-    """
-    if aliases.limit(100_001).count() > 100_000:
-        raise ValueError("the alias dictionary has more than 100000 rows")
+def contains_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", few: int = substrings.FEW) -> DataFrame:
+    """(qid, alias, target) of aliases that occur anywhere in the query, inside words too."""
     q = queries.select(F.col(qid).alias("qid"), F.lower(F.col(text)).alias("_q"))
-    return q.join(F.broadcast(aliases), F.contains(F.col("_q"), F.lower("alias"))).select("qid", "alias", "target")
+    return substrings.contained(q, "_q", aliases.withColumn("_alias", F.lower("alias")), "_alias", few).select("qid", "alias", "target")
 
 
 def expand(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", most: int = 8) -> DataFrame:

@@ -45,6 +45,22 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, tie: str, out: str, digits: int = 4, weight: Column | None = None) -> DataFrame:
+    """``df`` with ``out``, the place of each row (from 0) per key in the order of ``order``, a column of hexadecimal digits of
+    one length, then ``tie``; with ``weight`` the sum of the weights before the row.
+
+    Two levels: rows are numbered within the first ``digits`` digits, and these are summed up, so neither a hot key nor the
+    lack of any key puts all rows into one task.
+    """
+    w = F.lit(1) if weight is None else weight
+    d = df.withColumn("_bin", F.left(F.col(order), F.lit(digits))).withColumn("_w", w.cast("long"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*keys, "_bin").agg(F.sum("_w").alias("_s"))
+    base = sums.select(*keys, "_bin", F.coalesce(F.sum("_s").over(upto(Window.partitionBy(*keys).orderBy("_bin"))), F.lit(0)).alias("_base"))
+    within = d.withColumn("_in", F.coalesce(F.sum("_w").over(upto(Window.partitionBy(*keys, "_bin").orderBy(order, tie))), F.lit(0)))
+    return within.join(base, [*keys, "_bin"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_bin", "_w", "_in", "_base", order)
+
+
 def passages_to_docs(df: DataFrame, qid: str = "qid", doc: str = "doc_id", rank: str = "rank") -> DataFrame:
     """Ranked passages to ranked documents: each document at its first passage."""
     first = df.groupBy(qid, doc).agg(F.min(rank).alias("first_rank"))

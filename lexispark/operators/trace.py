@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,13 @@ def summary(trace: DataFrame) -> DataFrame:
     return q.groupBy("stage").agg(F.count("*").alias("queries"), F.sum("n").alias("candidates"), F.avg("best").alias("avg_best"))
 
 
+def latency(events: DataFrame, stage: str, value: str, by: list[str], order: list[str]) -> DataFrame:
+    """(stage, n, avg_value, mean_running): each stage's mean, and the mean of the running averages within ``by``."""
+    w = Window.partitionBy(stage, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("_a", F.avg(value).over(w))
+    return rows.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.avg(value).alias("avg_value"), F.avg("_a").alias("mean_running"))
+
+
 def run_metadata(results: DataFrame, run_id: str, params: dict[str, str]) -> DataFrame:
     """One row about a run: its id, time, settings, queries and rows."""
     p = F.create_map(*[F.lit(x) for kv in sorted(params.items()) for x in kv]) if params else F.create_map().cast("map<string,string>")

@@ -1,3 +1,3 @@
 """Driver queries of the library, one for each operator, with DuckDB SQL beside them."""
 
-from . import curation, entities, evaluation, profiling, retrieval, texts  # noqa: F401
+from . import curation, entities, evaluation, names, profiling, retrieval, texts  # noqa: F401

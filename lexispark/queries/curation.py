@@ -50,22 +50,15 @@ def resume_anti(t: Tables) -> DataFrame:
     return curation.remaining(t.events, t.events.filter("event_id % 3 = 0"), "event_id").select("event_id")
 
 
-NAMES = "n AS (SELECT DISTINCT lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END)) AS name FROM part WHERE p_partkey <= 60), t AS (SELECT lower(trim(p_name)) AS title, p_partkey AS target FROM part)"
+NAMES = "n AS (SELECT DISTINCT lower(trim(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END)) AS name FROM part), t AS (SELECT lower(trim(p_name)) AS title, p_partkey AS target FROM part)"
 
 
 @query("exact_or_contains", f"WITH {NAMES}, e AS (SELECT name, target FROM n JOIN t ON name = title), c AS (SELECT name, target FROM n JOIN t ON contains(title, name) WHERE name NOT IN (SELECT name FROM e) AND length(name) >= 4) SELECT DISTINCT name, target FROM (SELECT * FROM e UNION ALL SELECT * FROM c)")
 def exact_or_contains(t: Tables) -> DataFrame:
-    names = t.part.filter("p_partkey <= 60").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"))
+    names = t.part.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("name"))
     return curation.exact_or_contains(names, t.part, "name", "p_name", "p_partkey")
 
 
-@query("name_match_disjunctive", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_name = b.p_name OR len(list_intersect(string_split(a.p_type, ' '), string_split(b.p_type, ' '))) > 0 OR contains(a.p_name, b.p_name) OR contains(b.p_name, a.p_name)")
-def name_match_disjunctive(t: Tables) -> DataFrame:
-    side = lambda k, d: t.part.select((F.col("p_partkey") + d).alias("j"), F.col("p_partkey").alias(k), F.col("p_name").alias(f"{k}_name"), F.split("p_type", " ").alias(f"{k}_set"))
-    pairs = side("a", 1).join(side("b", 0), "j")
-    return pairs.filter(curation.names_match(pairs, "a_name", "b_name", "a_set", "b_set")).select("a", "b")
-
-
 @query("id_or_text", "WITH p AS (SELECT item_id, lower(trim(text)) AS t, item_id * 10 AS v FROM benchmark) SELECT b.item_id AS id, coalesce(x.v, y.v) AS predicted FROM benchmark b LEFT JOIN (SELECT * FROM p WHERE item_id % 2 = 0) x USING (item_id) LEFT JOIN (SELECT t, max(v) AS v FROM p WHERE item_id % 3 = 0 GROUP BY 1) y ON y.t = lower(trim(b.text))")
 def id_or_text(t: Tables) -> DataFrame:
     rows = t.benchmark.select(F.col("item_id").alias("id"), "text", (F.col("item_id") * 10).alias("predicted"))
@@ -87,11 +80,34 @@ def stratified_sample(t: Tables) -> DataFrame:
     return curation.stratified_sample(t.part, "p_brand", "p_partkey", 100).select("p_partkey", "p_brand")
 
 
-@query("hard_negatives")
+NUMBERED = "i AS (SELECT p_partkey AS key, p_brand AS g, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7-' || p_partkey), p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"
+NEGATIVES = f"""{{0}}, {NUMBERED}, x AS (SELECT key, g, (i + d) % n AS i, 'same' AS kind FROM i, (SELECT unnest([1, 2, 3]) AS d) WHERE d < n UNION ALL
+  SELECT i.key, ring.next, (i.i + d) % z.n, 'other' FROM i JOIN ring USING (g) JOIN (SELECT g, max(n) AS n FROM i GROUP BY 1) z ON z.g = ring.next, (SELECT unnest([0, 1]) AS d) WHERE ring.next <> i.g AND d < z.n),
+neg AS (SELECT x.key, i.key AS negative, kind FROM x JOIN i ON i.g = x.g AND i.i = x.i)"""
+
+
+def negatives_sql() -> str:
+    from .entities import RING
+
+    return NEGATIVES.format(RING.format(7, "p_brand"))
+
+
+@query("hard_negatives", f"WITH {negatives_sql()} SELECT * FROM neg")
 def hard_negatives(t: Tables) -> DataFrame:
     return curation.hard_negatives(t.part, "p_partkey", "p_brand")
 
 
+@query(
+    "negative_pairs",
+    f"""WITH {negatives_sql()}, q AS (SELECT p_partkey AS key, unnest(['what is ' || p_name, 'buy ' || p_brand]) AS query FROM part), l AS (SELECT key, string_agg(p_name, '|' ORDER BY kind, negative) AS negatives FROM neg JOIN part ON p_partkey = negative GROUP BY 1)
+SELECT left(md5(q.key || '-' || query), 12) AS qid, query, q.key, p_name AS positive, negatives FROM q JOIN part ON p_partkey = q.key JOIN l ON l.key = q.key""",
+)
+def negative_pairs(t: Tables) -> DataFrame:
+    asked = F.explode(F.array(F.concat(F.lit("what is "), "p_name"), F.concat(F.lit(" buy "), "p_brand"), F.concat(F.lit("what is "), "p_name", F.lit(" ")), F.lit(" ")))
+    out = curation.negative_pairs(t.part.select("p_partkey", asked.alias("query")), t.part, "p_partkey", "p_brand", "p_name")
+    return out.withColumn("negatives", F.array_join("negatives", "|"))
+
+
 @query(
     "pattern_gold",
     """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS pattern FROM part), p AS (SELECT CASE WHEN length(pattern) % 2 = 0 THEN 'even' ELSE 'odd' END AS topic, pattern FROM w),
@@ -135,10 +151,9 @@ def gold_id_norm(t: Tables) -> DataFrame:
     return d.select("doc_id", curation.gold_ids(d, ["gold", "absent", "gold_ids"])[0].alias("first_gold"))
 
 
-@query("subset_counts", "SELECT 'all' AS subset, count(*) AS n FROM conversations UNION ALL SELECT role, count(*) FROM conversations GROUP BY role")
+@query("subset_counts", "SELECT 'all' AS subset, count(*) AS n FROM conversations UNION ALL SELECT 'asked', count(*) FROM conversations WHERE role = 'user' UNION ALL SELECT 'long', count(*) FROM conversations WHERE length(text) > 200")
 def subset_counts(t: Tables) -> DataFrame:
-    rows = t.conversations.select(F.explode(F.array(F.lit("all"), "role")).alias("subset"))
-    return rows.groupBy("subset").agg(F.count("*").alias("n"))
+    return writers.subset_counts(writers.subset_rows(t.conversations, {"asked": F.col("role") == "user", "long": F.length("text") > 200, "none": F.lit(False)}))
 
 
 @query("long_form", "SELECT p_brand, metric, value FROM (SELECT p_brand, count(*)::VARCHAR AS n, max(p_size)::VARCHAR AS largest FROM part GROUP BY 1) UNPIVOT (value FOR metric IN (n, largest))")
@@ -147,20 +162,66 @@ def long_form(t: Tables) -> DataFrame:
     return writers.long_form(g, ["p_brand"]).drop("type")
 
 
-LINES = ['{"id": "1", "query": "first"}', '{"qid": 2, "q": " second "}', "", "plain text line", '{"id": "4"}', '{"question": "fifth", "intent": "dosage"}']
+@query(
+    "query_file",
+    """WITH t AS (SELECT conv_id * 1000 + turn AS k, trim(text) AS x, role FROM conversations)
+SELECT CASE WHEN k % 5 IN (0, 1) THEN k::VARCHAR END AS id, x AS query, CASE WHEN k % 5 = 2 THEN role END AS intent FROM t WHERE k % 5 < 4 AND x <> ''""",
+)
+def query_file(t: Tables) -> DataFrame:
+    k, text = F.col("conv_id") * 1000 + F.col("turn"), F.col("text")
+    line = (
+        F.when(k % 5 == 0, F.to_json(F.struct(k.cast("string").alias("id"), text.alias("query"))))
+        .when(k % 5 == 1, F.to_json(F.struct(k.alias("qid"), F.concat(F.lit(" "), text).alias("q"))))
+        .when(k % 5 == 2, F.to_json(F.struct(F.col("role").alias("intent"), text.alias("question"))))
+        .when(k % 5 == 3, text)
+        .otherwise(F.to_json(F.struct(k.alias("id"))))
+    )
+    return readers.parsed_queries(t.conversations.select(line.alias("value")))
+
+
+@query("query_file_lenient", "SELECT conv_id * 1000 + turn AS id, trim(text) AS query FROM conversations WHERE turn % 2 = 0 AND trim(text) <> ''")
+def query_file_lenient(t: Tables) -> DataFrame:
+    k = F.col("conv_id") * 1000 + F.col("turn")
+    whole = F.to_json(F.struct(k.alias("id"), F.col("text").alias("query")))
+    line = F.when(F.col("turn") % 2 == 0, whole).otherwise(F.left(whole, F.length(whole) - 2))
+    return readers.parsed_queries(t.conversations.select(line.alias("value")), lenient=True).select(F.col("id").cast("long").alias("id"), "query")
+
+
+@query("prediction_shapes", "SELECT l_orderkey::VARCHAR AS id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) AS rank, l_partkey::VARCHAR AS doc_id FROM lineitem")
+def prediction_shapes(t: Tables) -> DataFrame:
+    own = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    ids = F.transform("x", lambda x: x["l_partkey"])
+    objects = F.transform("x", lambda x: F.struct(x["l_partkey"].alias("doc_id"), x["l_linenumber"].alias("score")))
+    named = F.transform("x", lambda x: F.struct(x["l_partkey"].cast("string").alias("id")))
+    k = F.col("l_orderkey")
+    line = F.when(k % 4 == 0, F.to_json(F.struct(k.alias("qid"), F.transform(ids, lambda i: i.cast("string")).alias("doc_ids")))).when(k % 4 == 1, F.to_json(F.struct(k.cast("string").alias("id"), objects.alias("hits")))).when(k % 4 == 2, F.to_json(F.struct(k.alias("query_id"), ids.alias("pred_ids")))).otherwise(F.to_json(F.struct(k.alias("id"), named.alias("results"))))
+    return readers.prediction_ids(own.select(line.alias("value")))
 
 
-@query("query_file", "SELECT * FROM (VALUES ('1', 'first', NULL), ('2', 'second', NULL), (NULL, 'plain text line', NULL), (NULL, 'fifth', 'dosage')) v(id, query, intent)")
-def query_file(t: Tables) -> DataFrame:
-    return readers.parsed_queries(t.spark.createDataFrame([(x,) for x in LINES], "value string"))
+@query("scan_columns", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+def scan_columns(t: Tables) -> DataFrame:
+    return readers.table(t.spark, f"{t.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"]).filter("l_quantity > 45")
 
 
-SHAPES = ['{"qid": "a", "doc_ids": ["5", "6"]}', '{"id": "b", "hits": [{"doc_id": 7, "score": 1}, {"doc_id": 8}]}', '{"id": "c", "pred_ids": [1, 2, 3]}']
+@query("first_rows", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 50")
+def first_rows(t: Tables) -> DataFrame:
+    return readers.first_rows(t.part, 50, ["p_name", "p_partkey"]).select("p_partkey", "p_name")
 
 
-@query("prediction_shapes", "SELECT * FROM (VALUES ('a', 1, '5'), ('a', 2, '6'), ('b', 1, '7'), ('b', 2, '8'), ('c', 1, '1'), ('c', 2, '2'), ('c', 3, '3')) v(id, rank, doc_id)")
-def prediction_shapes(t: Tables) -> DataFrame:
-    return readers.prediction_ids(t.spark.createDataFrame([(x,) for x in SHAPES], "value string"))
+@query("resolved_column", "SELECT p_partkey AS id, p_name AS title FROM part")
+def resolved_column(t: Tables) -> DataFrame:
+    return t.part.select(F.col(readers.resolve(t.part, ["id", "doc_id", "p_partkey"])).alias("id"), F.col(readers.resolve(t.part, ["title", "p_name", "name"])).alias("title"))
+
+
+@query("dictionary_rows", "SELECT p_name AS alias, p_brand AS target FROM part WHERE p_partkey % 3 > 0")
+def dictionary_rows(t: Tables) -> DataFrame:
+    raw = t.part.select(F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit(" "), "p_name")).alias("\ufeff Alias"), F.lit(None).cast("string").alias("TARGET"), F.concat("p_brand", F.lit(" ")).alias("canon_inn"))
+    return readers.named(raw, {"alias": ["alias", "src"], "target": ["target", "canon", "canon_inn", "inn"]})
+
+
+@query("sized_vectors", "SELECT vec_id, len(embedding) AS n FROM embeddings")
+def sized_vectors(t: Tables) -> DataFrame:
+    return readers.sized(t.embeddings, "embedding", 64).select("vec_id", F.size("embedding").cast("long").alias("n"))
 
 
 @query("event_props", "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1")

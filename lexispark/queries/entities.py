@@ -9,7 +9,7 @@ from ..functions import names
 from ..operators import evaluate, passages
 from ..registry import Tables, query
 from .evaluation import IDEAL, JUDGED, K, judged
-from .retrieval import HITS, TOK, one_list
+from .retrieval import HITS, TOK, bm25_sql, one_list
 
 LATIN = {"red widget": "rubrum", "economy": "oeconomia", "hot gear": "calor"}
 
@@ -24,33 +24,33 @@ def canonical_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", names.canonical_key(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit(""), LATIN).alias("key"))
 
 
-NAMES = ["Нурофен (Ibuprofen) таблетки", "Aspirin-C (табл.)", "  Но-шпа ", "Plain", ""]
-VALUES = "n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{x}')" for i, x in enumerate(NAMES)) + ") v(id, name))"
+NAMED = "n AS (SELECT p_partkey AS id, p_name, p_type, p_brand, p_name || ' (' || p_type || ') ' || p_brand AS name FROM part)"
 
 
-def rows(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(enumerate(NAMES)), "id long, name string")
+def named(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.col("p_name"), F.concat("p_name", F.lit(" ("), "p_type", F.lit(") "), "p_brand").alias("name"))
 
 
-@query("name_variants", "SELECT * FROM (VALUES (0::BIGINT, 'нурофен ibuprofen таблетки~нурофен таблетки~нурофенibuprofenтаблетки'), (1::BIGINT, 'aspirin-c табл~aspirin-c~aspirincтабл'), (2::BIGINT, 'но-шпа~ношпа'), (3::BIGINT, 'plain'), (4::BIGINT, '')) v(id, forms)")
+@query("name_variants", "SELECT p_partkey AS id, p_name || ' ' || lower(p_type) || ' ' || replace(lower(p_brand), '#', ' ') || '~' || p_name || ' ' || replace(lower(p_brand), '#', ' ') || '~' || replace(p_name, ' ', '') || lower(p_type) || replace(lower(p_brand), '#', '') AS forms FROM part")
 def name_variants(t: Tables) -> DataFrame:
-    return rows(t).select("id", F.array_join(names.variants(F.col("name")), "~").alias("forms"))
+    return named(t).select("id", F.array_join(names.variants(F.col("name")), "~").alias("forms"))
 
 
-@query("bracket_inn", f"WITH {VALUES} SELECT id, CASE id WHEN 0 THEN 'ibuprofen' WHEN 1 THEN 'табл' WHEN 2 THEN 'drotaverine' END AS inn FROM n")
+@query("bracket_inn", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) ELSE CASE p_name WHEN 'small ring' THEN 'anulus' WHEN 'red widget' THEN 'rubrum' END END AS inn FROM part")
 def bracket_inn(t: Tables) -> DataFrame:
-    return rows(t).select("id", names.bracket_name(F.col("name"), {"но-шпа": "drotaverine"}).alias("inn"))
+    name = F.when(F.col("id") % 3 > 0, F.col("name")).otherwise(F.upper("p_name"))
+    return named(t).select("id", names.bracket_name(name, {"small ring": "anulus", "red widget": "rubrum"}).alias("inn"))
 
 
-@query("short_alias", f"WITH {VALUES} SELECT id, trim(split_part(lower(name), '(', 1)) AS alias FROM n")
+@query("short_alias", f"WITH {NAMED} SELECT id, array_to_string(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('ring', 'widget')), ' ') AS alias FROM n")
 def short_alias(t: Tables) -> DataFrame:
-    return rows(t).select("id", names.short_alias(F.col("name"), ["таблетки"]).alias("alias"))
+    return named(t).select("id", names.short_alias(F.col("name"), ["ring", "widget"]).alias("alias"))
 
 
-@query("substance_sets", "SELECT * FROM (VALUES (1::BIGINT, 'paracetamol|caffeine'), (2::BIGINT, 'ibuprofen')) v(id, s)")
+@query("substance_sets", "SELECT p_partkey AS id, array_to_string(list_sort([lower(p_type), p_name]), '|') AS s FROM part")
 def substance_sets(t: Tables) -> DataFrame:
-    d = t.spark.createDataFrame([(1, "Paracetamol 500 mg, Caffeine; C"), (2, "ibuprofen / ibuprofen")], "id long, c string")
-    return d.select("id", F.array_join(F.transform(names.substances(F.col("c")), lambda x: F.split_part(x, F.lit(" "), F.lit(1))), "|").alias("s"))
+    made = F.concat("p_type", F.lit(" (1); "), "p_name", F.lit(", abc / "), "p_type")
+    return t.part.select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(names.substances(made)), "|").alias("s"))
 
 
 SECTIONED = f"{HITS}, s AS (SELECT h.qid, h.doc_id, h.score, p.p_brand AS entity, p.p_type AS section FROM hits h JOIN part p ON p.p_partkey = h.doc_id WHERE source = 'bm25')"
@@ -80,16 +80,30 @@ def missing_base(t: Tables) -> DataFrame:
     return passages.missing_base(t.lineitem.select(F.col("l_orderkey").alias("k")), t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("gold_level", "SELECT * FROM (VALUES (1::BIGINT, 'doc'), (2::BIGINT, 'passage'), (3::BIGINT, 'unknown'), (4::BIGINT, 'none')) v(qid, level)")
+@query(
+    "gold_level",
+    """WITH g AS (SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % (SELECT count(*) FROM documents) WHEN 1 THEN 1000000 + o_orderkey % 50 WHEN 2 THEN 9000000 END AS doc_id FROM orders)
+SELECT qid, CASE WHEN doc_id IS NULL THEN 'none' WHEN doc_id IN (SELECT doc_id FROM documents) THEN 'doc' WHEN doc_id - 1000000 IN (SELECT doc_id FROM documents) THEN 'passage' ELSE 'unknown' END AS level FROM g""",
+)
 def gold_level(t: Tables) -> DataFrame:
-    gold = t.spark.createDataFrame([(1, 5), (2, 1_000_007), (3, 9_999_999), (4, None)], "qid long, doc_id long")
+    n = t.documents.agg(F.count("*").alias("n"))
+    k = F.col("o_orderkey")
+    gold = t.orders.join(F.broadcast(n)).select(k.alias("qid"), F.when(k % 4 == 0, k % F.col("n")).when(k % 4 == 1, 1_000_000 + k % 50).when(k % 4 == 2, F.lit(9_000_000).cast("long")).alias("doc_id"))
     return passages.gold_level(gold, t.documents, t.documents.select((F.col("doc_id") + 1_000_000).alias("passage_id")))
 
 
-@query("id_or_order", "SELECT item_id AS id, item_id * 2 AS predicted FROM benchmark")
+@query("id_or_order", "WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n, o_custkey FROM orders) SELECT o_orderkey AS id, o_custkey AS predicted FROM p")
 def id_or_order(t: Tables) -> DataFrame:
-    gold = t.benchmark.select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"))
-    return passages.by_id_or_order(gold, t.benchmark.select((F.col("item_id") + 10**6).alias("id"), F.col("item_id").alias("ord"), (F.col("item_id") * 2).alias("predicted")))
+    """No id is shared, so the place decides."""
+    gold = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 3).alias("ord"))
+    return passages.by_id_or_order(gold, t.orders.select((F.col("o_orderkey") + 10**9).alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("predicted")))
+
+
+@query("id_before_order", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS predicted FROM orders")
+def id_before_order(t: Tables) -> DataFrame:
+    """Half of the ids are shared, so they decide, and the others have no prediction."""
+    gold = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"))
+    return passages.by_id_or_order(gold, t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("predicted")))
 
 
 @query("metric_deltas", f"WITH {JUDGED} SELECT 'recall' AS metric, round(avg(hits / {K}.0), 6) AS base, round(avg(hits / gold_n), 6) AS other, round(avg(hits / gold_n) - avg(hits / {K}.0), 6) AS delta FROM m UNION ALL SELECT 'ndcg', round(avg(dcg), 6), round(avg(dcg / {IDEAL.format(f'least(gold_n, {K})')}), 6), round(avg(dcg / {IDEAL.format(f'least(gold_n, {K})')}) - avg(dcg), 6) FROM m")
@@ -110,31 +124,86 @@ def policy_weights(t: Tables) -> DataFrame:
     return passages.policy_weights(pairs, F.col("p_name"), [("red", 0.3), ("gear$", -0.2)]).withColumn("weight", F.round("weight", 6))
 
 
-@query("training_pairs")
-def training_pairs(t: Tables) -> DataFrame:
-    return passages.training_pairs(t.part, "p_partkey", "p_name", F.array("p_type"), ["what is {name}", "{category} like {name}"])
-
-
-REPLIES = ['```json\n{"candidates": [{"drug_id": 1, "score": 12, "safety_label": "caution"}, {"drug_id": 2, "score": 4}]}\n``` and more', "", "quota exceeded (429)", '{"candidates": [', '{"candidates": [{"drug_id": 77, "score": 3}]}']
+RING = "g AS (SELECT g, row_number() OVER (ORDER BY md5('{0}-' || g), g) - 1 AS i, count(*) OVER () AS t FROM (SELECT DISTINCT {1} AS g FROM part)), ring AS (SELECT a.g, b.g AS next FROM g a JOIN g b ON b.i = (a.i + 1) % a.t)"
 
 
+@query(
+    "training_pairs",
+    f"""WITH {RING.format(3, "p_type")}, pool AS (SELECT p_type, list(p_name ORDER BY n) AS negatives FROM (SELECT p_type, p_name, row_number() OVER (PARTITION BY p_type ORDER BY md5('3-' || p_partkey), p_partkey) AS n FROM part) WHERE n <= 3 GROUP BY 1),
+q AS (SELECT p_partkey AS key, p_name AS positive, p_type AS category, unnest(['what is ' || p_name, p_type || ' like ' || p_name]) AS query FROM part)
+SELECT key, query, positive, category, array_to_string(negatives, '|') AS negatives FROM q JOIN ring ON ring.next = category JOIN pool ON p_type = ring.g WHERE ring.g <> category""",
+)
+def training_pairs(t: Tables) -> DataFrame:
+    rows = passages.training_pairs(t.part, "p_partkey", "p_name", F.array("p_type"), ["what is {name}", "{category} like {name}"])
+    return rows.withColumn("negatives", F.array_join("negatives", "|"))
+
+
+@query(
+    "training_pairs_canned",
+    "SELECT p_partkey AS key, unnest(['about ' || p_name, p_type || ' for ' || p_name]) AS query, p_name AS positive, p_type AS category, 'one|two|three' AS negatives FROM part UNION ALL SELECT p_partkey, unnest(['about ' || p_name, p_brand || ' for ' || p_name]), p_name, p_brand, 'one|two|three' FROM part",
+)
+def training_pairs_canned(t: Tables) -> DataFrame:
+    rows = passages.training_pairs(t.part, "p_partkey", "p_name", F.array("p_type", "p_brand", "p_name"), ["about {name}", "{category} for {name}", "never"], most=2, canned=["one", "two", "three", "four"])
+    return rows.withColumn("negatives", F.array_join("negatives", "|"))
+
+
+@query(
+    "policy_dsl",
+    r"""WITH q AS (SELECT qid, doc_id, s_name, p_name || ' ' || p_type AS s, p_size FROM hits JOIN part ON p_partkey = doc_id JOIN supplier ON s_suppkey = qid WHERE source = 'bm25'),
+w AS (SELECT *, regexp_matches(s_name, '[05]$') AS safe, CASE WHEN regexp_matches(s, '(?i)red|sma\w*') THEN 1.5 ELSE 0 END + CASE WHEN regexp_matches(s, '(?i)promo') THEN CASE WHEN regexp_matches(s_name, '[05]$') THEN 3.0 ELSE 0.5 END ELSE 0 END
+  + CASE WHEN regexp_matches(s, '(?i)gear|bolt') AND NOT regexp_matches(s, '(?i)large') THEN -2.0 ELSE 0 END + CASE WHEN regexp_matches(s_name, '[05]$') AND regexp_matches(s, '(?i)anvil') THEN -1.0 ELSE 0 END AS weight FROM q)
+SELECT qid, doc_id, CASE WHEN safe THEN 'careful' ELSE '' END AS intents, round(CAST(weight AS DOUBLE), 6) AS weight, CAST(row_number() OVER (PARTITION BY qid ORDER BY weight DESC, p_size, doc_id) AS INTEGER) AS rank FROM w""".replace("WITH q", f"WITH {HITS}, q"),
+)
+def policy_dsl(t: Tables) -> DataFrame:
+    rule = passages.Rule
+    careful = passages.PolicyIntent("careful", ("[05]$",), (rule("anvil", -1.0),), (rule("promo", 3.0),))
+    policy = passages.Policy((rule("red|sma*", 1.5), rule("promo", 0.5), rule("gear|bolt", -2.0)), (careful,), (("large", "gear|bolt"),))
+    pairs = one_list(t).join(t.part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("s"), "p_size"), "doc_id").join(t.supplier.select(F.col("s_suppkey").alias("qid"), "s_name"), "qid")
+    out = passages.by_policy(pairs.drop("rank"), policy, "s_name", "s", [F.col("p_size")])
+    return out.select("qid", "doc_id", F.array_join("intents", ",").alias("intents"), F.round("weight", 6).alias("weight"), "rank")
+
+
+#: A reply for each supplier about its first three parts: fenced JSON, nothing, an error, a torn one, plain JSON with a part unknown.
 def replies(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(i + 1, x) for i, x in enumerate(REPLIES)], "qid long, text string")
+    cand = F.struct(F.col("doc_id").alias("drug_id"), (F.col("rank") * 5.0).alias("score"), F.when(F.col("rank") == 1, "caution").alias("safety_label"))
+    own = one_list(t).filter("rank <= 3").groupBy("qid").agg(F.array_sort(F.collect_list(cand)).alias("c"))
+    odd = F.array(F.struct(F.lit(-7).cast("long").alias("drug_id"), F.lit(1.0).alias("score"), F.lit("ok").alias("safety_label")))
+    text = F.to_json(F.struct(F.concat("c", odd).alias("candidates")))
+    kind = F.col("qid") % 5
+    made = F.when(kind == 0, F.concat(F.lit("```json\n"), text, F.lit("\n``` and more"))).when(kind == 1, "").when(kind == 2, "RESOURCE_EXHAUSTED: quota").when(kind == 3, F.left(text, F.length(text) - 3)).otherwise(text)
+    return own.select("qid", made.alias("text"))
 
 
-@query("llm_reply_errors", "SELECT * FROM (VALUES (1::BIGINT, NULL), (2::BIGINT, 'empty'), (3::BIGINT, 'quota'), (4::BIGINT, 'invalid'), (5::BIGINT, NULL)) v(qid, error)")
+@query("llm_reply_errors", f"WITH {HITS} SELECT DISTINCT qid, CASE qid % 5 WHEN 1 THEN 'empty' WHEN 2 THEN 'quota' WHEN 3 THEN 'invalid' END AS error FROM hits WHERE source = 'bm25'")
 def llm_reply_errors(t: Tables) -> DataFrame:
     from ..operators import rerank
 
     return rerank.parsed_replies(replies(t), "text", "candidates array<struct<drug_id: bigint>>").select("qid", "error")
 
 
-@query("llm_reply_scores", "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 10.0::DOUBLE, 'caution'), (1::BIGINT, 2::BIGINT, 4.0::DOUBLE, 'ok')) v(qid, doc_id, llm_score, safety)")
+@query("llm_reply_scores", f"WITH {HITS} SELECT qid, doc_id, least(rank * 5.0, 10.0)::DOUBLE AS llm_score, CASE rank WHEN 1 THEN 'caution' ELSE 'ok' END AS safety FROM hits WHERE source = 'bm25' AND rank <= 3 AND qid % 5 IN (0, 4)")
 def llm_reply_scores(t: Tables) -> DataFrame:
     from ..operators import rerank
 
-    candidates = t.spark.createDataFrame([(1, 1), (1, 2), (5, 8)], "qid long, doc_id long")
-    return rerank.judged_by_replies(candidates, replies(t))
+    return rerank.judged_by_replies(one_list(t), replies(t))
+
+
+@query(
+    "triage_frames",
+    """SELECT c_custkey AS qid, c_name AS original_query, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'pain' ELSE '' END AS primary_complaint, CASE WHEN c_custkey % 5 = 0 THEN 'a,b' ELSE '' END AS symptoms,
+CASE WHEN c_custkey % 5 = 0 THEN 'adult' ELSE 'unknown' END AS age_group, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'urgent' ELSE 'emergency' END WHEN c_custkey % 5 = 1 THEN 'routine' ELSE 'unknown' END AS urgency,
+CASE c_custkey % 5 WHEN 2 THEN 'empty' WHEN 3 THEN 'invalid' WHEN 4 THEN 'missing' END AS error FROM customer""",
+)
+def triage_frames(t: Tables) -> DataFrame:
+    from ..operators import rerank
+
+    kind = F.col("c_custkey") % 5
+    urgency = F.when(F.col("c_custkey") % 2 == 0, "self_care").otherwise("Emergency")
+    full = F.to_json(F.struct(F.lit("pain").alias("primary_complaint"), F.array(F.lit("a"), F.lit("b")).alias("symptoms"), F.lit(" Adult").alias("age_group"), F.lit("dire").alias("severity"), urgency.alias("urgency"), F.array(F.lit("blood")).alias("red_flags")))
+    reply = F.when(kind == 0, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(kind == 1, F.lit('{"primary_complaint": "pain", "urgency": "routine", "age_group": 7}')).when(kind == 2, F.lit("  ")).otherwise("sorry")
+    queries = t.customer.select(F.col("c_custkey").alias("qid"), F.col("c_name").alias("text"))
+    out = rerank.triage_frames(queries, t.customer.filter(kind < 4).select(F.col("c_custkey").alias("qid"), reply.alias("reply")))
+    return out.select("qid", "original_query", "primary_complaint", F.array_join("symptoms", ",").alias("symptoms"), "age_group", "urgency", "error")
 
 
 @query("section_queries", "WITH q AS (SELECT p_partkey AS doc_id, 'PROMO' AS section, unnest(['buy ' || p_name, 'is ' || p_name || ' cheap', p_name]) AS query FROM part WHERE p_type = 'PROMO' UNION ALL SELECT p_partkey, 'SMALL', unnest(['tiny ' || p_name]) FROM part WHERE p_type = 'SMALL'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('5-' || doc_id || '-' || query), query) AS n FROM q) SELECT doc_id, section, query FROM r WHERE n <= 2 ORDER BY doc_id, n LIMIT 100")
@@ -145,21 +214,43 @@ def section_queries(t: Tables) -> DataFrame:
     return curation.section_queries(s, {"PROMO": ["buy {}", "is {} cheap", "{}"], "SMALL": ["tiny {}"]}, 2, 100)
 
 
-@query("augment_queries", "SELECT p_partkey AS qid, (SELECT CAST(count(*) AS INTEGER) FROM part b WHERE lower(b.p_name) = lower(a.p_name)) AS gold_n, 'indication' AS intent, 300 AS k FROM part a WHERE p_partkey <= 20")
+@query(
+    "augment_queries",
+    """WITH q AS (SELECT p_partkey AS qid, p_name AS a, split_part(p_name, ' ', 2) AS b, 'no such name' AS c FROM part),
+n AS (SELECT q.qid, x.name, x.list FROM q, LATERAL (SELECT * FROM (VALUES ('gold', a), ('acceptable', b), ('must_avoid', c)) v(list, name)) x),
+i AS (SELECT name, count(*) AS k FROM (SELECT DISTINCT name FROM n) d JOIN part ON CASE WHEN name IN (SELECT p_name FROM part) THEN p_name = name ELSE length(name) >= 4 AND contains(p_name, name) END GROUP BY 1)
+SELECT n.qid, CAST(sum(k) FILTER (WHERE list = 'gold') AS INTEGER) AS gold_n, CAST(coalesce(sum(k) FILTER (WHERE list = 'acceptable'), 0) AS INTEGER) AS acceptable_n, CAST(coalesce(sum(k) FILTER (WHERE list = 'must_avoid'), 0) AS INTEGER) AS must_avoid_n,
+  string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE k IS NULL) AS unmatched, 'indication' AS intent, 300 AS k FROM n LEFT JOIN i USING (name) GROUP BY 1""",
+)
 def augment_queries(t: Tables) -> DataFrame:
     from ..operators import curation
 
-    q = t.part.filter("p_partkey <= 20").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"), F.array("p_name").alias("names"))
-    out = curation.augmented(q, t.part, "names", "p_name", "p_partkey", ["all"])
-    return out.select("qid", F.size("gold").alias("gold_n"), "intent", "k")
+    q = t.part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"), F.array("p_name").alias("gold"), F.array(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("acceptable"), F.array(F.lit("No such name ")).alias("must_avoid"))
+    out = curation.augmented(q, t.part, ["gold", "acceptable", "must_avoid"], "p_name", "p_partkey", ["all"])
+    return out.select("qid", *[F.size(c).alias(f"{c}_n") for c in ("gold", "acceptable", "must_avoid")], F.array_join("unmatched", ",").alias("unmatched"), "intent", "k")
+
+
+def consumer_sql() -> str:
+    """The synonyms one after the other, then the words of more than five letters without the first ending that fits."""
+    from ..functions import text as tx
+
+    c = "lower(text)"
+    for k, v in tx.SYNONYMS.items():
+        c = f"replace({c}, '{k}', '{v}')"
+    ends = "[" + ", ".join(f"'{e}'" for e in tx.LIGHT_ENDINGS) + "]"
+    cut = f"CASE WHEN length(w) > 5 THEN left(w, length(w) - length(coalesce(list_filter({ends}, lambda e: suffix(w, e))[1], ''))) ELSE w END"
+    return f"array_to_string(list_transform(list_filter(string_split({c}, ' '), lambda w: w <> ''), lambda w: {cut}), ' ')"
+
 
+COMPLAINTS = ["високий тиск і нежить", "печія та понос щодня", "горло болить", "глисти у дитини", "ячмінь ячмінь", "безсоння", "звичайними словами"]
 
-@query("consumer_query", "SELECT * FROM (VALUES (0::BIGINT, 'високий рефлюкс і риніт'), (1::BIGINT, 'діаре')) v(id, q)")
+
+@query("consumer_query", f"WITH t AS (SELECT c_custkey, ([{', '.join(repr(c) for c in COMPLAINTS)}])[c_custkey % {len(COMPLAINTS)} + 1] || ' ' || c_mktsegment AS text FROM customer) SELECT c_custkey AS id, {consumer_sql()} AS q FROM t")
 def consumer_query(t: Tables) -> DataFrame:
     from ..functions import text as tx
 
-    d = t.spark.createDataFrame([(0, "Високий  печія, і нежить!"), (1, "понос")], "id long, text string")
-    return d.select("id", tx.consumer_query(F.col("text")).alias("q"))
+    text = F.concat(F.element_at(F.array(*[F.lit(c) for c in COMPLAINTS]), (F.col("c_custkey") % len(COMPLAINTS) + 1).cast("int")), F.lit(",  "), F.col("c_mktsegment"), F.lit("!"))
+    return t.customer.select(F.col("c_custkey").alias("id"), tx.consumer_query(text).alias("q"))
 
 
 @query("result_shapes", f"WITH {HITS}, s AS (SELECT qid, rank, doc_id, CASE WHEN length(p_name) > 6 THEN left(p_name, 6) || '...' ELSE p_name END AS snippet FROM hits JOIN part ON p_partkey = doc_id WHERE source = 'bm25' AND rank <= 3) SELECT qid, string_agg(doc_id || ':' || snippet, '|' ORDER BY rank) AS top FROM s GROUP BY 1")
@@ -179,12 +270,13 @@ def stage_scores(t: Tables) -> DataFrame:
     return trace.flat(both, ["bm25", "dense"])
 
 
-@query("candidate_structs", "SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS name, 'unknown' AS form, p_brand AS maker FROM part")
+@query("candidate_structs", "SELECT p_partkey, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS name, 'unknown' AS form, p_brand AS maker, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS inn FROM part")
 def candidate_structs(t: Tables) -> DataFrame:
     from ..operators import documents
 
+    made = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_type", F.lit(". More."))).otherwise(F.concat(F.repeat(F.lit("x"), F.lit(100)), F.lit(". y")))
     c = documents.candidate(t.part, {"name": ("p_name", 8, "unnamed"), "form": ("p_form", 50, "unknown"), "maker": ("p_brand", 50, "unknown")})
-    return t.part.select("p_partkey", c.alias("c")).select("p_partkey", "c.*")
+    return t.part.select("p_partkey", c.alias("c"), documents.inn_of(made).alias("inn")).select("p_partkey", "c.*", "inn")
 
 
 @query("build_passages", r"""
@@ -199,7 +291,7 @@ def build_passages(t: Tables) -> DataFrame:
     return p.select("doc_id", F.col("passage_id").cast("long").alias("passage_id"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("bm25_over_max")
+@query("bm25_over_max", f"WITH t AS ({bm25_sql(1.5, 10, True, digits=None)}) SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 6) AS relative, rank FROM t")
 def bm25_over_max(t: Tables) -> DataFrame:
     from ..operators import lexical, scores
 
@@ -208,16 +300,12 @@ def bm25_over_max(t: Tables) -> DataFrame:
 
 
 @query("bm25_all_passages", f"""
-WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents WHERE n_chars < 500), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM d),
-q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format("text")}) AS term FROM benchmark WHERE item_id < 5) GROUP BY 1, 2),
+WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM d),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
 p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT q.qid, p.doc_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.w) / avgdl) + 1e-9)) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, st GROUP BY 1, 2)
-SELECT x.qid, d.doc_id, round(coalesce(s.score, 0), 6) AS score, row_number() OVER (PARTITION BY x.qid ORDER BY round(coalesce(s.score, 0), 6) DESC, d.doc_id) AS rank FROM (SELECT DISTINCT qid FROM q) x, d LEFT JOIN s ON s.qid = x.qid AND s.doc_id = d.doc_id""")
+SELECT x.item_id AS qid, d.doc_id, round(coalesce(s.score, 0), 6) AS score, row_number() OVER (PARTITION BY x.item_id ORDER BY round(coalesce(s.score, 0), 6) DESC, d.doc_id) AS rank FROM benchmark x CROSS JOIN d LEFT JOIN s ON s.qid = x.item_id AND s.doc_id = d.doc_id""")
 def bm25_all_passages(t: Tables) -> DataFrame:
-    """Passages without a query term rank too, with score 0: a stated few queries against all passages."""
-    from ..operators import lexical, scores
+    from ..operators import lexical
 
-    docs, queries = t.documents.filter("n_chars < 500"), t.benchmark.filter("item_id < 5")
-    every = docs.select("doc_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(5)])).alias("qid"))
-    out = every.join(lexical.bm25(docs, queries), ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return scores.ranked(out, ["qid"]).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return lexical.bm25_every(t.documents, t.benchmark).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -16,12 +16,13 @@ def null_profile(t: Tables) -> DataFrame:
     return profile.nulls(p).withColumn("rate", F.round("rate", 6))
 
 
-COMPLETE = "SELECT '{0}' AS field, count(*) FILTER (WHERE {0} IS NULL) AS nulls, count(*) FILTER (WHERE length(trim({0})) = 0) AS blank, count(*) FILTER (WHERE length(trim({0})) BETWEEN 1 AND 5) AS very_short, count(*) FILTER (WHERE length(trim({0})) > 10) AS meaningful, count(*) FILTER (WHERE regexp_matches({0}, '<[^>]+>')) AS html, round(avg(length(trim({0}))), 6) AS avg_length FROM {1}"
+SPECIAL = r"""[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\-.,;:()\[\]{}«»"]"""
+COMPLETE = "SELECT '{0}' AS field, count(*) FILTER (WHERE {0} IS NULL) AS nulls, count(*) FILTER (WHERE length(trim({0})) = 0) AS blank, count(*) FILTER (WHERE length(trim({0})) BETWEEN 1 AND 5) AS very_short, count(*) FILTER (WHERE length(trim({0})) > 10) AS meaningful, count(*) FILTER (WHERE regexp_matches({0}, '<[^>]+>')) AS html, round(avg(len(regexp_extract_all(trim({0}), '{2}')) / length(trim({0}))) FILTER (WHERE length(trim({0})) > 10), 6) AS special_density, round(avg(length(trim({0}))), 6) AS avg_length FROM {1}"
 
 
-@query("completeness", " UNION ALL ".join(COMPLETE.format(c, "pages") for c in ("url", "html")))
+@query("completeness", " UNION ALL ".join(COMPLETE.format(c, "pages", SPECIAL) for c in ("url", "html")))
 def completeness(t: Tables) -> DataFrame:
-    return profile.completeness(t.pages, ["url", "html"]).withColumn("avg_length", F.round("avg_length", 6))
+    return profile.completeness(t.pages, ["url", "html"]).withColumns({c: F.round(c, 6) for c in ("avg_length", "special_density")})
 
 
 @query("length_percentiles", "SELECT lang, count(text) AS n, CAST(min(length(text)) AS INTEGER) AS min_len, round(avg(length(text)), 6) AS mean_len, round(quantile_cont(length(text), 0.5), 6) AS median_len, round(quantile_cont(length(text), 0.95), 6) AS p95_len, round(quantile_cont(length(text), 0.99), 6) AS p99_len, CAST(max(length(text)) AS INTEGER) AS max_len FROM documents GROUP BY lang")
@@ -32,12 +33,13 @@ def length_percentiles(t: Tables) -> DataFrame:
 
 @query(
     "text_complexity",
-    r"""WITH d AS (SELECT length(text) AS c, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents)
-SELECT round(avg(c), 6) AS avg_chars, round(avg(w), 6) AS avg_words, round(avg(s), 6) AS avg_sentences, round(avg(w / s), 6) AS words_per_sentence, round(avg(c / 4), 6) AS avg_tokens FROM d""",
+    r"""WITH d AS (SELECT length(text) AS c, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w, len(regexp_extract_all(text, '[.!?]+')) AS s FROM documents WHERE length(text) > 0)
+SELECT count(*) AS texts, round(avg(c), 6) AS avg_chars, round(quantile_cont(c, 0.5), 6) AS median_chars, round(quantile_cont(c, 0.95), 6) AS p95_chars, CAST(max(c) AS INTEGER) AS max_chars, round(avg(w), 6) AS avg_words, round(avg(s), 6) AS avg_sentences,
+  round(avg(w / greatest(s, 1)), 6) AS words_per_sentence, round(sum(c) / 4, 6) AS tokens, round(sum(c) / 4 * 768 * 4 / 1048576, 6) AS vectors_mb, round(avg(c) * count(*) / 10000, 6) AS work FROM d""",
 )
 def text_complexity(t: Tables) -> DataFrame:
     df = profile.complexity(t.documents, "text")
-    return df.select(*[F.round(c, 6).alias(c) for c in df.columns])
+    return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 @query("dup_groups", "SELECT md5(text) AS digest, lang, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1")
@@ -52,12 +54,12 @@ def top_phrases(t: Tables) -> DataFrame:
 
 @query(
     "ngram_min_df",
-    f"""WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents WHERE n_chars < 400),
+    f"""WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents),
 g AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS ngram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k))
 SELECT ngram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5""",
 )
 def ngram_min_df(t: Tables) -> DataFrame:
-    return profile.ngram_frequency(t.documents.filter("n_chars < 400"), "doc_id", "text")
+    return profile.ngram_frequency(t.documents, "doc_id", "text")
 
 
 @query("value_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
@@ -105,7 +107,27 @@ def recommendations(t: Tables) -> DataFrame:
 
 @query("latency_by_stage", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS avg_value, round(avg(avg_value), 6) AS mean_running FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS avg_value FROM events) GROUP BY 1")
 def latency_by_stage(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+    from ..operators import trace
 
-    w = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.withColumn("a", F.avg("value").over(w)).groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.avg("a"), 6).alias("mean_running"))
+    out = trace.latency(t.events, "event_type", "value", ["user_id"], ["ts", "event_id"])
+    return out.select("stage", "n", F.round("avg_value", 6).alias("avg_value"), F.round("mean_running", 6).alias("mean_running"))
+
+
+SCAN = "SELECT '{0}' AS field, '{1}' AS kinds, count(*) AS n, count(x) AS filled, round(count(x) / count(*), 6) AS share, CAST(min(length(x)) AS INTEGER) AS min_len, round(avg(length(x)), 6) AS mean_len, round(quantile_cont(length(x), 0.5), 6) AS median_len, CAST(max(length(x)) AS INTEGER) AS max_len FROM (SELECT nullif(trim({0}::VARCHAR), '') AS x FROM part)"
+
+
+@query("scan_report", " UNION ALL ".join(SCAN.format(c, k) for c, k in {"p_partkey": "part,key", "p_name": "text", "p_brand": "", "p_type": "text", "p_size": ""}.items()))
+def scan_report(t: Tables) -> DataFrame:
+    df = profile.scan_report(t.part.drop("p_retailprice"), {"part": ["PARTKEY"], "key": ["key"], "text": ["name", "type"]})
+    return df.select("field", "kinds", "n", "filled", F.round("share", 6).alias("share"), "min_len", F.round("mean_len", 6).alias("mean_len"), F.round("median_len", 6).alias("median_len"), "max_len")
+
+
+@query(
+    "training_potential",
+    """WITH x AS (SELECT length(nullif(trim(CASE WHEN p_size > 10 THEN p_name END), '')) AS n, p_brand FROM part), g AS (SELECT p_brand, count(*) AS k FROM x GROUP BY 1 ORDER BY k DESC, p_brand LIMIT 10)
+SELECT 'total' AS part, 'rows' AS label, count(*)::DOUBLE AS value FROM x UNION ALL SELECT 'total', 'with_text', count(n) FROM x UNION ALL SELECT 'total', 'queries', count(n) * 7 FROM x UNION ALL SELECT 'total', 'mean_length', round(avg(n), 6) FROM x
+UNION ALL SELECT 'total', 'median_length', quantile_cont(n, 0.5) FROM x UNION ALL SELECT 'group', p_brand, k FROM g""",
+)
+def training_potential(t: Tables) -> DataFrame:
+    rows = t.part.select(F.when(F.col("p_size") > 10, F.col("p_name")).alias("text"), "p_brand")
+    return profile.potential(rows, "text", "p_brand").withColumn("value", F.round("value", 6))

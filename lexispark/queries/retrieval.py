@@ -15,7 +15,7 @@ from ..registry import Tables, query
 TOK = f"regexp_extract_all(lower(coalesce({{0}}, '')), '{TOKEN}')"
 
 
-def bm25_sql(k1: float, top: int, repeat: bool, gold: bool = False) -> str:
+def bm25_sql(k1: float, top: int, repeat: bool, digits: int | None = 6) -> str:
     """The scorer in plain SQL."""
     return f"""
 WITH d AS (SELECT doc_id, {TOK.format("text")} AS w FROM documents),
@@ -26,7 +26,7 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT q.qid, p.doc_id, sum(q.qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * ({k1} + 1) / (tf + {k1} * (1 - 0.75 + 0.75 * len(d.w) / avgdl) + 1e-9)) AS score
   FROM q JOIN p USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, st GROUP BY 1, 2),
 r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s WHERE score > 0)
-SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= {top}"""
+SELECT qid, doc_id, {f"round(score, {digits})" if digits else "score"} AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= {top}"""
 
 
 def shown(df: DataFrame, *more: str) -> DataFrame:
@@ -296,15 +296,63 @@ def llm_select_backfill(t: Tables) -> DataFrame:
 @query(
     "overlap_scorer",
     f"""WITH q AS (SELECT item_id AS qid, list_distinct({TOK.format("text")}) AS q FROM benchmark),
-d AS (SELECT doc_id, list_distinct({TOK.format("text")}) AS w FROM documents WHERE doc_id % 40 = 0)
-SELECT qid, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END, 6) AS ce FROM q, d WHERE qid = doc_id % 41""",
+d AS (SELECT doc_id, list_distinct({TOK.format("text")}) AS w FROM documents)
+SELECT qid, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, w)) / len(q) ELSE 0 END, 6) AS ce FROM q JOIN d ON qid = doc_id % 41""",
 )
 def overlap_scorer(t: Tables) -> DataFrame:
-    pairs = t.documents.filter("doc_id % 40 = 0").select("doc_id", F.col("text").alias("d"), (F.col("doc_id") % 41).alias("qid"))
+    pairs = t.documents.select("doc_id", F.col("text").alias("d"), (F.col("doc_id") % 41).alias("qid"))
     pairs = pairs.join(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("q")), "qid")
     return rerank.overlap(pairs, "q", "d").select("qid", "doc_id", F.round("ce", 6).alias("ce"))
 
 
+@query(
+    "cross_encoder_scores",
+    f"WITH {HITS} SELECT qid, doc_id, round(length(s_name) / CAST(length(p_name) AS DOUBLE), 6) AS ce FROM hits JOIN part ON p_partkey = doc_id JOIN supplier ON s_suppkey = qid WHERE source = 'bm25'",
+)
+def cross_encoder_scores(t: Tables) -> DataFrame:
+    """Any model's score of (query, text) pairs: here one that divides their lengths."""
+    pairs = one_list(t).join(t.part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id").join(t.supplier.select(F.col("s_suppkey").alias("qid"), "s_name"), "qid")
+    return rerank.scored_by(pairs, lambda: lambda q, d: q.str.len() / d.str.len(), "s_name", "p_name").select("qid", "doc_id", F.round("ce", 6).alias("ce"))
+
+
+@query(
+    "ce_blend_head",
+    f"WITH {CE}, x AS (SELECT * FROM c WHERE rank <= 8), y AS (SELECT qid, doc_id, 0.7 * {SCALE.format('score')} + 0.3 * {SCALE.format('ce')} AS blended FROM x WINDOW w AS (PARTITION BY qid)) SELECT qid, doc_id, round(blended, 6) AS blended FROM y UNION ALL SELECT qid, doc_id, round(score, 6) FROM c WHERE rank > 8",
+)
+def ce_blend_head(t: Tables) -> DataFrame:
+    return rerank.blend_head(with_ce(t), 8, 0.3).select("qid", "doc_id", F.round("blended", 6).alias("blended"))
+
+
+@query("ce_replaces_score", f"WITH {CE}, f AS (SELECT qid, doc_id, ce AS score FROM c WHERE rank <= 8), r AS ({FINAL}) SELECT * FROM r WHERE rank <= 5")
+def ce_replaces_score(t: Tables) -> DataFrame:
+    return shown(rerank.replaced_by_ce(with_ce(t), 8, 5))
+
+
+@query("two_key_sort", f"WITH {CE} SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(ce, 6) DESC, round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM c")
+def two_key_sort(t: Tables) -> DataFrame:
+    return rerank.by_two_keys(with_ce(t), "ce", "score").select("qid", "doc_id", "rank")
+
+
+@query("candidate_pool", f"WITH {HITS} SELECT qid, doc_id, CAST(rank AS BIGINT) AS rank FROM hits WHERE source = 'bm25' AND rank <= 12")
+def candidate_pool(t: Tables) -> DataFrame:
+    return one_list(t).filter(F.col("rank") <= rerank.pool_size(3, 2, 1)).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("hits_in_corpus", f"WITH {HITS} SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY rank) AS BIGINT) AS rank FROM hits WHERE source = 'bm25' AND doc_id IN (SELECT p_partkey FROM part WHERE p_size > 20)")
+def hits_in_corpus(t: Tables) -> DataFrame:
+    docs = t.part.filter("p_size > 20").select(F.col("p_partkey").alias("doc_id"))
+    return filters.in_corpus(one_list(t), docs).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "doc_prefilter_lists",
+    f"WITH {HITS}, d AS (SELECT DISTINCT l_suppkey AS qid, l_partkey AS doc_id FROM lineitem WHERE l_returnflag = 'N') SELECT source, qid, doc_id, CAST(rank AS BIGINT) AS rank FROM hits WHERE source <> 'bm25' OR (qid, doc_id) IN (SELECT qid, doc_id FROM d)",
+)
+def doc_prefilter_lists(t: Tables) -> DataFrame:
+    top = t.lineitem.filter("l_returnflag = 'N'").select(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("doc_id"))
+    return filters.doc_prefilter(hits(t), top, ["bm25"]).select("source", "qid", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
 #: Phrases that documents share: the first five words of every benchmark item.
 PHRASES = f"phrases AS (SELECT DISTINCT array_to_string({TOK.format('text')}[1:5], ' ') AS phrase FROM benchmark)"
 
@@ -355,10 +403,27 @@ SELECT qid, doc_id, round(CAST(coalesce(pos, 0) * 0.15 - coalesce(pen, 0) * 0.20
 )
 def ce_bias(t: Tables) -> DataFrame:
     cand = t.documents.select((F.col("doc_id") % 8).alias("qid"), "doc_id")
-    cond = clinical.detect(t.documents.filter("doc_id < 8").select(F.col("doc_id").alias("qid"), "text"), lexicon(t))
+    cond = clinical.detect(t.documents.filter("doc_id < 8").select(F.col("doc_id").alias("qid"), "text"), lexicon(t))  # the queries
     return clinical.bias(cand, t.documents, cond, lexicon(t)).select("qid", "doc_id", F.round("bias", 6).alias("bias"))
 
 
+@query(
+    "bias_keys",
+    f"""WITH {LEXICON}, lx AS (SELECT CASE WHEN condition = 'c0' AND kind = 'penalty' THEN '*' ELSE condition END AS condition, kind, norm FROM lex), n AS (SELECT doc_id, array_to_string({TOK.format('text')}, ' ') AS s FROM documents),
+c AS (SELECT (doc_id % 4) AS qid, doc_id, 'c' || (doc_id % 4) AS condition FROM n),
+h AS (SELECT c.qid, c.doc_id, lx.condition, kind, norm FROM c JOIN n USING (doc_id) JOIN lx ON kind <> 'trigger' AND contains(s, norm) AND (lx.condition = c.condition OR lx.condition = '*' AND kind = 'penalty'))
+SELECT c.qid, c.doc_id, coalesce(string_agg(DISTINCT norm, '|' ORDER BY norm) FILTER (WHERE h.condition = '*'), '') AS global_penalties, coalesce(string_agg(DISTINCT norm, '|' ORDER BY norm) FILTER (WHERE h.condition <> '*' AND kind = 'positive'), '') AS positives,
+  coalesce(string_agg(DISTINCT norm, '|' ORDER BY norm) FILTER (WHERE h.condition <> '*' AND kind = 'penalty'), '') AS penalties FROM c LEFT JOIN h USING (qid, doc_id) GROUP BY 1, 2""",
+)
+def bias_keys(t: Tables) -> DataFrame:
+    general = (F.col("condition") == "c0") & (F.col("kind") == "penalty")
+    lex = lexicon(t).withColumn("condition", F.when(general, "*").otherwise(F.col("condition")))
+    cand = t.documents.select((F.col("doc_id") % 4).alias("qid"), "doc_id")
+    cond = t.documents.select((F.col("doc_id") % 4).alias("qid")).distinct().withColumn("condition", F.concat(F.lit("c"), F.col("qid").cast("string")))
+    out = clinical.bias_keys(cand, t.documents, cond, lex)
+    return out.select("qid", "doc_id", *[F.array_join(c, "|").alias(c) for c in ("global_penalties", "positives", "penalties")])
+
+
 def pipeline(t: Tables) -> dict[str, DataFrame]:
     queries = t.benchmark.select(F.col("item_id").alias("qid"), "text")
     return search(t.documents.select("doc_id", "text"), queries, SearchConfig(), lexicon=lexicon(t))

@@ -1,4 +1,4 @@
-"""Text functions, document composition, chunking, rewriting and safety. Cyrillic inputs are inline rows, as no table has any."""
+"""Text functions, document composition, chunking, rewriting and safety. Cyrillic inputs are made from tables, as none has any."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UserProfile
+from ..functions import norms
 from ..functions import text as tx
 from ..operators import chunking, documents, filters, priors, rewrite, safety
 from ..registry import Tables, query
@@ -22,11 +23,21 @@ PHRASES = [
     "короткий запит",
     "",
 ]
-INLINE = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES)) + ") v(id, text))"
+#: A row for each customer: a phrase by the key, with the segment behind two in three.
+INLINE = "t AS (SELECT c_custkey AS id, list_value(" + ", ".join(f"'{p}'" for p in PHRASES) + f")[c_custkey % {len(PHRASES)} + 1] || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' ' || lower(c_mktsegment) END AS text FROM customer)"
 
 
 def inline(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(enumerate(PHRASES)), "id long, text string").select(F.col("id"), "text")
+    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("c_custkey") % len(PHRASES) + 1).cast("int"))
+    return t.customer.select(F.col("c_custkey").alias("id"), F.concat(phrase, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment")))).alias("text"))
+
+
+#: Letters that stand for the Latin ones where a table has to give Cyrillic text.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абцдефгхійклмнопярстувшюиз"
+
+
+def cyrillic(c):
+    return F.translate(F.lower(c), LATIN, CYRILLIC)
 
 
 def as_long(sql: str) -> str:
@@ -39,21 +50,25 @@ def tokenize_g3(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(w, " ").alias("tokens"), F.size(w).cast("long").alias("n"))
 
 
-STEM = f"regexp_replace(x, '^(.{{4,}}?)({'|'.join(tx.SUFFIXES)})$', '\\1')"
+SUFFIX_LIST = "[" + ", ".join(f"'{x}'" for x in tx.SUFFIXES) + "]"
 
 
-@query("stem_ua", as_long(f"SELECT CAST(id AS BIGINT) AS id, coalesce(array_to_string(list_transform({TOK.format('text')}, lambda x: {STEM}), ' '), '') AS stems FROM t"))
+@query(
+    "stem_ua",
+    f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), '{LATIN}', '{CYRILLIC}'), '{tx.TOKEN}') AS w FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda x: left(x, length(x) - list_max(list_transform({SUFFIX_LIST}, lambda e: CASE WHEN suffix(x, e) AND length(x) - length(e) >= 4 THEN length(e) ELSE 0 END)))), ' ')) AS digest FROM d""",
+)
 def stem_ua(t: Tables) -> DataFrame:
-    return inline(t).select("id", tx.normalize_phrase(F.col("text")).alias("stems"))
+    return t.documents.select("doc_id", F.md5(F.encode(tx.normalize_phrase(cyrillic(F.col("text"))), "UTF-8")).alias("digest"))
 
 
 @query(
     "ngrams_1_5",
-    f"WITH d AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents WHERE n_chars < 600) SELECT doc_id, CAST(k AS BIGINT) AS n, count(*) AS ngrams, min(g) AS first_ngram FROM (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)) GROUP BY 1, 2",
+    f"WITH d AS (SELECT doc_id, {TOK.format('text')} AS w FROM documents) SELECT doc_id, CAST(k AS BIGINT) AS n, count(*) AS ngrams, min(g) AS first_ngram FROM (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)) GROUP BY 1, 2",
 )
 def ngrams_1_5(t: Tables) -> DataFrame:
-    rows = t.documents.filter("n_chars < 600").select("doc_id", F.explode(tx.ngrams(tx.tokenize(F.col("text")))).alias("g"))
-    return rows.groupBy("doc_id", (F.size(F.split("g", " "))).cast("long").alias("n")).agg(F.count("*").alias("ngrams"), F.min("g").alias("first_ngram"))
+    rows = t.documents.select("doc_id", F.explode(tx.ngrams(tx.tokenize(F.col("text")))).alias("g"))
+    return rows.groupBy("doc_id", (F.length("g") - F.length(F.replace("g", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")).agg(F.count("*").alias("ngrams"), F.min("g").alias("first_ngram"))
 
 
 #: Four apostrophes and four double quotes as an SQL literal.
@@ -76,13 +91,14 @@ def canon_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.concat_ws("|", tx.name_norm(F.col("p_name")), kind).alias("key"))
 
 
-@query("route_guess", as_long("SELECT CAST(id AS BIGINT) AS id, CASE WHEN contains(lower(text), 'сироп') THEN 'syrup' WHEN contains(lower(text), 'таблет') THEN 'tablet' END AS route FROM (SELECT id, text || CASE id % 3 WHEN 0 THEN ' Таблетки' WHEN 1 THEN ' сироп' ELSE '' END AS text FROM t)"))
+@query("route_guess", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'tablet' WHEN 1 THEN 'syrup' WHEN 2 THEN 'nasal' END AS route FROM part")
 def route_guess(t: Tables) -> DataFrame:
-    form = F.when(F.col("id") % 3 == 0, "Таблетки").when(F.col("id") % 3 == 1, "сироп")
-    return inline(t).select("id", tx.route(F.col("text"), form).alias("route"))
+    kind = F.col("p_partkey") % 5
+    form = F.when(kind == 0, "Таблетки, вкриті оболонкою").when(kind == 1, "сироп").when(kind == 2, "Назальний СПРЕЙ").when(kind == 3, "краплі")
+    return t.part.select("p_partkey", tx.route(F.col("p_name"), form).alias("route"))
 
 
-@query("sentence_split")
+@query("sentence_split", r"WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 5) AS s FROM documents) SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS digest FROM d")
 def sentence_split(t: Tables) -> DataFrame:
     s = tx.sentences(F.col("text"))
     return t.documents.select("doc_id", F.size(s).alias("n"), F.md5(F.encode(F.array_join(s, "|"), "UTF-8")).alias("digest"))
@@ -93,9 +109,10 @@ def synonym_lemma(t: Tables) -> DataFrame:
     return inline(t).select("id", tx.synonyms(F.lower("text"), {"нежить": "риніт", "печія": "рефлюкс"}).alias("s"))
 
 
-@query("unit_number_norm", as_long(r"SELECT CAST(id AS BIGINT) AS id, regexp_replace(regexp_replace(text, '(\d)\s*,\s*(\d)', '\1.\2', 'g'), '(\d)\s*\.\s*(\d)', '\1.\2', 'g') AS s FROM t"))
+@query("unit_number_norm", "SELECT p_partkey, p_size || ' 5 mg на ' || p_size || '.25 ml. ' || lower(p_type) AS s FROM part")
 def unit_number_norm(t: Tables) -> DataFrame:
-    return inline(t).select("id", tx.numbers(F.col("text")).alias("s"))
+    text = F.concat(F.col("p_size"), F.lit(" , 5  мг™ на («"), F.col("p_size"), F.lit(" . 25 мл.»); "), F.col("p_type"))
+    return t.part.select("p_partkey", norms.basic(text, {"мг": "mg", "мл": "ml", "г": "g"}, unicode=False).alias("s"))
 
 
 INTENT_SQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(text), '" + k + "')" for k in keys) + f" THEN '{label}'" for label, keys in tx.INTENTS) + " ELSE 'indication' END"
@@ -153,14 +170,28 @@ def token_block_chunks(t: Tables) -> DataFrame:
     return chunking.token_blocks(t.documents, ["doc_id"], "text").select("doc_id", F.col("chunk_ord").cast("long").alias("chunk_ord"), F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
-@query("section_chunks")
+@query(
+    "section_chunks",
+    r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 5) AS s FROM documents),
+r AS (SELECT doc_id, i, s[i] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM d)),
+h AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^The\b') THEN 'capital' WHEN regexp_matches(s, '^In\b') THEN 'in' END AS h, trim(regexp_replace(s, '^(The|In)\b', '')) AS s FROM r),
+w AS (SELECT doc_id, i, s, count(h) OVER o AS section_no, coalesce(last_value(h IGNORE NULLS) OVER o, 'general') AS section FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, section_no, section, CAST(length(string_agg(s, ' ' ORDER BY i)) AS INTEGER) AS n FROM w WHERE s <> '' GROUP BY 1, 2, 3""",
+)
 def section_chunks(t: Tables) -> DataFrame:
     return chunking.section_chunks(t.documents, ["doc_id"], "text", [("capital", r"^The\b"), ("in", r"^In\b")]).select("doc_id", "section_no", "section", F.length("chunk").alias("n"))
 
 
-@query("char_chunks")
+@query(
+    "char_chunks",
+    r"""WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0 AS a0, least(800, length(text)) AS z FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, e, least(e + 800, length(text)) FROM (SELECT doc_id, text, CASE WHEN z < length(text) AND contains(substr(text, a0 + 2, z - a0 - 1), ' ') THEN z - strpos(reverse(substr(text, a0 + 2, z - a0 - 1)), ' ') ELSE z END AS e FROM c) WHERE e < length(text)),
+p AS (SELECT doc_id, a0, regexp_replace(substr(text, a0 + 1, (CASE WHEN z < length(text) AND contains(substr(text, a0 + 2, z - a0 - 1), ' ') THEN z - strpos(reverse(substr(text, a0 + 2, z - a0 - 1)), ' ') ELSE z END) - a0), '^\s+|\s+$', '', 'g') AS chunk FROM c)
+SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a0) - 1 AS INTEGER) AS chunk_ord, md5(chunk) AS digest FROM p WHERE chunk <> ''""",
+)
 def char_chunks(t: Tables) -> DataFrame:
-    return chunking.by_function(t.documents, "doc_id", "text", chunking.char_chunks_of)
+    return chunking.by_function(t.documents, "doc_id", "text", chunking.char_chunks_of).select("key", "chunk_ord", F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
 @query("packed_sentences")
@@ -168,7 +199,7 @@ def packed_sentences(t: Tables) -> DataFrame:
     return chunking.by_function(t.documents, "doc_id", "text", chunking.packed_sentences_of)
 
 
-ALIASES = [("нежить", "риніт", "alias"), ("печія", "рефлюкс", "alias"), ("короткий запит", "запит", "brand"), ("діарея", "діарея", "inn"), ("гостра діарея", "лоперамід", "brand"), ("алкоголем", "етанол", "brand")]
+ALIASES = [("нежить", "риніт", "alias"), ("печія", "рефлюкс", "alias"), ("короткий запит", "запит", "brand"), ("діарея", "діарея", "inn"), ("гостра діарея", "лоперамід", "brand"), ("алкоголем", "етанол", "brand"), ("мг 2 5 мл на добу для", "дозування", "brand")]
 ALIAS_SQL = "a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{g}', '{k}')" for i, (a, g, k) in enumerate(ALIASES)) + ") v(ord, alias, target, type))"
 #: The rewriter's normal form, padded so that whole words can be found by containment.
 NORM = r"' ' || trim(regexp_replace(regexp_replace(lower(text), '[^A-Za-zÀ-ɏЀ-ӿԀ-ԯ0-9''’ʼ\s-]', ' ', 'g'), '\s+', ' ', 'g')) || ' '"
@@ -219,10 +250,22 @@ def prior_rows(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(i, *p) for i, p in enumerate(PRIORS)], "ord int, id string, intent string, boost double, inn array<string>, neg_triggers array<string>")
 
 
-@query("prior_lookup", "SELECT * FROM (VALUES (1::BIGINT, 'c1', 'c1_general'), (2::BIGINT, 'c2', 'c2'), (3::BIGINT, 'c3', 'c3_general')) v(qid, condition, prior_id)")
+#: Conditions are the words of the parts' names; a condition has a prior of its own name, one with an ending, one that contains
+#: it, or none, by its length and first letter.
+CONDITIONS = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+def prior_names(t: Tables) -> DataFrame:
+    w = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    n = F.length("w")
+    some = F.array(F.when(n == 4, F.col("w")), F.when(n % 2 == 0, F.concat("w", F.lit("_general"))), F.when(n == 5, F.concat("w", F.lit("_symptoms"))), F.when(n == 3, F.concat(F.lit("x_"), "w")), F.when(n == 3, F.concat(F.lit("a_"), "w")))
+    return w.select(F.explode(F.array_compact(some)).alias("id")).withColumn("ord", F.when(F.startswith("id", F.lit("x_")), 0).otherwise(1))
+
+
+@query("prior_lookup", f"WITH {CONDITIONS} SELECT p_partkey AS qid, c AS condition, CASE WHEN length(c) = 4 THEN c WHEN length(c) % 2 = 0 THEN c || '_general' WHEN length(c) = 5 THEN c || '_symptoms' ELSE 'x_' || c END AS prior_id FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS c FROM part) WHERE length(c) % 2 = 0 OR length(c) IN (3, 5)")
 def prior_lookup(t: Tables) -> DataFrame:
-    named = t.spark.createDataFrame([(1, "c1"), (2, "c2"), (3, "c3"), (4, "c4")], "qid long, condition string")
-    return priors.lookup(named, prior_rows(t))
+    named = t.part.select(F.col("p_partkey").alias("qid"), F.explode(F.split("p_name", " ")).alias("condition"))
+    return priors.lookup(named, prior_names(t))
 
 
 @query(
@@ -240,53 +283,93 @@ def priors_boost(t: Tables) -> DataFrame:
     return priors.boosts(base, queries, prior_rows(t), priors.inn_index(docs, inns), conditions).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("prior_first_match", "SELECT * FROM (VALUES (1::BIGINT, 'c1_general', 'a,b'), (3::BIGINT, 'c3', 'd')) v(qid, prior_id, terms)")
+#: A prior for each benchmark item: its first word is a trigger, its third one vetoes, its number says which intent it wants.
+ITEM_PRIORS = f"p AS (SELECT item_id AS ord, 'p' || item_id AS prior_id, CASE item_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' END AS want, ({TOK.format('text')})[1] AS yes, ({TOK.format('text')})[3] AS no, ({TOK.format('text')})[4:5] AS terms FROM benchmark)"
+
+
+def item_priors(t: Tables) -> DataFrame:
+    w, kind = tx.tokenize(F.col("text")), F.col("item_id") % 3
+    return t.benchmark.select(F.col("item_id").alias("ord"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("id"), F.when(kind == 0, "user").when(kind == 1, "assistant").alias("intent"), F.array(w[0]).alias("triggers"), F.array(w[2]).alias("neg_triggers"), F.slice(w, 4, 3).alias("inn"))
+
+
+@query(
+    "prior_first_match",
+    f"""WITH {ITEM_PRIORS}, q AS (SELECT conv_id * 1000 + turn AS qid, lower(text) AS s, role FROM conversations),
+h AS (SELECT qid, prior_id, terms, row_number() OVER (PARTITION BY qid ORDER BY ord) AS n FROM q JOIN p ON contains(s, yes) AND NOT contains(s, no) AND (want IS NULL OR want = role))
+SELECT qid, prior_id, array_to_string(terms, ',') AS terms FROM h WHERE n = 1""",
+)
 def prior_first_match(t: Tables) -> DataFrame:
-    rows = [(0, "c1_general", "dosage", ["econ"], ["ban"], ["a", "b"]), (1, "c2", None, ["econ"], [], ["c"]), (2, "c3", None, ["steel"], None, ["d"])]
-    p = t.spark.createDataFrame(rows, "ord int, id string, intent string, triggers array<string>, neg_triggers array<string>, inn array<string>").withColumn("boost", F.lit(0.1))
-    q = t.spark.createDataFrame([(1, "Econ text", "dosage"), (2, "nothing here", "dosage"), (3, "steel, ban", "other")], "qid long, text string, intent string")
-    return priors.first_prior(q, p).select("qid", "prior_id", F.array_join("terms", ",").alias("terms"))
-
-
-CONTRA = [
-    "Протипоказано при вагітності та лактації. Діти до 12 років.",
-    "гіперчутливість до компонентів; цукровий діабет",
-    "Віком до 3 років. Ниркова недостатність.",
-    "Особам старше 65 років з обережністю",
-    "немає",
-    None,
-]
-PROFILES = {"child": UserProfile(age=5), "pregnant": UserProfile(age=30, pregnancy=True), "chronic": UserProfile(age=70, chronic_conditions=("цукровий діабет", "ниркова")), "none": UserProfile()}
+    q = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text", F.col("role").alias("intent"))
+    return priors.first_prior(q, item_priors(t), 2).select("qid", "prior_id", F.array_join("terms", ",").alias("terms"))
+
+
+@query(
+    "prior_patterns",
+    r"""WITH h AS (SELECT p_partkey AS qid, CASE WHEN regexp_matches(p_name, '\bsma\w*') AND NOT regexp_matches(p_name, 'ri?ng$') THEN 'p0' WHEN regexp_matches(p_name, 'r(ed|ing)\b') THEN 'p1' END AS prior_id FROM part)
+SELECT qid, prior_id FROM h WHERE prior_id IS NOT NULL""",
+)
+def prior_patterns(t: Tables) -> DataFrame:
+    rows = [(0, "p0", None, ["sma"], ["ri?ng$"], ["a"]), (1, "p1", None, [r"r(ed|ing)\b"], [], ["b"])]
+    p = t.spark.createDataFrame(rows, "ord int, id string, intent string, triggers array<string>, neg_triggers array<string>, inn array<string>")
+    return priors.first_prior(t.part.select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"), F.lit("x").alias("intent")), p, as_patterns=True).select("qid", "prior_id")
+
+
+@query(
+    "brand_docs",
+    """WITH b AS (SELECT DISTINCT 'p' || (item_id % 4)::VARCHAR AS prior_id, CASE item_id % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'small ring set' WHEN 2 THEN 'BOLT ' ELSE 'none such' END AS b FROM benchmark)
+SELECT DISTINCT prior_id, p_partkey AS doc_id FROM b JOIN part ON contains(p_name, lower(trim(b))) OR contains(lower(trim(b)), p_name)""",
+)
+def brand_docs(t: Tables) -> DataFrame:
+    kind = F.col("item_id") % 4
+    p = t.benchmark.select(F.concat(F.lit("p"), kind.cast("string")).alias("id"), F.array(F.when(kind == 0, "ring").when(kind == 1, "small ring set").when(kind == 2, "BOLT ").otherwise("none such")).alias("brands_opt")).distinct()
+    return priors.brand_docs(p, t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name")))
+
+
+#: Contraindications of a part: the bits of its key say which clauses it has, its size which age.
+CLAUSES = ["Протипоказано при вагітності. ", "Період ЛАКТАЦІЇ, лактація. ", "Діти до {} років. ", "гіперчутливість до компонентів; ", "цукровий діабет. ", "Особам старше {} років. "]
+PROFILES = {"child": UserProfile(age=5), "pregnant": UserProfile(age=30, pregnancy=True), "chronic": UserProfile(age=40, chronic_conditions=("цукровий діабет", "ниркова")), "none": UserProfile()}
+BIT = "(p_partkey // {0}) % 2 = 1"
+AGE = {"child": "5", "pregnant": "30", "chronic": "40", "none": "NULL::INTEGER"}
+CONFLICTS = f"""c AS (SELECT qid, p_partkey AS doc_id, p_partkey, p_size,
+  CASE WHEN {BIT.format(4)} THEN coalesce(age < p_size, false) WHEN {BIT.format(32)} THEN coalesce(age > p_size, false) ELSE false END AS a,
+  {BIT.format(1)} AND qid = 'pregnant' AS p, {BIT.format(16)} AND qid = 'chronic' AS d FROM part, (VALUES {", ".join(f"('{k}', {v})" for k, v in AGE.items())}) u(qid, age)),
+r AS (SELECT *, CAST(CASE WHEN a THEN 10 ELSE 0 END + CASE WHEN p THEN 10 ELSE 0 END + CASE WHEN d THEN 6 ELSE 0 END AS INTEGER) AS risk_score FROM c)"""
+LEVEL = "CASE WHEN risk_score >= 15 THEN 'CRITICAL' WHEN risk_score >= 8 THEN 'HIGH' WHEN risk_score >= 3 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def contra(t: Tables) -> DataFrame:
+    bit = lambda i: (F.floor(F.col("p_partkey") / 2**i) % 2) == 1
+    parts = [F.when(bit(i), F.replace(F.lit(c), F.lit("{}"), F.col("p_size").cast("string"))).otherwise("") for i, c in enumerate(CLAUSES)]
+    return t.part.select(F.col("p_partkey").alias("doc_id"), "p_size", F.when(F.col("p_partkey") % 64 > 0, F.concat(*parts)).alias("contra"))
 
 
 def assessed(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(list(enumerate(CONTRA)), "doc_id long, contra string")
     out = None
-    for i, (name, profile) in enumerate(PROFILES.items()):
-        a = safety.assess(rows.withColumn("qid", F.lit(name)).withColumn("rank", F.col("doc_id") + 1), "contra", profile)
+    for name, profile in PROFILES.items():
+        a = safety.assess(contra(t).withColumn("qid", F.lit(name)).withColumn("rank", F.col("doc_id") + 1), "contra", profile)
         out = a if out is None else out.unionByName(a)
     return out
 
 
-@query("safety_risk", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {d}::BIGINT, {s}, '{lv}', {ok})" for q, d, s, lv, ok in [
-    ("child", 0, 10, "HIGH", "false"), ("child", 1, 0, "LOW", "true"), ("child", 2, 0, "LOW", "true"), ("child", 3, 0, "LOW", "true"), ("child", 4, 0, "LOW", "true"), ("child", 5, 0, "LOW", "true"),
-    ("pregnant", 0, 10, "HIGH", "false"), ("pregnant", 1, 0, "LOW", "true"), ("pregnant", 2, 0, "LOW", "true"), ("pregnant", 3, 0, "LOW", "true"), ("pregnant", 4, 0, "LOW", "true"), ("pregnant", 5, 0, "LOW", "true"),
-    ("chronic", 0, 0, "LOW", "true"), ("chronic", 1, 6, "MEDIUM", "true"), ("chronic", 2, 6, "MEDIUM", "true"), ("chronic", 3, 10, "HIGH", "false"), ("chronic", 4, 0, "LOW", "true"), ("chronic", 5, 0, "LOW", "true"),
-    ("none", 0, 0, "LOW", "true"), ("none", 1, 0, "LOW", "true"), ("none", 2, 0, "LOW", "true"), ("none", 3, 0, "LOW", "true"), ("none", 4, 0, "LOW", "true"), ("none", 5, 0, "LOW", "true"),
-]) + ") v(qid, doc_id, risk_score, risk_level, safe_to_use)")
+@query("safety_risk", f"WITH {CONFLICTS} SELECT qid, doc_id, risk_score, {LEVEL} AS risk_level, NOT (a OR p OR risk_score >= 15) AS safe_to_use FROM r")
 def safety_risk(t: Tables) -> DataFrame:
     return assessed(t).select("qid", "doc_id", "risk_score", "risk_level", "safe_to_use")
 
 
-@query("safety_filter")
+@query(
+    "safety_filter",
+    f"""WITH {CONFLICTS}, n AS (SELECT *, {BIT.format(1)} AS b0, {BIT.format(2)} AS b1, {BIT.format(4)} OR {BIT.format(32)} AS b2, {BIT.format(8)} AS b3, {BIT.format(16)} AS b4 FROM r)
+SELECT qid, doc_id, risk_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY risk_score, doc_id) AS INTEGER) AS safe_rank,
+  CAST((b2 AND NOT a)::INT + (b0 AND NOT p)::INT + 2 * b1::INT + (b4 AND NOT d)::INT + b3::INT AS INTEGER) AS warnings, CAST(a::INT + p::INT + d::INT AS INTEGER) AS critical
+FROM n WHERE NOT (a OR p OR risk_score >= 15) OR {LEVEL} IN ('LOW', 'MEDIUM')""",
+)
 def safety_filter(t: Tables) -> DataFrame:
     return safety.filter_safe(assessed(t)).select("qid", "doc_id", "risk_score", "safe_rank", F.size("warnings").alias("warnings"), F.size("critical_warnings").alias("critical"))
 
 
-@query("contra_warnings", "SELECT * FROM (VALUES (0::BIGINT, 'вагітн|лактац'), (1::BIGINT, ''), (2::BIGINT, 'ниркова'), (3::BIGINT, ''), (4::BIGINT, ''), (5::BIGINT, '')) v(doc_id, warnings)")
+@query("contra_warnings", f"SELECT p_partkey AS doc_id, concat_ws('|', CASE WHEN {BIT.format(1)} THEN 'вагітн' END, CASE WHEN {BIT.format(2)} THEN 'лактац' END) AS warnings FROM part")
 def contra_warnings(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(list(enumerate(CONTRA)), "doc_id long, contra string")
-    return rows.select("doc_id", F.array_join(safety.keyword_warnings(F.col("contra")), "|").alias("warnings"))
+    return contra(t).select("doc_id", F.array_join(safety.keyword_warnings(F.col("contra")), "|").alias("warnings"))
 
 
 FAMILIES = {"basic": ["econ", "small"], "promo": ["^promo"], "large": ["large"]}

@@ -1,15 +1,20 @@
 """Operators that SQL does not express, and intake and sinks."""
 
 import json
+import math
 import os
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexispark.config import SearchConfig
+from lexispark.functions import norms
 from lexispark.functions import text as tx
-from lexispark.operators import chunking, curation, dense, lexical, profile, rerank
+from lexispark.operators import chunking, curation, dense, evaluate, lexical, priors, profile, rerank, rewrite, scores, substrings
 from lexispark.plans.search import search
 from lexispark.sources import readers, writers
 from lexispark.streaming.ingest import ingest_available
@@ -34,9 +39,19 @@ def test_packed_sentences_lose_nothing(most, overlap):
         assert all(s in joined for s in sentences if len(s) // 4 <= most)
 
 
+@pytest.mark.parametrize("least", [1, 60, 200])
+def test_packed_chunks_have_their_least_length(least):
+    sentences = [f"No {i} {'long ' * (i % 9)}end." for i in range(40)]
+    parts = list(chunking.packed_sentences_of(" ".join(sentences), 30, 5, least))
+    assert all(len(p) >= least for p in parts) and all(any(s in p for p in parts) for s in sentences)
+    assert list(chunking.packed_sentences_of("too short.", 30, 5, 60)) == []
+
+
 def test_protected_phrases_and_token_windows():
     hidden = chunking.protected(["two words"], lambda t: iter(t.split(" ")))
     assert list(hidden("a Two Words b")) == ["a", "Two Words", "b"]
+    assert list(hidden("atwo words two wordsb")) == ["atwo", "words", "two", "wordsb"]
+    assert list(chunking.protected([], lambda t: iter([t]))("x")) == ["x"]
     windows = list(chunking.token_windows(str.split, " ".join, 4, 1)("a b c d e f g"))
     assert windows == ["a b c d", "d e f g"]
 
@@ -57,23 +72,96 @@ def test_bm25_arithmetic(spark):
     docs = spark.createDataFrame([(0, "a b a"), (1, "b c"), (2, ""), (3, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "a a"), (2, "zzz"), (3, "")], "item_id long, text string")
     rows = lexical.bm25(docs, queries).collect()
-    import math
-
     idf = math.log((4 - 1 + 0.5) / (1 + 0.5) + 1)
     want = 2 * idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / (5 / 4)) + 1e-9)
     assert [(r.qid, r.doc_id) for r in rows] == [(1, 0)] and rows[0].score == pytest.approx(want)
     assert lexical.bm25(docs.limit(0), queries).count() == 0
 
 
-def test_blocked_bm25_is_the_relational_one(spark, monkeypatch):
+@pytest.mark.parametrize("step", [lexical.STEP, 300])
+def test_both_forms_of_bm25_agree_on_repeats_and_missing_ids(spark, monkeypatch, step):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    docs = docs.unionByName(spark.createDataFrame([(9000, "діарею та лікування діареєю"), (9001, None)], "doc_id long, text string"))
-    queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").unionByName(spark.createDataFrame([(500, "лікування діареї"), (501, "")], "item_id long, text string"))
+    odd = [(9000, "діарею та лікування діареєю"), (9001, None), (1, "лікування apple pie"), (1, "apple pie"), (1, "apple pie"), (None, "apple pie pie"), (None, None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    queries = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").unionByName(spark.createDataFrame([(500, "лікування діареї"), (501, ""), (502, "apple pie apple")], "item_id long, text string"))
     rows = lambda df: [(r.qid, r.doc_id, round(r.score, 6), r["rank"]) for r in df.orderBy("qid", "rank").collect()]
-    monkeypatch.setattr(lexical, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(lexical, "STEP", step)
     blocked = rows(lexical.bm25_top(docs, queries, 5))
-    monkeypatch.setattr(lexical, "BLOCK_TERMS", 1)
-    assert blocked == rows(lexical.bm25_top(docs, queries, 5)) and any(r[0] == 500 for r in blocked)
+    assert blocked == rows(lexical.bm25_top(docs, queries, 5, most_entries=0)) and any(r[0] == 500 for r in blocked)
+    assert [r[1] for r in blocked if r[0] == 502] == [1]
+
+
+def test_bm25_counts_repeated_rows_as_documents(spark):
+    docs = spark.createDataFrame([(1, "apple pie"), (1, "apple pie")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "apple")], "item_id long, text string")
+    idf = math.log((2 - 2 + 0.5) / (2 + 0.5) + 1)
+    for most in (0, 100):
+        got = lexical.bm25_top(docs, queries, 5, most_entries=most).collect()
+        assert [(r.doc_id, r["rank"]) for r in got] == [(1, 1)] and got[0].score == pytest.approx(idf * 2.5 / (1 + 1.5 + 1e-9))
+
+
+def test_many_queries_in_two_scans(spark):
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 50} common") for i in range(400)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"w{q % 400} w{q % 50}") for q in range(10_000)], "item_id long, text string")
+    top = lexical.bm25_top(docs, queries, 3)
+    assert top._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = top.groupBy("qid").count().count()
+    assert got == 10_000
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_phrase_hits_of_both_plans(spark, few):
+    docs = spark.createDataFrame([(1, "Red, fox runs"), (2, "fox red"), (3, "a red fox; red fox"), (None, None), (4, "redfox")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("red fox",), ("fox runs",), ("",)], "phrase string")
+    got = sorted(map(tuple, lexical.phrase_hits(docs, phrases, few=few).collect()))
+    assert got == [("fox runs", 1), ("red fox", 1), ("red fox", 3)]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_contained_against_every_pair(spark, few):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcde é") for _ in range(rng.randint(1, 9)))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(150)] + [(900, None), (901, "")]
+    needles = [(i, word()) for i in range(120)] + [(500, ""), (501, None), (502, "ab"), (503, "ab")]
+    t, n = spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(needles, "j long, n string")
+    got = sorted((r.i, r.j) for r in substrings.contained(t, "t", n, "n", few).collect())
+    assert got == sorted((i, j) for i, a in texts for j, b in needles if a and b and b in a) and got
+
+
+def test_aliases_of_any_length(spark):
+    long = "six words make up this alias"
+    aliases = spark.createDataFrame([(0, long, "target", "brand"), (1, "this", "other", "brand")], "ord int, alias string, target string, type string")
+    q = spark.createDataFrame([(1, f"take Six words make up this alias, please")], "qid long, text string")
+    assert sorted(r.alias for r in rewrite.alias_hits(q, aliases).collect()) == [long, "this"]
+    symptoms = spark.createDataFrame([("canon", f"x|{long}", "hint")], "canon string, aliases string, intent_hint string")
+    assert [r.canon for r in rewrite.symptom_hits(q, symptoms).collect()] == ["canon"]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_priors(spark, few):
+    rows = [(0, "a_general", 0.1, ["inn_one"], ["Brand"]), (1, "a_basic", 0.2, ["inn one"], []), (2, "x_zeta_x", 0.4, ["two"], None), (3, "y_zeta", 0.8, ["two"], None)]
+    p = spark.createDataFrame(rows, "ord int, id string, boost double, inn array<string>, brands_opt array<string>").withColumn("neg_triggers", F.array(F.lit("Stop")))
+    conditions = spark.createDataFrame([(1, "a"), (1, "zeta"), (2, "zeta"), (3, "none")], "qid long, condition string")
+    got = sorted(map(tuple, priors.lookup(conditions, p, few=few).collect()))
+    assert got == [(1, "a", "a_basic"), (1, "zeta", "x_zeta_x"), (2, "zeta", "x_zeta_x")]
+    docs = spark.createDataFrame([(10, "has inn one and TWO", "brand plus"), (11, "two", "bran"), (12, "nothing", "zzz")], "doc_id long, text string, name string")
+    index = priors.inn_index(docs, spark.createDataFrame([("inn one",), ("two",)], "inn string"), few=few)
+    queries = spark.createDataFrame([(1, "ask"), (2, "please STOP")], "qid long, text string")
+    hits = spark.createDataFrame([(1, 10, 1.0)], "qid long, doc_id long, score double")
+    boosted = sorted((r.qid, r.doc_id, round(r.score, 6)) for r in priors.boosts(hits, queries, p, index, conditions, 10.0).collect())
+    assert boosted == [(1, 10, 7.0), (1, 11, 4.0)]
+    assert sorted(map(tuple, priors.brand_docs(p, docs, few=few).collect())) == [("a_general", 10), ("a_general", 11)]
+
+
+def test_numbering_is_that_of_one_window(spark):
+    rows = [(k, i, f"{(i * 2654435761) % 2**32:08x}") for k in "ab" for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i long, o string")
+    for keys, digits in ((["k"], 1), (["k"], 3), ([], 2)):
+        got = {(r.k, r.i): r.n for r in scores.numbered(df, keys, "o", "i", "n", digits).collect()}
+        for group in ({("a",), ("b",)} if keys else {("a", "b")}):
+            own = sorted((r for r in rows if r[0] in group), key=lambda r: (r[2], r[1]))
+            places = sorted((got[r[0], r[1]], r[2], r[1]) for r in own)
+            assert [p[0] for p in places] == list(range(len(own))) and places == sorted(places, key=lambda p: p[1])
 
 
 def test_dense_ties_nulls_and_blocks(spark, monkeypatch):
@@ -109,6 +197,10 @@ def test_search_pipeline(spark):
     got = out["result"].orderBy("rank").collect()
     assert [(r.qid, r.doc_id) for r in got] == [(1, 1), (1, 0)]
     assert {r.stage for r in out["trace"].select("stage").distinct().collect()} == {"bm25", "fused", "reranked"}
+    held = list(out.held)
+    assert held and all(df.is_cached for df in held)
+    out.close()
+    assert not any(df.storageLevel.useMemory for df in held)
 
 
 def test_readers(spark, tmp_path):
@@ -120,11 +212,9 @@ def test_readers(spark, tmp_path):
     got = {tuple(r) for r in readers.phrase_lists(spark, str(root)).collect()}
     assert got == {("flu", "trigger", "cold"), ("flu", "trigger", "fever"), ("flu", "penalty", "rash"), ("*", "penalty", "poison")}
     (tmp_path / "d.csv").write_text("﻿SRC , Canon_INN\nBrand,inn1\n,x\n")
-    assert [tuple(r) for r in readers.dictionary(spark, str(tmp_path / "d.csv"), {"alias": ["alias", "src"], "target": ["target", "canon_inn"], "type": ["type"]}).collect()] == [("Brand", "inn1", None)]
+    assert [tuple(r) for r in readers.dictionary(spark, str(tmp_path / "d.csv"), {"alias": ["alias", "src"], "target": ["target", "canon_inn"], "type": ["type"]}).collect()] == [("Brand", "inn1", None, 0)]
     (tmp_path / "a.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
     (tmp_path / "b.json").write_text('{"id": 1}\n{"id": 2}\n')
-    from pyspark.sql import types as T
-
     for f in ("a.json", "b.json"):
         assert readers.json_any(spark, str(tmp_path / f), T._parse_datatype_string("id int")).count() == 2
     runs = tmp_path / "runs" / "x"
@@ -161,3 +251,95 @@ def test_profiles_of_empty_tables(spark):
     assert {r.n for r in profile.nulls(empty).collect()} == {0}
     assert profile.preflight(empty, ["a", "c"], "a").first().missing == "c"
     assert profile.lengths(empty, "a").first().n == 0
+
+
+def test_separators_settings_and_lenient_lines(spark, tmp_path):
+    (tmp_path / "semi.csv").write_text('\ufeffName;Note\n"a;b";x, y\nc;d, e\n', encoding="utf-8")
+    assert readers.sniffed(spark, str(tmp_path / "semi.csv")) == (";", ["Name", "Note"])
+    assert [tuple(r) for r in readers.csv_any(spark, str(tmp_path / "semi.csv")).collect()] == [("a;b", "x, y"), ("c", "d, e")]
+    (tmp_path / "empty.csv").write_text("")
+    assert readers.sniffed(spark, str(tmp_path / "empty.csv")) == (",", [])
+    text = "a: 1\nb:\n  c: 'x # y'  # note\n  d: [1, two]\nlist:\n  - one\n  - 2.5\nflag: True\nnone:\n"
+    want = {"a": 1, "b": {"c": "x # y", "d": [1, "two"]}, "list": ["one", 2.5], "flag": True, "none": None}
+    assert readers.plain_yaml("") == {} and readers.plain_yaml(text.replace("'x # y'", "x y")) == want | {"b": {"c": "x y", "d": [1, "two"]}}
+    (tmp_path / "c.yaml").write_text("aliases_csv: dicts/a.csv\nmost: 5\n")
+    cfg = readers.config(spark, str(tmp_path / "c.yaml"))
+    assert cfg == {"aliases_csv": "dicts/a.csv", "most": 5} and readers.resolved("/x/c.yaml", cfg["aliases_csv"]) == "/x/dicts/a.csv" and readers.resolved("/x/c.yaml", "/a") == "/a"
+    (tmp_path / "l.jsonl").write_text('{"id": 1}\n{"id": \n{"id": 3}\n')
+    schema = T._parse_datatype_string("id int")
+    assert sorted(r.id for r in readers.json_lines(spark, str(tmp_path / "l.jsonl"), schema, lenient=True).collect()) == [1, 3]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|parsing"):
+        readers.json_lines(spark, str(tmp_path / "l.jsonl"), schema).collect()
+
+
+def test_vector_stores(spark, tmp_path):
+    a = np.arange(24, dtype=np.float32).reshape(8, 3)
+    (tmp_path / "v").mkdir()
+    np.save(tmp_path / "v" / "part-0.npy", a[:5])
+    np.save(tmp_path / "v" / "part-1.npy", a[5:])
+    np.save(tmp_path / "ids.npy", 10**12 + np.arange(8))
+    (tmp_path / "ids.jsonl").write_text("".join(f'{{"doc_id": {i}}}\n' for i in range(100, 108)))
+    for ids, first in ((None, 0), (tmp_path / "ids.npy", 10**12), (tmp_path / "ids.jsonl", 100)):
+        rows = readers.vectors(spark, str(tmp_path / "v"), str(ids) if ids else None, 3).orderBy("row").collect()
+        assert [r.doc_id for r in rows] == list(range(first, first + 8)) and np.array([r.embedding for r in rows]).tolist() == a.tolist()
+    with pytest.raises(Exception, match="components"):
+        readers.vectors(spark, str(tmp_path / "v"), None, 4).collect()
+    np.save(tmp_path / "few.npy", np.arange(3))
+    with pytest.raises(ValueError, match="8 vectors but 3 ids"):
+        readers.vectors(spark, str(tmp_path / "v"), str(tmp_path / "few.npy"))
+
+
+def test_parts_merge_and_appended_lines(spark, tmp_path):
+    path, out = str(tmp_path / "parts"), str(tmp_path / "whole")
+    rows = spark.range(10).withColumn("v", F.col("id") * 2)
+    for n in (0, 1, 0):  # the first part is written again
+        writers.part(rows.filter(f"id % 2 = {n}"), path, n)
+    writers.merged(spark, path, out, 1)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10)) and len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 1
+    lines = str(tmp_path / "lines")
+    assert [writers.append_remaining(rows.filter(f"id < {n}"), lines, "id", "json") for n in (4, 7, 7)] == [4, 3, 0]
+    assert sorted(r.id for r in spark.read.json(lines).collect()) == list(range(7))
+    writers.trace(spark.createDataFrame([(1, "a"), (1, "b")], "qid long, stage string"), str(tmp_path / "trace"), "r1")
+    assert os.path.isdir(tmp_path / "trace" / "run_id=r1" / "stage=a")
+
+
+def test_ingest_without_a_key_replaces_a_batch_that_runs_again(spark, tmp_path):
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    spark.range(5).write.parquet(source)
+    ingest_available(spark, source, sink, check, None)
+    ingest_available(spark, source, sink, str(tmp_path / "lost"), None)  # the checkpoint is lost: batch 0 again
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(5))
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("Нурофен® (Ibuprofen) 200 мг таблетки, Forte",), ("ﬁne Мезим",), (None,), ("",)], "n string")
+    assert [r[0] for r in df.select(norms.canon_name(F.col("n"))).collect()] == ["ібупрофен ібупрофен мг", "fine панкреатин", "", ""]
+    assert [r[0] for r in df.select(norms.substance_set(F.col("n"), F.lit("Loperamidex; abc/ - Парацетамол 5,0"))).collect()][2] == ["loperamidex", "лоперамід", "парацетамол"]
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(norms.normalize(F.lit("Ａb (c) ½"), "evaluation")) == "ab c 1⁄2"
+    assert one(norms.collapsed(F.lit("abcabcabc xyz"), 3)) == "abc xyz"
+    assert one(norms.slug(F.lit(" A/b--C_d! "))) == "a-b-c-d"
+    assert one(tx.clean_html(F.lit("a<br>b\u00a0™"))) == "a b"
+
+
+def test_triage_and_replies_of_any_shape(spark):
+    queries = spark.createDataFrame([(1, "q1"), (2, "q2")], "qid long, text string")
+    replies = spark.createDataFrame([(1, '{"urgency": "emergency", "red_flags": null}')], "qid long, reply string")
+    got = {r.qid: r for r in rerank.triage_frames(queries, replies).collect()}
+    assert (got[1].urgency, got[1].error, got[1].original_query) == ("emergency", None, "q1") and got[2].error == "missing"
+
+
+def test_sample_sizes(spark):
+    rows = spark.createDataFrame([(i, f"g{i % 7}", f"n{i % 90}") for i in range(300)], "id long, g string, n string")
+    assert curation.clamped_sample(rows, "g", "id", "n", 10, 40).count() <= 40
+    got = curation.clamped_sample(rows, "g", "id", "n", 200, 50)
+    assert got.count() == got.select("n").distinct().count() > 50
+    assert curation.clamped_sample(rows.limit(0), "g", "id", "n", 10, 40).count() == 0
+
+
+def test_bootstrap_of_a_clear_difference(spark):
+    pairs = spark.createDataFrame([(i, 0.1, 0.5 + (i % 5) / 10) for i in range(60)], "qid long, a double, b double")
+    r = evaluate.paired_bootstrap(pairs, "a", "b", 300).first()
+    assert r.n == 60 and r.ci_low < r.delta < r.ci_high and r.ci_low > 0.5 and r.p_tail == 0 and r.p_one == pytest.approx(1 / 301)
+    same = evaluate.paired_bootstrap(pairs.withColumn("b", F.col("a") + (F.col("qid") % 2) - 0.5), "a", "b", 300).first()
+    assert same.ci_low < 0 < same.ci_high and same.p_tail > 0.2

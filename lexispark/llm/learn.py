@@ -70,6 +70,14 @@ class Net:
         return sigmoid(self.forward(self.scale(x))[0])
 
 
+def pu_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of a batch's risk by the outputs for positive and unlabelled rows, times their number; see ``fit_nnpu``."""
+    # l(g) = log(1 + exp(-g)); its slope is -sigmoid(-g), and that of l(-g) is sigmoid(g)
+    if np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:
+        return prior * (-sigmoid(-gp) - sigmoid(gp)), sigmoid(gu)
+    return prior * sigmoid(gp), -sigmoid(gu)
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 60, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Net:
     """Minimises the non-negative unbiased PU risk with the logistic loss.
 
@@ -87,13 +95,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden:
             z = np.concatenate([p, u])
             g, h = net.forward(z)
             gp, gu = g[:batch], g[batch:]
-            # l(g) = log(1 + exp(-g)); its slope is -sigmoid(-g), and that of l(-g) is sigmoid(g)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            if negative >= 0:
-                slope = np.concatenate([prior * (-sigmoid(-gp) - sigmoid(gp)), sigmoid(gu)])
-            else:
-                slope = np.concatenate([prior * sigmoid(gp), -sigmoid(gu)])
-            net.step(z, h, slope / batch, rate * (1 - epoch / epochs) + 1e-4, decay)
+            net.step(z, h, np.concatenate(pu_slopes(gp, gu, prior)) / batch, rate * (1 - epoch / epochs) + 1e-4, decay)
     return net
 
 

@@ -147,19 +147,39 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
     return permuted(out, "i", "blocks", "s", "turn", "block", seed).select("shard", "s", "n", "block")
 
 
+def _parts(placed: DataFrame, block: int, *more: str) -> DataFrame:
+    """(s, block, at, words, …): the words of each document in each block it touches, from ``at`` in its source's stream."""
+    cut = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
+    parts = placed.filter("size > 0").select("s", "at", "size", cut.alias("block"), *more)
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    return parts.select("s", "block", "at", words.alias("words"), *more)
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
+    """The mixed blocks: (shard, source, n, doc_id, first, words), a row for each piece of a document in each slot of the mix.
+
+    ``first`` is the piece's first word in the document, from 0. A slot is named by its source and its number n there; the pieces
+    of a slot follow the order of the source's stream (``doc_order``).
+    """
+    rows = common.stored(_documents(docs, id_col, text_col, source_col, seed), name="mix-documents")
+    plan = common.stored(_plan(rows, block, shard, most, weights), name="mix-plan")
+    placed = rows.join(plan.select("src", "known", "s"), ["src", "known"])
+    parts = _parts(placed, block, "doc_id", "src", "known")
+    out = slots(plan, seed, most).hint("merge").join(parts, ["s", "block"])
+    first = F.greatest(F.col("block") * block - F.col("at"), F.lit(0))
+    return out.select("shard", F.when(F.col("known"), F.col("src")).alias("source"), "n", "doc_id", first.alias("first"), "words", F.col("at").alias("doc_order"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_PASSES, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per input row."""
     with common.scratch(docs.sparkSession) as keep:
         rows = keep(common.stored(_documents(docs, id_col, text_col, source_col, seed), name="mix-documents"))
     plan = common.stored(_plan(rows, block, shard, most, weights), name="mix-plan")
     # a table of its own: one plan for the draws and another for the documents
-    blocks = common.stored(slots(plan, seed, most).groupBy("s", "block").agg(F.count("*").alias("times")), name="mix-blocks")
+    drawn = common.stored(slots(plan, seed, most).groupBy("s", "block").agg(F.count("*").alias("times")), name="mix-blocks")
     placed = rows.join(plan.select("src", "known", "s", "source_size", "target"), ["src", "known"])
-    # the words of each document in each block it touches
-    cut = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
-    parts = placed.filter("size > 0").select("s", "at", "size", cut.alias("block"))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
-    taken = parts.select("s", "at", "block", words.alias("words")).join(blocks.hint("merge"), ["s", "block"]).groupBy("s", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    parts = _parts(placed, block)
+    taken = parts.join(drawn.hint("merge"), ["s", "block"]).groupBy("s", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # words are numbered within a source, so (s, at) names a document with words
     out = placed.filter("size > 0").join(taken.hint("merge"), ["s", "at"], "left").unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", F.when(F.col("known"), F.col("src")).alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

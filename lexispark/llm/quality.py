@@ -7,7 +7,7 @@ read. Inputs are shape and repetition statistics of the whole text; labels, lang
 The learner sees at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled texts, those with the smallest hash of the id among
 the training rows; all statistics of a text cover the whole text, and every text is scored in one scan without a shuffle.
 
-Defined cases: null and empty texts get the score of a text without words; null ids are scored and count as held out;
+Defined cases: null and empty texts get the score of a text without words; a text of any length is read whole, alone in its slice if it is long; null ids are scored and count as held out;
 repeated rows stay repeated; without any positive the score is the neutral 0.5; an empty table gives an empty result;
 further columns are ignored (``annotate`` carries them on and replaces columns named as its own).
 """

@@ -107,6 +107,24 @@ def test_counts_of_a_shard_are_multinomial(spark, monkeypatch):
     assert collections.Counter(mixing.draws(plan).collect()) == collections.Counter(rows)
 
 
+def test_mixed_blocks_are_what_is_taken(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join("w" for _ in range(rng.randint(0, 200))), rng.choice(["a", "b", None])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(df, block=16, shard=32).collect()}
+    pieces = mixing.blocks(df, block=16, shard=32).collect()
+    total, slot = collections.Counter(), collections.Counter()
+    size = {i: len(t.split()) for i, t, _ in docs}
+    for r in pieces:
+        total[r.doc_id] += r.words
+        slot[r.source, r.n, r.shard] += r.words
+        assert 0 <= r["first"] and r["first"] + r.words <= size[r.doc_id] and r.words > 0
+    assert {i: total[i] for i in taken} == taken
+    assert max(slot.values()) == 16 and len(slot) == len({(s, n) for s, n, _ in slot})
+    per_shard = collections.Counter(k for _, _, k in slot)
+    assert max(per_shard.values()) <= 32
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 1_000_003])
 def test_permutation(spark, size):
     df = spark.range(size).select("id", F.lit(size).cast("long").alias("size"), F.lit(3).alias("s"), F.lit(1).alias("turn"))

@@ -174,12 +174,12 @@ def token_block_chunks(t: Tables) -> DataFrame:
     "section_chunks",
     r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 5) AS s FROM documents),
 r AS (SELECT doc_id, i, s[i] AS s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM d)),
-h AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^The\b') THEN 'capital' WHEN regexp_matches(s, '^In\b') THEN 'in' END AS h, trim(regexp_replace(s, '^(The|In)\b', '')) AS s FROM r),
+h AS (SELECT doc_id, i, CASE WHEN regexp_matches(s, '^The ') THEN 'capital' WHEN regexp_matches(s, '^In ') THEN 'in' END AS h, trim(regexp_replace(s, '^(The|In) ', '')) AS s FROM r),
 w AS (SELECT doc_id, i, s, count(h) OVER o AS section_no, coalesce(last_value(h IGNORE NULLS) OVER o, 'general') AS section FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, section_no, section, CAST(length(string_agg(s, ' ' ORDER BY i)) AS INTEGER) AS n FROM w WHERE s <> '' GROUP BY 1, 2, 3""",
 )
 def section_chunks(t: Tables) -> DataFrame:
-    return chunking.section_chunks(t.documents, ["doc_id"], "text", [("capital", r"^The\b"), ("in", r"^In\b")]).select("doc_id", "section_no", "section", F.length("chunk").alias("n"))
+    return chunking.section_chunks(t.documents, ["doc_id"], "text", [("capital", "^The "), ("in", "^In ")]).select("doc_id", "section_no", "section", F.length("chunk").alias("n"))
 
 
 @query(

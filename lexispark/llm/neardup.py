@@ -152,27 +152,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _keyed(index: simhash.Index, words: range):
-    """Rows (key, fp, node, probe) of rows (node, fps): each word under its own value in every used partition, and probes nearby."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("probe", pa.bool_())])
+class _Keys:
+    """The keys of fingerprints: each word under its own value in every used partition and, where a threshold asks, at the values
+    nearby (probes)."""
+
+    def __init__(self, index: simhash.Index, words: range):
+        self.parts = [(k, bits, simhash._masks(len(bits), t)) for k, (bits, t) in enumerate(zip(index.parts, index.thresholds)) if t >= 0]
+        self.words = words
+        self.per_row = len(words) * sum(len(mask) for _, _, mask in self.parts)
+        self.probes = any(len(mask) > 1 for _, _, mask in self.parts)
+
+    def of(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word's fingerprints, keys (rows, values), values that are probes)."""
+        for w in self.words:
+            fp = np.ascontiguousarray(fps[:, w])
+            for k, bits, mask in self.parts:
+                own = simhash._extract(fp.view(np.uint64), bits) | _U(k << 40) | _U(w << 48)
+                for at in range(0, len(mask), 256):
+                    near = mask[at : at + 256]
+                    yield fp, (own[:, None] ^ near[None, :]).view(np.int64), near != 0
+
+
+def _keyed(keys: _Keys):
+    """Rows (key, fp, node) of rows (node, fps), with ``probe`` where there are any."""
+    names = ["key", "fp", "node", *["probe"] * keys.probes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [simhash._masks(len(b), t) if t >= 0 else None for b, t in zip(index.parts, index.thresholds)]
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 some = batch.slice(lo, 4096)
                 node = some.column("node").to_numpy()
-                fps = some.column("fps").flatten().to_numpy().reshape(len(node), WORDS)
-                for w in words:
-                    fp = np.ascontiguousarray(fps[:, w])
-                    for k, (bits, mask) in enumerate(zip(index.parts, masks)):
-                        if mask is None:
-                            continue
-                        own = simhash._extract(fp.view(np.uint64), bits) | _U(k << 40) | _U(w << 48)
-                        for at in range(0, len(mask), 256):
-                            near = mask[at : at + 256]
-                            key = (own[:, None] ^ near[None, :]).ravel()
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(near))), pa.array(np.repeat(node, len(near))), pa.array(np.tile(near != 0, len(fp)))], schema=schema)
+                for fp, key, probe in keys.of(some.column("fps").flatten().to_numpy().reshape(len(node), WORDS)):
+                    more = [pa.array(np.tile(probe, len(fp)))] if keys.probes else []
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp, len(probe))), pa.array(np.repeat(node, len(probe))), *more], names=names)
+
+    return run
+
+
+def _frequent(keys: _Keys, rows: int, least: int):
+    """Rows (key, n) of rows (fps): in each run of ``rows`` of them the keys that ``least`` or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted():
+            found = np.concatenate([key.ravel() for _, key, _ in keys.of(np.concatenate(held))])
+            key, n = np.unique(found, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least]), pa.array(n[n >= least])], names=["key", "n"])
+
+        for batch in batches:
+            held.append(batch.column("fps").flatten().to_numpy().reshape(batch.num_rows, WORDS))
+            size += batch.num_rows
+            if size >= rows:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
 
     return run
 
@@ -193,7 +228,7 @@ def _bucket_links(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[list
 
 
 def _joined(distance: int):
-    """Over rows sorted by (key, cell): links (a, b) between the nodes of candidates, as forests over many buckets."""
+    """Over rows (key, fp, node) sorted by key: links (a, b) between the nodes of candidates, as forests over many buckets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +261,8 @@ def _joined(distance: int):
             return forest(a, b) if len(a) else (a, b)
 
         for batch in batches:
-            # (key, cell) as one number: cells are few and only hot keys have them
-            now = [tk.mix64(batch.column(0).to_numpy().view(np.uint64)) + batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)]
+            probe = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else np.zeros(batch.num_rows, dtype=bool)
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), probe]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             change = np.flatnonzero(held[0][1:] != held[0][:-1])
             if len(change):
@@ -248,16 +283,25 @@ def _joined(distance: int):
     return run
 
 
-def _search(rows: DataFrame, words: range, index: simhash.Index, distance: int, hot_rows: int) -> DataFrame:
-    """Distinct edges (a, b) between the nodes of rows (node, fps) that some of the words make candidates."""
-    keys = rows.select("node", "fps").mapInArrow(tk.lean(_keyed(index, words)), "key long, fp long, node long, probe boolean")
-    hot = keys.groupBy("key").count().filter(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / (hot_rows / 2)).cast("long").alias("blocks"))
+#: Keys that are counted at once.
+RUN_KEYS = 1_000_000
+
+
+def _search(rows: DataFrame, total: int, words: range, index: simhash.Index, distance: int, hot_rows: int) -> DataFrame:
+    """Distinct edges (a, b) between the nodes of rows (node, fps), ``total`` of them, that some of the words make candidates."""
+    spark, keys = rows.sparkSession, _Keys(index, words)
+    run = max(1, RUN_KEYS // keys.per_row)
+    runs = -(-total // run) + common.tasks(spark)
+    # what runs leave out of a key's count is less than runs * least, half of what makes it hot
+    least = max(1, hot_rows // 2 // runs)
+    counts = rows.select("fps").mapInArrow(tk.lean(_frequent(keys, run, least)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = counts.filter(F.col("n") > hot_rows // 2).select("key", F.ceil((F.col("n") + hot_rows / 2) / (hot_rows / 2)).cast("long").alias("blocks"))
+    keyed = rows.select("node", "fps").mapInArrow(tk.lean(_keyed(keys)), "key long, fp long, node long" + ", probe boolean" * keys.probes)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    )
-    spread = keys.join(hot, "key", "left").select("key", F.explode(cells).alias("cell"), "fp", "node", "probe")
-    return spread.repartition(common.tasks(rows.sparkSession), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tk.lean(_joined(distance)), "a long, b long").distinct()
+    # every pair of blocks of a hot key meets in one cell, under a key of its own
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
+    spread = keyed.join(hot, "key", "left").select(F.explode(F.coalesce(cells, F.array("key"))).alias("key"), "fp", "node", *["probe"] * keys.probes)
+    return spread.repartition(common.tasks(spark), "key").sortWithinPartitions("key").mapInArrow(tk.lean(_joined(distance)), "a long, b long").distinct()
 
 
 def coarse_groups(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -266,9 +310,9 @@ def coarse_groups(numbered: DataFrame, distance: int = DISTANCE, hot_rows: int =
     total = some.count()
     picked = np.array([r.fp for r in some.select(F.col("fps")[0].alias("fp"), "node").orderBy(F.xxhash64("node", F.lit(9)), "node").limit(simhash.SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     index = simhash.fit(picked, total, distance, MOST_PARTS)
-    first = common.stored(common.components(_search(some, range(FIRST), index, distance, hot_rows)), name="first")
+    first = common.stored(common.components(_search(some, total, range(FIRST), index, distance, hot_rows)), name="first")
     rooted = some.join(first, "node", "left").select(F.coalesce("root", "node").alias("node"), "fps")
-    rest = _search(rooted, range(FIRST, WORDS), index, distance, hot_rows)
+    rest = _search(rooted, total, range(FIRST, WORDS), index, distance, hot_rows)
     return common.components(rest.unionByName(first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 

@@ -53,6 +53,22 @@ def test_pairs_of_all_similarities_against_brute_force(spark, block):
     assert got == brute_kept(rows)
 
 
+@pytest.mark.parametrize("hot,parts", [(5, 5), (40, 2)])
+def test_hot_keys_and_probes_against_brute_force(spark, monkeypatch, hot, parts):
+    """Keys far above the limit are cut into cells, and an index with probes finds the same groups."""
+    monkeypatch.setattr(neardup, "MOST_PARTS", parts)
+    rng = random.Random(4)
+    hub = [f"h{rng.randrange(4000)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, hub, 0.02)) for _ in range(90)] + [" ".join(f"w{rng.randrange(4000)}" for _ in range(90)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text")
+    numbered = df.mapInArrow(neardup._numbered, neardup._NUMBERED).persist()
+    few = {(r.node, r.root) for r in neardup.coarse_groups(numbered, hot_rows=hot).collect()}
+    assert few == {(r.node, r.root) for r in neardup.coarse_groups(numbered).collect()}
+    got = {r.doc_id for r in neardup.keep_one(df).collect()}
+    assert got == brute_kept(rows)
+
+
 def test_the_stage_finds_what_three_bits_miss(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = cp.near_dedup(spark, docs, SF).collect()

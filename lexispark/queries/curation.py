@@ -233,3 +233,32 @@ def event_props(t: Tables) -> DataFrame:
 def region_orders(t: Tables) -> DataFrame:
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "c_mktsegment", "r_name")
     return t.orders.select("o_custkey", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    "phrase_list_lines",
+    "SELECT CASE p_partkey % 5 WHEN 4 THEN '*' ELSE p_type END AS condition, CASE p_partkey % 5 WHEN 0 THEN 'trigger' WHEN 1 THEN 'positive' ELSE 'penalty' END AS kind, p_name AS phrase FROM part WHERE p_partkey % 5 <> 3 AND p_partkey % 7 <> 0",
+)
+def phrase_list_lines(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 5 == 0, "x_trigger.txt").when(k % 5 == 1, "x_positive.txt").when(k % 5 == 2, "x_penalty.txt").when(k % 5 == 3, "x_notes.txt").otherwise("penalty_general.txt")
+    line = F.when(k % 7 == 0, F.when(k % 2 == 0, "  ").otherwise("# note")).otherwise(F.concat(F.lit(' "'), "p_name", F.lit("'  ")))
+    return readers.parsed_phrases(t.part.select(line.alias("value"), F.concat_ws("/", F.lit("file:///dicts"), "p_type", name).alias("path")))
+
+
+@query("term_lines", "SELECT DISTINCT unnest([p_name, p_type]) AS term FROM part WHERE p_partkey % 3 <> 0")
+def term_lines(t: Tables) -> DataFrame:
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), "p_brand")).otherwise(F.concat_ws(" / ", "p_name", "p_type", F.lit("")))
+    return readers.parsed_terms(t.part.select(line.alias("value")))
+
+
+@query(
+    "run_log_rows",
+    "SELECT l_orderkey::VARCHAR AS query_id, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber + 10 ELSE CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) END AS rank, l_partkey::VARCHAR AS doc_id, l_quantity AS score, l_linenumber = 1 AS violation FROM lineitem",
+)
+def run_log_rows(t: Tables) -> DataFrame:
+    own = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"))
+    even = F.col("l_orderkey") % 2 == 0
+    item = F.transform("x", lambda x: F.struct(x["l_partkey"].cast("string").alias("doc_id"), F.when(even, (x["l_linenumber"] + 10).cast("int")).alias("rank"), x["l_quantity"].alias("score"), (x["l_linenumber"] == 1).alias("violation")))
+    line = F.when(even, F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("query_id"), item.alias("topk")))).otherwise(F.to_json(F.struct(F.col("l_orderkey").cast("string").alias("query_id"), item.alias("final"), F.array().cast(readers._RUN_ITEM).alias("topk"))))
+    return readers.parsed_runs(own.select(F.from_json(line, readers.RUN_LOG).alias("j")).select("j.*"))

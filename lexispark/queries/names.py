@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import norms
+from ..functions import text as tx
 from ..operators import curation, documents, filters, profile
 from ..registry import Tables, query
 from .retrieval import HITS, one_list
@@ -277,3 +278,9 @@ def sample_report(t: Tables) -> DataFrame:
     return curation.sample_report(t.part, clamped(t, 10, 60), "p_brand").withColumn("share", F.round("share", 6))
 
 
+
+
+@query("unicode_names", "SELECT p_partkey, 'fine IV A' || p_name || ' 1⁄2' AS folded, 'a \"b\" - c''d ' || p_name AS plain FROM part")
+def unicode_names(t: Tables) -> DataFrame:
+    folded = tx.nfkc(F.concat(F.lit("ﬁne Ⅳ Ａ"), "p_name", F.lit(" ½")))
+    return t.part.select("p_partkey", folded.alias("folded"), tx.basic_norm(F.concat(F.lit(" a “b”\t—  c’d  "), "p_name", F.lit(" "))).alias("plain"))

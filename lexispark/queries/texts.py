@@ -194,6 +194,17 @@ def char_chunks(t: Tables) -> DataFrame:
     return chunking.by_function(t.documents, "doc_id", "text", chunking.char_chunks_of).select("key", "chunk_ord", F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
 
 
+@query(
+    "tokenizer_windows",
+    r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 20, 1), 100)) AS i FROM d WHERE len(w) > 0)
+SELECT doc_id AS key, CAST(i // 100 AS INTEGER) AS chunk_ord, md5(array_to_string(w[i + 1:i + 120], ' ')) AS digest FROM i""",
+)
+def tokenizer_windows(t: Tables) -> DataFrame:
+    """Windows over any tokenizer's tokens, the last of which ends with the text: here words between ASCII spaces."""
+    windows = chunking.token_windows(lambda x: x.encode().split(), lambda ws: b" ".join(ws).decode(), 120, 20)
+    return chunking.by_function(t.documents, "doc_id", "text", windows).select("key", "chunk_ord", F.md5(F.encode("chunk", "UTF-8")).alias("digest"))
+
+
 @query("packed_sentences")
 def packed_sentences(t: Tables) -> DataFrame:
     return chunking.by_function(t.documents, "doc_id", "text", chunking.packed_sentences_of)

@@ -245,23 +245,42 @@ def named(df: DataFrame, names: dict[str, list[str]], keep: list[str] | None = N
 def phrase_lists(spark: SparkSession, root: str) -> DataFrame:
     """(condition, kind, phrase) from <root>/<condition>/<condition>_{trigger,positive,penalty}.txt, and the global penalty
     list as condition *. Quotes are stripped; blank lines and # comments skipped."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"))
-    kind = F.regexp_extract("name", r"_(trigger|positive|penalty)\.txt$", 1)
-    condition = F.when(F.col("name") == "penalty_general.txt", "*").otherwise(F.element_at(F.split("path", "/"), -2))
-    rows = lines.select(condition.alias("condition"), F.when(F.col("name") == "penalty_general.txt", "penalty").otherwise(kind).alias("kind"), F.trim(F.regexp_replace(F.trim("value"), "^[\"']+|[\"']+$", "")).alias("phrase"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    return parsed_phrases(lines)
+
+
+def parsed_phrases(lines: DataFrame) -> DataFrame:
+    """``phrase_lists`` of lines (value, path)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    general = name == "penalty_general.txt"
+    kind = F.regexp_extract(name, r"_(trigger|positive|penalty)\.txt$", 1)
+    condition = F.when(general, "*").otherwise(F.element_at(F.split("path", "/"), -2))
+    rows = lines.select(condition.alias("condition"), F.when(general, "penalty").otherwise(kind).alias("kind"), F.trim(F.regexp_replace(F.trim("value"), "^[\"']+|[\"']+$", "")).alias("phrase"))
     return rows.filter("kind <> '' and phrase <> '' and not startswith(phrase, '#')")
 
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """(term) of a list file whose lines may hold several terms between slashes."""
-    return spark.read.text(path).select(F.explode(F.split("value", "/")).alias("t")).select(F.trim("t").alias("term")).filter("term <> '' and not startswith(term, '#')").distinct()
+    return parsed_terms(spark.read.text(path))
+
+
+def parsed_terms(lines: DataFrame) -> DataFrame:
+    """``terms`` of lines (value)."""
+    return lines.select(F.explode(F.split("value", "/")).alias("t")).select(F.trim("t").alias("term")).filter("term <> '' and not startswith(term, '#')").distinct()
+
+
+#: The lists of results that a run log may have, of which the first counts.
+_RUN_ITEM = "array<struct<doc_id: string, rank: int, score: double, violation: boolean>>"
+RUN_LOG = f"query_id string, final {_RUN_ITEM}, results {_RUN_ITEM}, topk {_RUN_ITEM}"
 
 
 def run_logs(spark: SparkSession, root: str) -> DataFrame:
     """(query_id, rank, doc_id, score, violation) of all JSON files below ``root`` that have a list of results."""
-    item = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("violation", T.BooleanType())])
-    schema = T.StructType([T.StructField("query_id", T.StringType()), *[T.StructField(n, T.ArrayType(item)) for n in ("final", "results", "topk")]])
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("multiLine", True).json(root)
+    return parsed_runs(spark.read.schema(RUN_LOG).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").option("multiLine", True).json(root))
+
+
+def parsed_runs(rows: DataFrame) -> DataFrame:
+    """``run_logs`` of rows of the log's schema; a result without a rank has its place in the list."""
     return rows.select("query_id", F.posexplode(F.coalesce("final", "results", "topk")).alias("pos", "r")).select("query_id", F.coalesce("r.rank", F.col("pos") + 1).alias("rank"), "r.doc_id", "r.score", "r.violation")
 
 

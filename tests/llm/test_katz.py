@@ -111,3 +111,11 @@ def test_empty_and_untrained(spark):
     none = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = katz.fit_and_score(none, F.lit(False))[0].orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+
+
+def test_further_columns_with_clashing_names(spark):
+    rows = [(i, f"a b c w{i % 3}") for i in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = plain.selectExpr("*", "'x' as train", "1 as held_out", "'y' as n_tokens", "2 as chunk", "'z' as level", "3 as bucket", "null as base_score")
+    both = [sorted(map(tuple, katz.fit_and_score(df, ~katz.held_out())[0].collect())) for df in (plain, odd)]
+    assert both[0] == both[1] and len(both[0]) == 30

@@ -37,3 +37,11 @@ def test_codes_and_empty(spark):
     assert [r.c for r in df.select(mih.sign_code("v", 4).alias("c")).collect()] == [0b1001, None, None, None]
     none = spark.createDataFrame([], "id long, code long")
     assert mih.top_k(none, none).count() == 0
+
+
+def test_further_columns_with_clashing_names(spark):
+    rows = [(i, i * i * 7919, "x", 3, -1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, code long, query_id string, rank int, distance long")
+    got = sorted(map(tuple, mih.top_k(df, df.filter("id < 3"), 4).collect()))
+    assert got == brute([r[:2] for r in rows], [r[:2] for r in rows[:3]], 4)
+    assert mih.top_k(df, df.filter("id < 3"), 4).columns == ["query_id", "rank", "id", "distance"]

@@ -142,6 +142,8 @@ def slots(plan: DataFrame, seed: int = SEED, most: int = MOST_PASSES) -> DataFra
     A slot whose number n is beyond the last allowed pass over its source is left out.
     """
     numbered = common.running_total(draws(plan, seed), ["s"], "group", ["shard"], "number", "first").join(plan.select("s", "blocks"), "s")
+    # counts are few bytes, and AQE would leave them to few tasks, which then make all the slots
+    numbered = numbered.repartition(common.tasks(plan.sparkSession), "s", "shard")
     out = numbered.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("number") - 1)).alias("n")).filter(F.col("n") < F.col("blocks") * most)
     out = out.withColumn("turn", F.floor(F.col("n") / F.col("blocks")).cast("long")).withColumn("i", F.col("n") - F.col("turn") * F.col("blocks"))
     return permuted(out, "i", "blocks", "s", "turn", "block", seed).select("shard", "s", "n", "block")

@@ -254,7 +254,7 @@ def term_lines(t: Tables) -> DataFrame:
 
 @query(
     "run_log_rows",
-    "SELECT l_orderkey::VARCHAR AS query_id, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber + 10 ELSE CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) END AS rank, l_partkey::VARCHAR AS doc_id, l_quantity AS score, l_linenumber = 1 AS violation FROM lineitem",
+    "SELECT l_orderkey::VARCHAR AS query_id, CASE WHEN l_orderkey % 2 = 0 THEN l_linenumber + 10 ELSE CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS INTEGER) END AS rank, l_partkey::VARCHAR AS doc_id, l_quantity AS score, l_linenumber = 1 AS violation FROM lineitem",
 )
 def run_log_rows(t: Tables) -> DataFrame:
     own = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"))

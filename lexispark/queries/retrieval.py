@@ -429,11 +429,28 @@ def pipeline(t: Tables) -> dict[str, DataFrame]:
     return search(t.documents.select("doc_id", "text"), queries, SearchConfig(), lexicon=lexicon(t))
 
 
-@query("pipeline_topk")
+#: The whole pipeline: hits, fused with the union's boost, and reranked by overlap and biases.
+PIPELINE = f"""b AS ({bm25_sql(1.5, 120, True, digits=None)}),
+f0 AS (SELECT qid, doc_id, 0.55 * CASE WHEN max(score) OVER p - min(score) OVER p > 1e-12 THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) ELSE 0.5 END AS score FROM b WINDOW p AS (PARTITION BY qid)),
+{LEXICON}, {PADDED}, q AS (SELECT item_id AS qid, list_distinct({TOK.format('text')}) AS w, ' ' || array_to_string({TOK.format('text')}, ' ') || ' ' AS s FROM benchmark),
+cond AS (SELECT DISTINCT qid, condition FROM q JOIN lex ON kind = 'trigger' AND contains(s, ' ' || norm || ' ')),
+found AS (SELECT DISTINCT doc_id, condition, kind FROM d JOIN lex ON contains(s, ' ' || norm || ' ')),
+u AS (SELECT DISTINCT qid, doc_id FROM cond JOIN found USING (condition) WHERE kind = 'trigger'),
+f1 AS (SELECT f0.qid, f0.doc_id, score + CASE WHEN u.qid IS NULL THEN 0 ELSE 0.05 END AS score FROM f0 LEFT JOIN u USING (qid, doc_id)),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM f1) WHERE rank <= 50),
+bias AS (SELECT qid, doc_id, 0.15 * max(CASE WHEN kind = 'positive' THEN 1 ELSE 0 END) - 0.20 * max(CASE WHEN kind = 'penalty' THEN 1 ELSE 0 END) AS bias FROM cond JOIN found USING (condition) WHERE kind <> 'trigger' GROUP BY 1, 2),
+c AS (SELECT h.qid, h.doc_id, 0.5 * (len(list_filter(q.w, lambda x: contains(d.s, ' ' || x || ' '))) / len(q.w) + coalesce(bias, 0)) + 0.5 * h.score AS score FROM fused h JOIN q USING (qid) JOIN d ON d.doc_id = h.doc_id LEFT JOIN bias ON bias.qid = h.qid AND bias.doc_id = h.doc_id WHERE h.rank <= 25),
+reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM c) WHERE rank <= 20)"""
+
+
+@query("pipeline_topk", f"WITH {PIPELINE} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM reranked")
 def pipeline_topk(t: Tables) -> DataFrame:
     return shown(pipeline(t)["result"])
 
 
-@query("stage_trace")
+@query(
+    "stage_trace",
+    f"WITH {PIPELINE}, s AS (SELECT 'bm25' AS stage, qid, score FROM b UNION ALL SELECT 'fused', qid, score FROM fused UNION ALL SELECT 'reranked', qid, score FROM reranked), g AS (SELECT stage, qid, count(*) AS n, max(score) AS best FROM s GROUP BY 1, 2) SELECT stage, count(*) AS queries, CAST(sum(n) AS BIGINT) AS candidates, round(avg(best), 6) AS avg_best FROM g GROUP BY 1",
+)
 def stage_trace(t: Tables) -> DataFrame:
     return trace.summary(pipeline(t)["trace"]).select("stage", "queries", "candidates", F.round("avg_best", 6).alias("avg_best"))

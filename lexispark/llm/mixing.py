@@ -41,9 +41,7 @@ SEED = 20_240_601
 
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than 0x20 and 0x09-0x0D."""
-    single = F.trim(F.regexp_replace(text, "[ \\t-\\r]+", " "))
-    spaces = F.octet_length(single) - F.octet_length(F.replace(single, F.lit(" "), F.lit("")))
-    return F.when(text.isNull() | (single == ""), F.lit(0)).otherwise(spaces + 1).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t-\\r]++")), F.lit(0)).cast("long")
 
 
 def _unit(*parts) -> Column:

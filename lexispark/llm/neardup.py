@@ -347,13 +347,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         comps = common.stored(common.components(links(texts, found, block_texts, distance)), name="components")
         least = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         rooted = keep(common.stored(least.join(comps, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), name="rooted"))
+        again = keep(common.stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), name="again"))
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("_keep"))
     own = F.col(f"`{id_col}`")
     chosen = groups.filter("_keep is not null").select("_keep")
-    kept = df.filter(own.isNotNull()).join(chosen, own == chosen["_keep"], "left_semi")
-    # the join has dealt the rows out by id already
-    first = Window.partitionBy(own).orderBy(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    out = kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    out = df.filter(own.isNotNull()).join(chosen, own == chosen["_keep"], "left_semi")
+    if again.limit(1).count():
+        # only rows of ids that several have are compared
+        first = Window.partitionBy(own).orderBy(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        several = out.join(again, own == again["_again"], "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        out = out.join(again, own == again["_again"], "left_anti").unionByName(several)
     lone = groups.filter("_keep is null").select("root")
     if lone.limit(1).count():
         named = rooted.join(lone, "root").select("node", "root")

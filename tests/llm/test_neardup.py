@@ -75,7 +75,9 @@ def test_the_stage_finds_what_three_bits_miss(spark):
     assert {r.doc_id for r in got} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("most", [neardup.MOST_BROADCAST, 0])
+def test_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", most)
     schema = "doc_id long, text string, node string"
     assert neardup.keep_one(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, "a b c d", "x"), (2, "A b  c d", "y"), (3, None, "z"), (4, " ", "z"), (None, "", "z"), (None, "of its own", "k"), (None, "Of its own", "k"), (5, "more words", "a"), (5, "more words", "a"), (5, "other", "a")]

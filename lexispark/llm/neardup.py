@@ -39,8 +39,6 @@ SIMILAR, OF = 8, 10
 WORDS, PRINT_WIDTH, DISTANCE = 16, 2, 4
 #: Words that are searched first, partitions of a word at most, rows under one key that are one task's work.
 FIRST, MOST_PARTS, HOT_ROWS = 2, 5, 32_768
-#: Texts up to which the ids that stay are broadcast (8 MB), so that texts are not shuffled.
-MOST_BROADCAST = 1_000_000
 #: Links that a task holds before it reduces them to a forest.
 MOST_LINKS = 1_000_000
 #: Texts and shingles of one block of a coarse group.
@@ -353,8 +351,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("_keep"))
     own = F.col(f"`{id_col}`")
     chosen = groups.filter("_keep is not null").select("_keep")
-    if rooted.count() <= MOST_BROADCAST:  # not fewer than the ids chosen
-        chosen = F.broadcast(chosen)
     out = df.filter(own.isNotNull()).join(chosen, own == chosen["_keep"], "left_semi")
     if again.limit(1).count():
         # only rows of ids that several have are compared

@@ -27,7 +27,7 @@ def alias_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: s
     """
     first = aliases.withColumn("gram", tx.rewrite_norm(F.col("alias"))).filter("gram <> ''")
     first = first.withColumn("_n", F.row_number().over(Window.partitionBy("gram").orderBy("ord"))).filter("_n = 1").drop("_n")
-    return _word_grams(queries, qid, text, _longest(first)).join(first, "gram").select("qid", "ord", "alias", "target", "type")
+    return _word_grams(queries, qid, text, _longest(first)).join(substrings.dictionary(first), "gram").select("qid", "ord", "alias", "target", "type")
 
 
 def rewrite(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", most: int = 3) -> DataFrame:

@@ -343,3 +343,28 @@ def test_bootstrap_of_a_clear_difference(spark):
     assert r.n == 60 and r.ci_low < r.delta < r.ci_high and r.ci_low > 0.5 and r.p_tail == 0 and r.p_one == pytest.approx(1 / 301)
     same = evaluate.paired_bootstrap(pairs.withColumn("b", F.col("a") + (F.col("qid") % 2) - 0.5), "a", "b", 300).first()
     assert same.ci_low < 0 < same.ci_high and same.p_tail > 0.2
+
+
+def broadcast_sides(df):
+    """Sides that the plan's hash joins broadcast."""
+    import re
+
+    return set(re.findall(r"BroadcastHashJoin .*?(BuildLeft|BuildRight)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def dictionary_case(spark):
+    texts = spark.range(50).select(F.col("id").alias("qid"), F.concat(F.lit("Take "), F.when(F.col("id") % 2 == 0, "red Fox").otherwise("mg")).alias("text"))
+    return texts, spark.createDataFrame([(0, "red fox", "target", "brand"), (1, "red fox", "later", "brand")], "ord int, alias string, target string, type string")
+
+
+def test_aliases_are_broadcast_not_the_texts(spark):
+    texts, aliases = dictionary_case(spark)
+    hits = rewrite.alias_hits(texts, aliases)
+    assert broadcast_sides(hits) == {"BuildRight"}
+    assert sorted(r.qid for r in hits.collect()) == list(range(0, 50, 2)) and {r.target for r in hits.collect()} == {"target"}
+
+
+def test_a_large_dictionary_broadcasts_no_side(spark):
+    texts, aliases = dictionary_case(spark)
+    joined = texts.select("qid", F.lower(F.substring("text", 6, 9)).alias("gram")).join(substrings.dictionary(aliases.withColumnRenamed("alias", "gram"), 1), "gram")
+    assert not broadcast_sides(joined) and joined.count() == 50

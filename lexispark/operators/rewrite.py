@@ -43,13 +43,13 @@ def rewrite(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str
 def symptom_hits(queries: DataFrame, symptoms: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, canon, intent_hint) from rows (canon, aliases separated by |, intent_hint)."""
     rows = symptoms.select("canon", "intent_hint", F.explode(F.split("aliases", r"\|")).alias("a")).withColumn("gram", tx.rewrite_norm(F.col("a"))).filter("gram <> ''")
-    return _word_grams(queries, qid, text, _longest(rows)).join(rows, "gram").select("qid", "canon", "intent_hint").distinct()
+    return _word_grams(queries, qid, text, _longest(rows)).join(substrings.dictionary(rows), "gram").select("qid", "canon", "intent_hint").distinct()
 
 
 def unit_hits(queries: DataFrame, units: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, raw, canon) of unit spellings that are tokens of the query."""
     words = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"\s+"))).alias("raw"))
-    return words.join(units.select(F.lower("raw").alias("raw"), "canon"), "raw").select("qid", "raw", "canon")
+    return words.join(substrings.dictionary(units.select(F.lower("raw").alias("raw"), "canon")), "raw").select("qid", "raw", "canon")
 
 
 def contains_hits(queries: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text", few: int = substrings.FEW) -> DataFrame:

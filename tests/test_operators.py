@@ -368,3 +368,11 @@ def test_a_large_dictionary_broadcasts_no_side(spark):
     texts, aliases = dictionary_case(spark)
     joined = texts.select("qid", F.lower(F.substring("text", 6, 9)).alias("gram")).join(substrings.dictionary(aliases.withColumnRenamed("alias", "gram"), 1), "gram")
     assert not broadcast_sides(joined) and joined.count() == 50
+
+
+def test_symptoms_and_units_are_broadcast_not_the_texts(spark):
+    texts, _ = dictionary_case(spark)
+    symptoms = rewrite.symptom_hits(texts, spark.createDataFrame([("fox", "red fox|blue fox", "hint")], "canon string, aliases string, intent_hint string"))
+    units = rewrite.unit_hits(texts, spark.createDataFrame([("MG", "milligram")], "raw string, canon string"))
+    assert broadcast_sides(symptoms) == broadcast_sides(units) == {"BuildRight"}
+    assert symptoms.count() == units.count() == 25

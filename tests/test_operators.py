@@ -376,3 +376,12 @@ def test_symptoms_and_units_are_broadcast_not_the_texts(spark):
     units = rewrite.unit_hits(texts, spark.createDataFrame([("MG", "milligram")], "raw string, canon string"))
     assert broadcast_sides(symptoms) == broadcast_sides(units) == {"BuildRight"}
     assert symptoms.count() == units.count() == 25
+
+
+def test_alias_coverage_broadcasts_no_texts(spark):
+    from lexispark import registry
+    import lexispark.queries  # noqa: F401
+
+    df = registry.QUERIES["alias_coverage"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan

@@ -98,13 +98,23 @@ def select_and_backfill(candidates: DataFrame, selected: DataFrame, k: int) -> D
     return placed.withColumn("final", (0.65 * (1 - (F.col("place") - 1) / float(k)) + 0.35 * F.col("ce")) * factor)
 
 
+#: Marks of a refusal for quota (fixed value).
+QUOTA = r"quota|rate limit|resource_exhausted|\b429\b"
+
+
 def parsed_replies(replies: DataFrame, text: str, schema: str) -> DataFrame:
-    """Adds ``reply`` (a struct of the schema, from a model's JSON text, fences and cut-off tails repaired) and ``error``."""
+    """Adds ``reply`` (a struct of the schema, from a model's JSON text, fences and cut-off tails repaired) and ``error``.
+
+    Marks of a refusal count before the JSON, or anywhere where there is none or it begins with an error; ids, scores and texts
+    within a reply are data.
+    """
     from ..sources.readers import repaired_json
 
     df = replies.withColumn("_j", repaired_json(F.coalesce(F.col(text), F.lit("")))).withColumn("reply", F.from_json("_j", schema))
     ok = F.try_parse_json("_j").isNotNull() & (F.col("_j") != "")
-    why = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "empty").when(F.rlike(F.lower(text), F.lit("quota|rate limit|resource_exhausted|429")), "quota").when(~ok, "invalid")
+    low = F.lower(F.col(text))
+    said = F.when(F.rlike(low, F.lit(r"""^[^{]*\{\s*["']error["']\s*:""")), low).otherwise(F.regexp_extract(low, r"^[^{]*", 0))
+    why = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "empty").when(F.rlike(said, F.lit(QUOTA)), "quota").when(~ok, "invalid")
     return df.withColumn("error", why).withColumn("reply", F.when(why.isNull(), F.col("reply"))).drop("_j")
 
 

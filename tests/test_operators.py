@@ -385,3 +385,20 @@ def test_alias_coverage_broadcasts_no_texts(spark):
     df = registry.QUERIES["alias_coverage"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
+
+
+def test_numbers_within_a_reply_are_no_refusal(spark):
+    texts = [
+        (1, '{"candidates": [{"drug_id": 429, "score": 4.29}]}', None),
+        (2, '```json\n{"candidates": [{"drug_id": 14290, "safety_label": "no quota"}]}\n```', None),
+        (3, '{"candidates": [{"drug_id": 429}, {"drug_id": 1', "invalid"),
+        (4, "429 RESOURCE_EXHAUSTED. {'error': {'code': 429}}", "quota"),
+        (5, '{"error": {"code": 429}}', "quota"),
+        (6, "Rate limit reached", "quota"),
+        (7, "HTTP 14290", "invalid"),
+        (8, None, "empty"),
+    ]
+    rows = spark.createDataFrame([t[:2] for t in texts], "qid long, text string")
+    got = {r.qid: (r.error, r.reply) for r in rerank.parsed_replies(rows, "text", "candidates array<struct<drug_id: bigint>>").collect()}
+    assert {k: v[0] for k, v in got.items()} == {t[0]: t[2] for t in texts}
+    assert got[1][1].candidates[0].drug_id == 429 and got[2][1].candidates[0].drug_id == 14290

@@ -402,3 +402,9 @@ def test_numbers_within_a_reply_are_no_refusal(spark):
     got = {r.qid: (r.error, r.reply) for r in rerank.parsed_replies(rows, "text", "candidates array<struct<drug_id: bigint>>").collect()}
     assert {k: v[0] for k, v in got.items()} == {t[0]: t[2] for t in texts}
     assert got[1][1].candidates[0].drug_id == 429 and got[2][1].candidates[0].drug_id == 14290
+
+
+def test_scores_of_a_reply_about_item_429(spark):
+    replies = spark.createDataFrame([(1, '{"candidates": [{"drug_id": 429, "score": 7.0}, {"drug_id": 5, "score": 42.9}]}')], "qid long, text string")
+    candidates = spark.createDataFrame([(1, 429), (1, 5)], "qid long, doc_id long")
+    assert sorted(map(tuple, rerank.judged_by_replies(candidates, replies).collect())) == [(1, 5, 10.0, "ok"), (1, 429, 7.0, "ok")]

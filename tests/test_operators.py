@@ -408,3 +408,14 @@ def test_scores_of_a_reply_about_item_429(spark):
     replies = spark.createDataFrame([(1, '{"candidates": [{"drug_id": 429, "score": 7.0}, {"drug_id": 5, "score": 42.9}]}')], "qid long, text string")
     candidates = spark.createDataFrame([(1, 429), (1, 5)], "qid long, doc_id long")
     assert sorted(map(tuple, rerank.judged_by_replies(candidates, replies).collect())) == [(1, 5, 10.0, "ok"), (1, 429, 7.0, "ok")]
+
+
+def test_ids_are_found_once_for_equal_lists(spark):
+    titles = spark.range(300).select(F.col("id").alias("p"), F.when(F.col("id") % 3 == 0, "red ring").when(F.col("id") % 3 == 1, "Blue ring").otherwise("bolt").alias("name"))
+    rows = [(1, "a", ["Red ring "], ["ring", "red ring"]), (2, "b", ["red ring"], None), (3, "c", [], ["none", None, "ring"]), (4, "d", ["Red ring ", "bolt"], [""])]
+    q = spark.createDataFrame(rows, "qid long, text string, gold array<string>, more array<string>")
+    lists = {r.qid: (r.gold, r.more, r.unmatched) for r in curation.augmented(q, titles, ["gold", "more"], "name", "p", []).collect()}
+    red, ring, bolt = list(range(0, 300, 3)), [i for i in range(300) if i % 3 < 2], list(range(2, 300, 3))
+    assert lists == {1: (red, ring, []), 2: (red, [], []), 3: ([], ring, ["none"]), 4: (sorted(red + bolt), [], [""])}
+    sizes = {r.qid: (r.gold, r.more, r.unmatched) for r in curation.augmented(q, titles, ["gold", "more"], "name", "p", [], sizes=True).collect()}
+    assert sizes == {k: (len(a), len(b), c) for k, (a, b, c) in lists.items()}

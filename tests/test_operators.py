@@ -419,3 +419,14 @@ def test_ids_are_found_once_for_equal_lists(spark):
     assert lists == {1: (red, ring, []), 2: (red, [], []), 3: ([], ring, ["none"]), 4: (sorted(red + bolt), [], [""])}
     sizes = {r.qid: (r.gold, r.more, r.unmatched) for r in curation.augmented(q, titles, ["gold", "more"], "name", "p", [], sizes=True).collect()}
     assert sizes == {k: (len(a), len(b), c) for k, (a, b, c) in lists.items()}
+
+
+@pytest.mark.parametrize("step", [1, 150, 10**6])
+def test_dense_in_steps_against_every_pair(spark, monkeypatch, step):
+    monkeypatch.setattr(dense, "STEP", step)
+    rng = np.random.default_rng(3)
+    vectors = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.permutation(300)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = sorted((r.qid, r["rank"], r.doc_id) for r in dense.dense_top(v, v.filter("vec_id % 60 = 0").withColumnRenamed("vec_id", "qid"), 3).collect())
+    best = lambda q: sorted(vectors, key=lambda d: (-np.dot(dict(vectors)[q], d[1]), d[0]))[:3]
+    assert got == [(q, i + 1, d[0]) for q in range(0, 300, 60) for i, d in enumerate(best(q))]

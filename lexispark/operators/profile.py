@@ -91,16 +91,38 @@ def top_phrases(df: DataFrame, text: str, k: int, least: int = 3) -> DataFrame:
     return pieces.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(k)
 
 
-def ngram_frequency(df: DataFrame, doc: str, text: str, low: int = 1, high: int = 3, min_df: int = 5, stop: list[str] | None = None) -> DataFrame:
-    """(ngram, n, docs) of n-grams in at least ``min_df`` documents.
+#: Ids of several rows up to which they are broadcast.
+FEW_REPEATED = 100_000
 
-    Counted per document first, so that a repetitive document sends each n-gram once.
+
+def ngram_frequency(df: DataFrame, doc: str, text: str, low: int = 1, high: int = 3, min_df: int = 5, stop: list[str] | None = None, few: int = FEW_REPEATED) -> DataFrame:
+    """(ngram, n, docs) of n-grams in at least ``min_df`` documents; a row without an id belongs to none.
+
+    The first occurrence in a row stands for its document, so tasks add up occurrences and documents at once and shuffle each of
+    their n-grams once, without ids. Only ids of several rows are counted by id and n-gram first; where these are more than a
+    checked number, all are.
     """
     tokens = tx.tokenize(F.col(text))
     if stop:
         tokens = F.filter(tokens, lambda w: ~w.isin(stop))
-    grams = df.select(F.col(doc).alias("d"), F.explode(tx.ngrams(tokens, low, high)).alias("ngram"))
-    return grams.groupBy("ngram", "d").agg(F.count("*").alias("c")).groupBy("ngram").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).filter(F.col("docs") >= min_df)
+    own = df.select(F.col(doc).alias("d"), tokens.alias("w"))
+    repeated = df.select(F.col(doc).alias("d")).filter("d is not null").groupBy("d").agg(F.count("*").alias("c")).filter("c > 1").select("d")
+    some = repeated.limit(few + 1).count()
+    grams = tx.ngrams(F.col("w"), low, high)
+    if some > few:
+        counts = _by_document(own.select("d", F.explode(grams).alias("ngram")))
+    else:
+        lone = own.join(F.broadcast(repeated), "d", "left_anti") if some else own
+        first = lambda s: F.transform(s, lambda g, i: F.struct(g.alias("ngram"), (F.coalesce(F.get(s, i - 1) != g, F.lit(True)) & F.col("d").isNotNull()).cast("long").alias("docs")))
+        counts = lone.select("d", F.explode(tx.let(F.array_sort(grams), first)).alias("g")).select("g.ngram", F.lit(1).cast("long").alias("n"), "g.docs")
+        if some:
+            counts = counts.unionByName(_by_document(own.join(F.broadcast(repeated), "d", "left_semi").select("d", F.explode(grams).alias("ngram"))))
+    return counts.groupBy("ngram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_df)
+
+
+def _by_document(grams: DataFrame) -> DataFrame:
+    """(ngram, n, docs) of n-grams and documents, from (d, ngram)."""
+    return grams.groupBy("ngram", "d").agg(F.count("*").alias("n")).select("ngram", "n", F.col("d").isNotNull().cast("long").alias("docs"))
 
 
 def pattern_counts(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:

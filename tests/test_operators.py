@@ -439,3 +439,17 @@ def test_ngram_profile_makes_no_row_of_an_ngram(spark):
     w = [(t or "").split() for t in texts]
     grams = {(i, n): [" ".join(x[j : j + n]) for j in range(len(x) - n + 1)] for i, x in enumerate(w) for n in range(1, 6)}
     assert sorted(map(tuple, p.collect())) == sorted((*k, len(g), min(g)) for k, g in grams.items() if g)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_ngrams_of_repeated_and_missing_ids(spark, few):
+    rows = [(1, "a b a"), (1, "a b"), (2, "b a b"), (None, "a a"), (None, "a b"), (3, None), (4, "a")]
+    got = sorted(map(tuple, profile.ngram_frequency(spark.createDataFrame(rows, "i long, t string"), "i", "t", 1, 2, 2, few=few).collect()))
+    grams = [(i, " ".join(w[j : j + n])) for i, t in rows for w in [(t or "").split()] for n in (1, 2) for j in range(len(w) - n + 1)]
+    want = {g: (sum(x == g for _, x in grams), len({i for i, x in grams if x == g} - {None})) for _, g in grams}
+    assert got == sorted((g, *c) for g, c in want.items() if c[1] >= 2) and got
+
+
+def test_ngrams_are_shuffled_once_without_ids(spark):
+    df = spark.range(20).select("id", F.lit("a b c").alias("t"))
+    assert profile.ngram_frequency(df, "id", "t")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

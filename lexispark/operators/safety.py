@@ -24,8 +24,8 @@ WARNINGS = ["вагітн", "лактац", "дітям", "дітей", "алк
 def _found(text: Column, patterns: list[str]) -> Column:
     """All matches of the first pattern that has any."""
     none = F.array().cast("array<string>")
-    found = [F.regexp_extract_all(text, F.lit(f"(?iuU){p}"), F.lit(0)) for p in patterns]
-    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], none)
+    found = [let(F.regexp_extract_all(text, F.lit(f"(?iuU){p}"), F.lit(0)), lambda f: F.when(F.size(f) > 0, f)) for p in patterns]
+    return F.coalesce(*found, none)
 
 
 def _conflict(category: str, match: Column, profile: UserProfile) -> Column:
@@ -48,16 +48,14 @@ def _conflict_in(category: str, profile: UserProfile):
     return lambda match: _conflict(category, match, profile)
 
 
-def assess(df: DataFrame, text: str, profile: UserProfile | None = None) -> DataFrame:
-    """Adds risk_score, risk_level, safe_to_use, warnings and critical_warnings (category, matched_text, weight).
+def _matches(df: DataFrame, text: str) -> DataFrame:
+    """Adds the matches of each category, which do not depend on a profile."""
+    low = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    return low.withColumns({f"_{c}": _found(F.col("_low"), patterns) for c, patterns in PATTERNS.items()}).drop("_low")
 
-    A category counts once; the level is CRITICAL from 15, HIGH from 8, MEDIUM from 3. Unsafe: a conflict of weight 8 or more,
-    or CRITICAL.
-    """
-    profile = profile or UserProfile()
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    for c, patterns in PATTERNS.items():
-        df = df.withColumn(f"_{c}", _found(t, patterns))
+
+def _assessment(profile: UserProfile) -> dict[str, Column]:
+    """The columns that ``assess`` adds, from the matches."""
     hits = {c: F.exists(F.col(f"_{c}"), _conflict_in(c, profile)) for c in PATTERNS}
     score = sum((F.when(h, WEIGHTS[c]).otherwise(0) for c, h in hits.items()), F.lit(0))
     grave = None
@@ -72,16 +70,43 @@ def assess(df: DataFrame, text: str, profile: UserProfile | None = None) -> Data
 
         return F.concat(*[of(c) for c in PATTERNS])
 
-    df = df.withColumn("risk_score", score)
-    level = F.when(F.col("risk_score") >= 15, "CRITICAL").when(F.col("risk_score") >= 8, "HIGH").when(F.col("risk_score") >= 3, "MEDIUM").otherwise("LOW")
-    df = df.withColumn("risk_level", level).withColumn("safe_to_use", ~(grave | (F.col("risk_score") >= 15)))
-    return df.withColumn("warnings", listed(False)).withColumn("critical_warnings", listed(True)).drop(*[f"_{c}" for c in PATTERNS])
+    level = F.when(score >= 15, "CRITICAL").when(score >= 8, "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW")
+    return {"risk_score": score, "risk_level": level, "safe_to_use": ~(grave | (score >= 15)), "warnings": listed(False), "critical_warnings": listed(True)}
+
+
+def assess(df: DataFrame, text: str, profile: UserProfile | None = None) -> DataFrame:
+    """Adds risk_score, risk_level, safe_to_use, warnings and critical_warnings (category, matched_text, weight).
+
+    A category counts once; the level is CRITICAL from 15, HIGH from 8, MEDIUM from 3. Unsafe: a conflict of weight 8 or more,
+    or CRITICAL.
+    """
+    return _matches(df, text).withColumns(_assessment(profile or UserProfile())).drop(*[f"_{c}" for c in PATTERNS])
+
 
+def assess_each(df: DataFrame, text: str, profiles: dict[str, UserProfile], by: str = "qid") -> DataFrame:
+    """``assess`` for several profiles: a row for each row and profile, named in ``by``. The text is searched once."""
+    each = [F.struct(F.lit(name).alias(by), *[c.alias(k) for k, c in _assessment(p).items()]) for name, p in profiles.items()]
+    return _matches(df, text).select(*df.columns, F.explode(F.array(*each)).alias("_a")).select(*df.columns, "_a.*")
 
-def filter_safe(assessed: DataFrame, by: str = "qid") -> DataFrame:
-    """Drops unsafe rows of level HIGH and CRITICAL; the others by ascending risk, then as they were ranked."""
-    kept = assessed.filter(F.col("safe_to_use") | F.col("risk_level").isin("LOW", "MEDIUM"))
-    return kept.withColumn("safe_rank", F.row_number().over(Window.partitionBy(by).orderBy("risk_score", "rank")))
+
+#: Ranks that one task numbers at a time.
+RANKS = 1 << 16
+
+
+def filter_safe(assessed: DataFrame, by: str = "qid", ranks: int = RANKS) -> DataFrame:
+    """Drops unsafe rows of level HIGH and CRITICAL; the others by ascending risk, then as they were ranked.
+
+    Rows are numbered within slices of ``ranks`` ranks of one risk, and the slices are summed up, so a query's rows are the work
+    of many tasks.
+    """
+    kept = assessed.filter(F.col("safe_to_use") | F.col("risk_level").isin("LOW", "MEDIUM")).withColumn("_slice", F.floor(F.col("rank") / ranks))
+    keys = [by, "risk_score", "_slice"]
+    before = Window.partitionBy(by).orderBy("risk_score", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = kept.groupBy(*keys).agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    own = kept.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = own.alias("a").join(base.alias("b"), same)
+    return both.select(*[F.col(f"a.`{c}`") for c in assessed.columns], (F.col("_base") + F.col("_in")).cast("int").alias("safe_rank"))
 
 
 def keyword_warnings(text: Column, keywords: list[str] | None = None) -> Column:

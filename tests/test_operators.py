@@ -453,3 +453,21 @@ def test_ngrams_of_repeated_and_missing_ids(spark, few):
 def test_ngrams_are_shuffled_once_without_ids(spark):
     df = spark.range(20).select("id", F.lit("a b c").alias("t"))
     assert profile.ngram_frequency(df, "id", "t")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_safe_ranks_in_slices_and_one_search_for_all_profiles(spark):
+    from lexispark.config import UserProfile
+    from lexispark.operators import safety
+
+    texts = ["вагітність, період лактації", "діти до 12 років", "цукровий діабет; гіперчутливість", "", None, "особам старше 3 років"]
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 6 + 1).cast("int")).alias("t"))
+    profiles = {"child": UserProfile(age=5), "pregnant": UserProfile(age=30, pregnancy=True), "none": UserProfile()}
+    each = safety.assess_each(df, "t", profiles)
+    alone = [(name, *r) for name, p in profiles.items() for r in safety.assess(df, "t", p).drop("t").collect()]
+    assert sorted(map(str, map(tuple, each.select("qid", "doc_id", "risk_score", "risk_level", "safe_to_use", "warnings", "critical_warnings").collect()))) == sorted(map(str, alone))
+    ranked = each.withColumn("rank", F.col("doc_id") * 7 % 60 + 1)
+    for ranks in (7, 1 << 16):
+        got = safety.filter_safe(ranked, ranks=ranks).collect()
+        for name in profiles:
+            own = sorted((r for r in got if r.qid == name), key=lambda r: r.safe_rank)
+            assert [r.safe_rank for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (r.risk_score, r["rank"]))

@@ -16,35 +16,38 @@ from .text import let, nfkc, numbers, squeeze, strip_accents, units
 #: Anything but word characters and Cyrillic.
 NON_WORD = r"(?U)[^\wЀ-ӿ]+"
 
-#: What each profile turns into spaces, in order; and whether Unicode compatibility forms are folded first (fixed values).
+#: Characters that each profile turns into spaces, as those of a class; and whether Unicode compatibility forms are folded first
+#: (fixed values).
 BLANKED = {
-    "evaluation": (True, [r"""[®™©’‘'`“”«»()\[\]{};,]"""]),
-    "alias": (True, ["[®™©’‘`“”]"]),
-    "query": (True, ["[®™©“”«»'’`]+"]),
-    "triage": (True, ["[®™©]", "[’‘´`“”«»]", r"[(){}\[\];,]"]),
-    "gold": (False, [r"""[®™©()«»"'\-]"""]),
-    "title": (False, [NON_WORD]),
-    "spaces": (False, []),
+    "evaluation": (True, r"""®™©’‘'`“”«»()\[\]{};,"""),
+    "alias": (True, "®™©’‘`“”"),
+    "query": (True, "®™©“”«»'’`"),
+    "triage": (True, r"®™©’‘´`“”«»(){}\[\];,"),
+    "gold": (False, r"""®™©()«»"'\-"""),
+    "spaces": (False, ""),
 }
 
 
+def _blanked(c: Column, pattern: str) -> Column:
+    """Runs of the pattern's characters, which include white space, to one space each, trimmed: one pass over the text."""
+    return F.trim(F.regexp_replace(c, pattern, " "))
+
+
 def normalize(c: Column, profile: str, unicode: bool = True) -> Column:
     """Lower case, the profile's characters to spaces, white space squeezed; null is empty.
 
     ``pattern`` keeps letters, digits, plus, hyphen and apostrophe; ``brand`` drops apostrophes and turns dashes and marks into
     spaces. ``unicode`` off skips compatibility folding, for text that has none.
     """
-    c = F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit(" "))
+    c = F.replace(F.coalesce(c, F.lit("")), F.lit("\u00a0"), F.lit(" "))
     if profile == "pattern":
-        return squeeze(F.regexp_replace(F.replace(F.lower(c), F.lit("’"), F.lit("'")), r"[^0-9a-zа-яіїєґ+\-'’\s]+", " "))
+        return _blanked(F.replace(F.lower(c), F.lit("’"), F.lit("'")), r"[^0-9a-zа-яіїєґ+\-'’]+")
     if profile == "brand":
-        plain = F.regexp_replace(F.lower(c), "[’‘`']", "")
-        return squeeze(F.regexp_replace(F.regexp_replace(plain, "[-‐‑‒–—]", " "), "[®™©“”«»]", " "))
-    fold, patterns = BLANKED[profile]
-    c = F.lower(nfkc(c) if fold and unicode else c)
-    for p in patterns:
-        c = F.regexp_replace(c, p, " ")
-    return squeeze(c)
+        return _blanked(F.regexp_replace(F.lower(c), "[’‘`']", ""), r"[\s\-‐‑‒–—®™©“”«»]+")
+    if profile == "title":
+        return _blanked(F.lower(c), NON_WORD)
+    fold, chars = BLANKED[profile]
+    return _blanked(F.lower(nfkc(c) if fold and unicode else c), rf"[\s{chars}]+")
 
 
 def basic(c: Column, unit_table: dict[str, str], unicode: bool = True) -> Column:

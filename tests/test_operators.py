@@ -471,3 +471,12 @@ def test_safe_ranks_in_slices_and_one_search_for_all_profiles(spark):
         for name in profiles:
             own = sorted((r for r in got if r.qid == name), key=lambda r: r.safe_rank)
             assert [r.safe_rank for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (r.risk_score, r["rank"]))
+
+
+def test_profiles_pass_over_a_text_once(spark):
+    df = spark.createDataFrame([(" A®b’s  «x» [y]; (z),\t– Q-1 ´é™\n",)], "t string")
+    want = {"evaluation": "a b s x y z – q-1 ´é", "alias": "a b s «x» [y]; (z), – q-1 ´é", "query": "a b s x [y]; (z), – q-1 ´é", "triage": "a b s x y z – q-1 é", "gold": "a b’s x [y]; z , – q 1 ´é", "title": "a b s x y z q 1 é", "spaces": "a®b’s «x» [y]; (z), – q-1 ´é™", "pattern": "a b's x y z q-1", "brand": "a bs x [y]; (z), q 1 ´é"}
+    got = df.select(*[norms.normalize(F.col("t"), p, unicode=False).alias(p) for p in want])
+    assert got.first().asDict() == want
+    plan = got.select("evaluation", "alias", "query", "triage", "gold", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 6

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Bm25Config
 from ..functions import text as tx
@@ -57,19 +59,10 @@ def bm25(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), do
     return hits.filter("score > 0").groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
 
 
-def bm25_every(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(qid, doc_id, score, rank) of every document for every query: those without a query term rank too, with score 0.
-
-    The result has a row for each query and document, which is what is asked for; use it with few queries.
-    """
-    ids = queries.select(F.col(qid).alias("qid")).distinct()
-    every = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id is not null").distinct().join(F.broadcast(ids))
-    scored = every.join(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return ranked(scored, ["qid"])
-
-
 #: Entries of the query side (terms of queries) up to which tasks hold it, and cells or products of one step of a task.
 MOST_ENTRIES, STEP = 2_000_000, 2_000_000
+#: Rows of a query that a task ranks, about, and scores that the bounds between such rows are found from.
+PART, SAMPLED = 250_000, 500_000
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text", most_entries: int = MOST_ENTRIES) -> DataFrame:
@@ -80,17 +73,131 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25
     keeps its k best, so neither postings nor (query, document) pairs are shuffled, however many queries there are. Beyond that
     number the relational form does the same with shuffles.
     """
-    wanted = query_terms(queries, qid, query_text, cfg)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    side = _query_side(texts, query_terms(queries, qid, query_text, cfg), cfg, most_entries)
+    if side is None:
+        return top_k(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid"], k)
+    known, state, _ = side
+    result = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids = state.value[0]
+        if not len(qids):
+            return
+        for docs_, s in _scores(batches, known.value, state.value, cfg, len(qids)):
+            top = min(k, len(docs_))
+            # ties in the rounded score go to the smaller id
+            place = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -np.round(s, 6)), axis=0)[:top]
+            got = np.take_along_axis(s, place, axis=0)
+            q, keep = np.broadcast_to(qids, got.shape), got > 0
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(docs_[place][keep]), pa.array(got[keep])], schema=result)
+
+    hits = texts.mapInArrow(score, "qid long, doc_id long, score double")
+    return top_k(hits.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], k)
+
+
+def bm25_every(docs: DataFrame, queries: DataFrame, cfg: Bm25Config = Bm25Config(), doc_id: str = "doc_id", doc_text: str = "text", qid: str = "item_id", query_text: str = "text", most_entries: int = MOST_ENTRIES, part: int = PART) -> DataFrame:
+    """(qid, doc_id, score, rank) of every document for every query: those without a query term rank too, with score 0.
+
+    The result has a row for each query and document, which is what is asked for; use it with few queries. Documents are scored
+    where they are read, as in ``bm25_top``, and a row is shuffled once, to the task that ranks it: a query's rows are cut by
+    score and id into parts of bounded size, whose sizes another scan has counted. Ids that are no integers, and more query
+    terms than ``most_entries``, take the relational form.
+    """
+    ids = queries.select(F.col(qid).alias("qid")).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    kinds = [docs.schema[doc_id].dataType, queries.schema[qid].dataType]
+    asked = side = None
+    if all(isinstance(kind, T.IntegralType) for kind in kinds):
+        asked = ids.select(F.col("qid").cast("long")).limit(most_entries + 1).toArrow().column("qid").combine_chunks().sort()
+        if len(asked) <= most_entries:
+            # a query without an id is told from no other, so nothing is found for it
+            side = _query_side(texts, query_terms(queries.filter(F.col(qid).isNotNull()), qid, query_text, cfg), cfg, most_entries)
+    if side is None:
+        every = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id is not null").distinct().join(F.broadcast(ids))
+        scored = every.join(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return ranked(scored, ["qid"]).withColumn("rank", F.col("rank").cast("long"))
+    known, state, n = side
+    place = np.searchsorted(asked.drop_null().to_numpy(zero_copy_only=False), state.value[0])
+    schema = pa.schema([("q", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(asked):
+            return
+        for docs_, found in _scores(batches, known.value, state.value, cfg, len(asked)):
+            s = np.zeros((len(docs_), len(asked)))
+            s[:, place] = found
+            columns = [np.tile(np.arange(len(asked)), len(docs_)), np.repeat(docs_, len(asked)), s.ravel()]
+            yield from pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema).to_batches(200_000)
+
+    source, first = texts, score
+    if texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # of rows with one id the best score stands for the id
+        source = texts.mapInArrow(score, "q long, doc_id long, score double").groupBy("q", "doc_id").agg(F.max("score").alias("score"))
+        first = iter
+    # bounds between parts: they only say which task ranks a row, so those of some documents do
+    some = max(1, SAMPLED // max(1, len(asked)))
+    parts = min(-(-n // part), max(1, some // 20)) if len(asked) else 1
+    bounds = np.zeros((2, 0, len(asked)))
+    if parts > 1:
+        few = texts.sample(min(1.0, some / n), seed=42).mapInArrow(score, "q long, doc_id long, score double").toArrow()
+        q, d, key = few.column(0).to_numpy(), few.column(1).to_numpy(), _key(few.column(2).to_numpy())
+        order = np.lexsort((d, -key, q)).reshape(len(asked), -1)
+        # each document has a score for every query
+        at = order[:, np.arange(1, parts) * order.shape[1] // parts].T if order.size else np.zeros((0, len(asked)), dtype=np.int64)
+        bounds = key[at], d[at]
+    parts = len(bounds[0]) + 1
+    cuts = texts.sparkSession.sparkContext.broadcast(bounds)
+
+    def part_of(batch: pa.RecordBatch) -> np.ndarray:
+        """The number of the row's part among those of all queries: as many bounds as come before it, by score and id."""
+        q, d, key = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _key(batch.column(2).to_numpy())
+        out = q * parts
+        for k, i in zip(*cuts.value):
+            at, over = k[q], i[q]
+            out += (key < at) | ((key == at) & (d > over))
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(asked) * parts, dtype=np.int64)
+        for batch in first(batches):
+            sums += np.bincount(part_of(batch), minlength=len(sums))
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there])], names=["part", "n"])
+
+    sizes = np.zeros((len(asked), parts), dtype=np.int64)
+    if parts > 1:
+        got = source.mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+        sizes.ravel()[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    before = texts.sparkSession.sparkContext.broadcast((np.cumsum(sizes, axis=1) - sizes).ravel())
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in first(batches):
+            yield pa.RecordBatch.from_arrays([asked.take(batch.column(0)), batch.column(1), batch.column(2), pa.array(before.value[part_of(batch)])], names=["qid", "doc_id", "score", "before"])
+
+    rows = source.mapInArrow(placed, "qid long, doc_id long, score double, before long")
+    # no two parts of a query with rows have as many rows before them
+    within = Window.partitionBy("qid", "before").orderBy(F.floor(F.col("score") * 1e6 + 0.5).desc(), "doc_id")
+    return rows.select(F.col("qid").cast(kinds[1]), F.col("doc_id").cast(kinds[0]), "score", (F.col("before") + F.row_number().over(within)).alias("rank"))
+
+
+def _key(score: np.ndarray) -> np.ndarray:
+    """Scores in millionths: what ranks follow."""
+    return np.floor(score * 1e6 + 0.5)
+
+
+def _query_side(texts: DataFrame, wanted: DataFrame, cfg: Bm25Config, most_entries: int) -> tuple[Broadcast, Broadcast, int] | None:
+    """The terms' numbers; (query ids, bounds of each term's entries, their queries' places, their weights, average length);
+    and the number of documents. None where the queries have more entries than tasks are to hold."""
     rows = wanted.select(F.col("qid").cast("long").alias("qid"), "term", "qtf").limit(most_entries + 1).toArrow()
     if rows.num_rows > most_entries:
-        return top_k(bm25(docs, queries, cfg, doc_id, doc_text, qid, query_text), ["qid"], k)
-    spark = docs.sparkSession
+        return None
+    spark = texts.sparkSession
     terms, of = np.unique(np.array(rows.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)
     qids, who = np.unique(rows.column("qid").to_numpy(), return_inverse=True)
     order = np.argsort(of, kind="stable")
     number = {str(t): i for i, t in enumerate(terms)}
     known = spark.sparkContext.broadcast(number)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
     counted = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,39 +216,31 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, cfg: Bm25Config = Bm25
     idfs = np.where(df > 0, np.log((n - df + 0.5) / (df + 0.5) + 1), 0.0)
     at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(terms)))])
     weight = (rows.column("qtf").to_numpy() * idfs[of])[order]
-    state = spark.sparkContext.broadcast((qids, at, who[order], weight))
-    result = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, at, who, weight = state.value
-        if not len(qids):
-            return
-        for docs_, doc, term, tf, sizes in _postings(batches, known.value, cfg.stem, max(1, min(512, STEP // len(qids)))):
-            if not len(docs_):
-                continue
-            part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * sizes[doc] / average) + 1e-9)
-            each = at[term + 1] - at[term]
-            s = np.zeros(len(docs_) * len(qids))
-            bounds = np.searchsorted(np.cumsum(each), np.arange(STEP, int(each.sum()) + STEP, STEP), "right")
-            for lo, hi in zip([0, *bounds[:-1]], bounds) if len(each) else ():
-                hi = min(max(hi, lo), len(each))
-                i = _ranges(at[term[lo:hi]], each[lo:hi])
-                s += np.bincount(np.repeat(doc[lo:hi] * len(qids), each[lo:hi]) + who[i], weights=np.repeat(part[lo:hi], each[lo:hi]) * weight[i], minlength=len(s))
-            s = s.reshape(len(docs_), len(qids))
-            same, first = np.unique(docs_, return_inverse=True)
-            if len(same) < len(docs_):
-                best = np.zeros((len(same), len(qids)))
-                np.maximum.at(best, first, s)
-                docs_, s = same, best
-            top = min(k, len(docs_))
-            # ties in the rounded score go to the smaller id
-            place = np.lexsort((np.broadcast_to(docs_[:, None], s.shape), -np.round(s, 6)), axis=0)[:top]
-            got = np.take_along_axis(s, place, axis=0)
-            q, keep = np.broadcast_to(qids, got.shape), got > 0
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(docs_[place][keep]), pa.array(got[keep])], schema=result)
-
-    hits = texts.mapInArrow(score, "qid long, doc_id long, score double")
-    return top_k(hits.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], k)
+    return known, spark.sparkContext.broadcast((qids, at, who[order], weight, average)), n
+
+
+def _scores(batches: Iterator[pa.RecordBatch], number: dict[str, int], state: tuple, cfg: Bm25Config, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of (doc_id, text) of which ``STEP`` holds a score for each of ``width`` queries: ids, each once, and their
+    scores (ids x queries with terms)."""
+    qids, at, who, weight, average = state
+    for docs_, doc, term, tf, sizes in _postings(batches, number, cfg.stem, max(1, min(512, STEP // width))):
+        if not len(docs_):
+            continue
+        part = tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * sizes[doc] / average) + 1e-9)
+        each = at[term + 1] - at[term]
+        s = np.zeros(len(docs_) * len(qids))
+        bounds = np.searchsorted(np.cumsum(each), np.arange(STEP, int(each.sum()) + STEP, STEP), "right")
+        for lo, hi in zip([0, *bounds[:-1]], bounds) if len(each) else ():
+            hi = min(max(hi, lo), len(each))
+            i = _ranges(at[term[lo:hi]], each[lo:hi])
+            s += np.bincount(np.repeat(doc[lo:hi] * len(qids), each[lo:hi]) + who[i], weights=np.repeat(part[lo:hi], each[lo:hi]) * weight[i], minlength=len(s))
+        s = s.reshape(len(docs_), len(qids))
+        same, first = np.unique(docs_, return_inverse=True)
+        if len(same) < len(docs_):
+            best = np.zeros((len(same), len(qids)))
+            np.maximum.at(best, first, s)
+            docs_, s = same, best
+        yield docs_, s
 
 
 _TOKEN = re.compile(tx.TOKEN)

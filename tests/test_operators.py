@@ -480,3 +480,31 @@ def test_profiles_pass_over_a_text_once(spark):
     assert got.first().asDict() == want
     plan = got.select("evaluation", "alias", "query", "triage", "gold", "title")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 6
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_bm25_every_ranks_in_parts(spark, repeated):
+    rng = random.Random(5)
+    # many ties: documents without a query term, and copies
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 4)))) for i in rng.sample(range(-50, 1000), 200)]
+    docs += [(None, "a b"), (2000, None)] + ([(docs[0][0], "a a a"), (docs[1][0], "z")] if repeated else [])
+    d = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    q = spark.createDataFrame([(7, "a b"), (3, "c zz"), (5, None), (9, "none of these"), (None, "a")], "item_id int, text string")
+    plain = lexical.bm25_every(d, q, most_entries=0)
+    want = sorted(map(str, plain.withColumn("score", F.round("score", 9)).collect()))
+    assert len(want) == 5 * 201
+    for part in (1000, 9):
+        df = lexical.bm25_every(d, q, part=part)
+        assert df.dtypes == plain.dtypes
+        assert sorted(map(str, df.withColumn("score", F.round("score", 9)).collect())) == want
+    assert lexical.bm25_every(d, q.limit(0), part=9).count() == lexical.bm25_every(d.limit(0), q, part=9).count() == 0
+
+
+def test_bm25_every_shuffles_rows_once_and_cuts_what_a_task_ranks(spark):
+    d = spark.createDataFrame([(i, "a " * (i % 3) + "b") for i in range(400)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a"), (2, "c")], "item_id long, text string")
+    df = lexical.bm25_every(d, q, part=20)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    ends = df.filter("qid = 2").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert max(r["count"] for r in ends) < 400

@@ -508,3 +508,22 @@ def test_bm25_every_shuffles_rows_once_and_cuts_what_a_task_ranks(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     ends = df.filter("qid = 2").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert max(r["count"] for r in ends) < 400
+
+
+def test_dense_top_holds_a_step_of_scores(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame(pa.table({"vec_id": np.arange(2000), "embedding": list(rng.normal(size=(2000, 8)))}))
+    caught, plain = [], type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, f, schema: caught.append(f) or plain(self, f, schema))
+    dense.dense_top(v, v.withColumnRenamed("vec_id", "qid"), 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rng.normal(size=(10_000, 8))))], names=["doc_id", "embedding"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in caught[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all scores of the batch at once are 160 MB
+    assert rows == 2000 * 10 and peak < 100e6

@@ -42,7 +42,7 @@ def _grams(df: DataFrame, key: str, text: str, lex: DataFrame) -> DataFrame:
 def matches(df: DataFrame, lex: DataFrame, key: str, text: str, kinds: list[str] | None = None) -> DataFrame:
     """(key, condition, kind, norm): lexicon phrases among the n-grams of each text; an equi-join on the phrase."""
     some = lex.filter(F.col("kind").isin(kinds)) if kinds else lex
-    return _grams(df, key, text, some).join(some, "norm").select(key, "condition", "kind", "norm").distinct()
+    return _grams(df, key, text, some).join(substrings.dictionary(some), "norm").select(key, "condition", "kind", "norm").distinct()
 
 
 def detect(queries: DataFrame, lex: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:

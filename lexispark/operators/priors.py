@@ -16,16 +16,19 @@ def lookup(conditions: DataFrame, priors: DataFrame, suffixes: tuple[str, ...] =
     """(qid, condition, prior_id): the prior named as the condition, else with one of the suffixes, else the first (by ord) whose
     name contains it.
 
-    Exact and suffixed names are one equi-join; only the conditions left over are compared by containment.
+    Exact and suffixed names are one equi-join; only the conditions left over are compared by containment. What is found, a row
+    for each distinct condition, is broadcast up to a checked number of them; the queries' conditions never are.
     """
     p = priors.select(F.col("id").alias("prior_id"), "ord").groupBy("prior_id").agg(F.min("ord").alias("ord"))
     names = conditions.select("condition").distinct()
     keys = names.select("condition", F.posexplode(F.array("condition", *[F.concat("condition", F.lit(s)) for s in suffixes])).alias("how", "prior_id"))
     first = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy("condition").orderBy("how", "prior_id"))).filter("_n = 1").select("condition", "prior_id")
-    named = first(keys.join(p, "prior_id"))
-    rest = names.join(named, "condition", "left_anti")
+    sized = names.limit(few + 1).count() <= few
+    side = lambda df: F.broadcast(df) if sized else df.hint("merge")
+    named = first(side(keys).join(p, "prior_id"))
+    rest = names.join(side(named), "condition", "left_anti")
     loose = first(substrings.contained(p, "prior_id", rest, "condition", few).withColumn("how", F.col("ord")))
-    return conditions.select("qid", "condition").distinct().join(named.unionByName(loose), "condition").select("qid", "condition", "prior_id")
+    return conditions.select("qid", "condition").distinct().join(side(named.unionByName(loose)), "condition").select("qid", "condition", "prior_id")
 
 
 def brand_docs(priors: DataFrame, docs: DataFrame, name: str = "name", few: int = substrings.FEW) -> DataFrame:

@@ -387,6 +387,31 @@ def test_alias_coverage_broadcasts_no_texts(spark):
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
 
 
+def test_pieces_of_texts_are_never_broadcast(spark):
+    from lexispark.operators import clinical
+
+    texts, aliases = dictionary_case(spark)
+    needles = aliases.select(F.col("alias").alias("needle"))
+    assert not broadcast_sides(substrings.contained(texts, "text", needles, "needle", 0))
+    gold = curation.lexicon_gold(texts.withColumnRenamed("qid", "doc_id"), spark.createDataFrame([("one", "red"), ("one", "mg")], "directory string, term string"), ["text"], {"one": "a"})
+    assert broadcast_sides(gold) == {"BuildRight"} and gold.count() == 50
+    lex = spark.createDataFrame([("c", "trigger", "red fox")], "condition string, kind string, norm string")
+    found = clinical.matches(texts, lex, "qid", "text")
+    assert broadcast_sides(found) == {"BuildRight"} and found.count() == 25
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_prior_lookup_broadcasts_no_conditions(spark, few):
+    import re
+
+    asked = spark.range(50).select(F.col("id").alias("qid"), F.explode(F.split(F.lit("flu cold ache"), " ")).alias("condition"))
+    rows = spark.createDataFrame([("flu", 0), ("cold_basic", 1), ("headache", 2)], "id string, ord int")
+    got = priors.lookup(asked, rows, few=few)
+    top = re.search(r"(\w+Join) \[.*", got._jdf.queryExecution().executedPlan().toString())[0]
+    assert "BuildRight" in top if few else top.startswith("SortMergeJoin")
+    assert got.count() == 150 and {(r.condition, r.prior_id) for r in got.collect()} == {("flu", "flu"), ("cold", "cold_basic"), ("ache", "headache")}
+
+
 def test_numbers_within_a_reply_are_no_refusal(spark):
     texts = [
         (1, '{"candidates": [{"drug_id": 429, "score": 4.29}]}', None),
